@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, secret_scan, simhash_dedup
+from lectern.llm import ann, mixing, packing, secret_scan, simhash_dedup, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,15 +29,26 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20).select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secret_scan.ORACLE}
