@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, mixing, packing, secret_scan, simhash_dedup, vector_dedup
+from lectern.llm import ann, html_extract, mixing, packing, secret_scan, simhash_dedup, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +29,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"), "html", "page_id", "url")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -46,9 +54,11 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op8_warc_archives": op8_warc_archives,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secret_scan.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secret_scan.ORACLE, "op8_warc_archives": warc.ORACLE}
