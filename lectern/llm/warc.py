@@ -158,20 +158,30 @@ def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
-def plan(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """Every row with its payload, digest, and for revisits the response it refers to.
+def _record_columns() -> list:
+    return [F.col("id").cast("string").alias("page_id"), "url", "payload", "digest", "bytes", F.col("row").cast("string").alias("key")]
 
-    Of equal payloads of at least ``least`` bytes the row with the largest id
-    is the response (a null id is smaller than any; of equal ids one).
-    """
+
+def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Every row with a number, its payload and the payload's digest."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    rows = materialize(rows, "payloads")
+    return materialize(rows, "payloads")
+
+
+def plan(rows: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """Adds to ``payloads`` the response that a revisit refers to.
+
+    Of equal payloads of at least ``least`` bytes the row with the largest id
+    is the response (a null id is smaller than any; of equal ids one).  Only
+    payloads that occur again are joined: while they are few, Catalyst sees
+    from the size of their table that no payload has to be shuffled.
+    """
     again = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max(F.struct("id", "row")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(again, ["digest", "bytes"], "left")
+    joined = rows.join(materialize(again, "again"), ["digest", "bytes"], "left")
     is_lead = F.coalesce(F.col("lead.row") == F.col("row"), F.lit(True))
-    return joined.select("row", F.col("id").cast("string").alias("page_id"), "url", "payload", "digest", "bytes", F.col("row").cast("string").alias("key"), F.when(~is_lead, F.col("lead.row").cast("string")).alias("lead_key"), F.when(~is_lead, F.col("lead.id").cast("string")).alias("refers_to"))
+    return joined.select("row", *_record_columns(), F.when(~is_lead, F.col("lead.row").cast("string")).alias("lead_key"), F.when(~is_lead, F.col("lead.id").cast("string")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, date: str | None = None, least: int = LEAST_REVISIT, rotate: int = ROTATE_BYTES) -> DataFrame:
@@ -183,9 +193,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     table writes no file.  Other columns are not archived.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    planned = plan(pages, id_col, url_col, html_col, least)
-    head = F.substring("payload", 1, SAMPLE_BYTES).alias("payload")
-    sample = planned.where("lead_key IS NULL").select(F.xxhash64("digest").alias("h"), "page_id", "url", "digest", "bytes", "key", "lead_key", "refers_to", head).orderBy("h", "key").limit(SAMPLE_RECORDS).toArrow().to_pylist()
+    rows = payloads(pages, id_col, url_col, html_col)
+    planned = plan(rows, least)
+    nothing = F.lit(None).cast("string")
+    sample = rows.withColumns({"h": F.xxhash64("digest"), "payload": F.substring("payload", 1, SAMPLE_BYTES)}).orderBy("h", "row").limit(SAMPLE_RECORDS)
+    sample = sample.select(*_record_columns(), nothing.alias("lead_key"), nothing.alias("refers_to")).toArrow().to_pylist()
     dictionary = train_dictionary([page_record(r, date) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
