@@ -23,11 +23,16 @@ MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _version(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``(id, source, size, copy)``: words per row; equal rows get copy numbers 1, 2, ..."""
+    """``(id, source, size, version, copy)``: words per row; equal rows get copy numbers 1, 2, ..."""
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"))
-    return rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")).select("id", "source", "size", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), _version(text_col).alias("version"))
+    keys = ["id", "source", "size", "version"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.explode(F.expr("sequence(1L, n)")).alias("copy"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -58,10 +63,10 @@ def _chance(seed: int, *keys: str) -> str:
 
 def _meet(seed: int, id_type: str) -> Column:
     """Fold the members of a leaf: (decided documents, the one that goes on)."""
-    member = f"struct<u:bigint,id:{id_type},size:bigint,copy:bigint,mass:double>"
-    decided = f"array<struct<id:{id_type},size:bigint,copy:bigint,extra:int>>"
-    taken = lambda m, extra: f"named_struct('id', {m}.id, 'size', {m}.size, 'copy', {m}.copy, 'extra', {extra})"
-    on = lambda m, mass: f"named_struct('u', {m}.u, 'id', {m}.id, 'size', {m}.size, 'copy', {m}.copy, 'mass', {mass})"
+    member = f"struct<u:bigint,id:{id_type},size:bigint,version:bigint,copy:bigint,mass:double>"
+    decided = f"array<struct<id:{id_type},size:bigint,version:bigint,copy:bigint,extra:int>>"
+    taken = lambda m, extra: f"named_struct('id', {m}.id, 'size', {m}.size, 'version', {m}.version, 'copy', {m}.copy, 'extra', {extra})"
+    on = lambda m, mass: f"named_struct('u', {m}.u, 'id', {m}.id, 'size', {m}.size, 'version', {m}.version, 'copy', {m}.copy, 'mass', {mass})"
     step = lambda out, rest: f"named_struct('out', concat(s.out, array({out})), 'rest', {rest})"
     both = "(s.rest.mass + x.mass)"
     lo, hi = f"greatest(0D, {both} - x.size)", f"least(CAST(s.rest.size AS DOUBLE), {both})"
@@ -80,11 +85,10 @@ def _copies(share: Column) -> tuple[Column, Column]:
     return whole, F.greatest(F.lit(0.0), share - whole)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 20, leaf: int = LEAF) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, source, copies.
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 20, leaf: int = LEAF) -> DataFrame:
+    """One row per input row: id, source, version (a hash of the text), size, source_size, target, copies.
 
-    ``copies`` whole copies of a document are taken, so ``taken`` is ``copies *
-    size``, never over ``MOST`` sizes.  Documents above ``1 / BIG`` of their
+    ``copies`` whole copies of a document are taken, never over ``MOST``.  Documents above ``1 / BIG`` of their
     source (fewer than ``BIG`` of them) are rounded first; what that rounding
     misses is spread evenly over the others' probabilities.  The last document
     left in each of both parts is rounded to the nearer side, so a source that
@@ -99,10 +103,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per_source = materialize(targets(sized), "targets")
     id_type = sized.schema["id"].dataType.simpleString()
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.xxhash64(F.lit(seed), "id", "size", "copy")
-    member = F.struct(place.alias("u"), "id", "size", "copy", (F.col("size") * F.col("part")).alias("mass"))
+    place = F.xxhash64(F.lit(seed), "id", "size", "version", "copy")
+    member = F.struct(place.alias("u"), "id", "size", "version", "copy", (F.col("size") * F.col("part")).alias("mass"))
     nearer = F.when(F.col("rest.mass") * 2 >= F.col("rest.size"), 1).otherwise(0)
-    decided_columns = ["id", "source", "size", "copy", "whole", "extra"]
+    decided_columns = ["id", "source", "size", "version", "copy", "whole", "extra"]
 
     def with_source(rows: DataFrame, known: DataFrame) -> DataFrame:
         known = known.withColumnRenamed("source", "_source")
@@ -114,10 +118,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return materialize(met.select("source", "leaf", "whole", "m.out", "m.rest"), "met")
 
     def members_out(met: DataFrame) -> DataFrame:
-        return met.select("source", "whole", F.explode("out").alias("o")).select("o.id", "source", "o.size", "o.copy", "whole", "o.extra")
+        return met.select("source", "whole", F.explode("out").alias("o")).select("o.id", "source", "o.size", "o.version", "o.copy", "whole", "o.extra")
 
     def last_out(met: DataFrame) -> DataFrame:
-        return met.select("rest.id", "source", "rest.size", "rest.copy", "whole", nearer.alias("extra"))
+        return met.select("rest.id", "source", "rest.size", "rest.version", "rest.copy", "whole", nearer.alias("extra"))
 
     whole, part = _copies(share)
     known = per_source.select("source", "source_size", whole.alias("whole"), part.alias("part"))
@@ -157,5 +161,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for more in outcomes[1:]:
         decided = decided.unionByName(more)
     out = with_source(decided, per_source.select("source", "source_size", "target"))
-    copies = F.col("whole") + F.col("extra")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).cast("bigint").alias("taken"), F.col("source").alias(source_col), copies.cast("int").alias("copies"))
+    copies = (F.col("whole") + F.col("extra")).cast("int")
+    return out.select("id", "source", "version", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 20) -> DataFrame:
+    """``decide`` as a report: id, size, source_size, target, taken (words, repeats counted), source, copies."""
+    decided = decide(docs, id_col, text_col, source_col, seed=seed)
+    taken = (F.col("size") * F.col("copies")).cast("bigint")
+    return decided.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col), "copies")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 20) -> DataFrame:
+    """The mix itself: every document as many times as ``decide`` takes it, all columns kept.
+
+    Rows equal in id, source and text stand for each other: together they
+    occur as often as all of them are taken.
+    """
+    decided = decide(docs, id_col, text_col, source_col, seed=seed)
+    total = decided.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("version").alias("_version")).agg(F.sum("copies").alias("_taken"), F.count("*").alias("_rows")).where("_taken > 0")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (_version(text_col) == F.col("_version"))
+    joined = docs.join(total, same)
+    each = joined.where("_taken >= _rows").withColumn("_nth", F.explode(F.expr("sequence(1L, _taken div _rows)")))
+    rest = joined.where("_taken % _rows > 0").dropDuplicates(["_id", "_source", "_version"]).withColumn("_nth", F.explode(F.expr("sequence(1L, _taken % _rows)")))
+    return each.unionByName(rest).select(docs.columns)
