@@ -8,11 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lectern.functions import fixed, text
 
-BOOK = Window.partitionBy("book_id").orderBy("block_idx")
-SO_FAR = BOOK.rowsBetween(Window.unboundedPreceding, 0)
+
+def _book() -> WindowSpec:
+    """A book in reading order."""
+    return Window.partitionBy("book_id").orderBy("block_idx")
+
+
+def _so_far() -> WindowSpec:
+    return _book().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def headings(blocks: DataFrame) -> DataFrame:
@@ -29,7 +36,7 @@ def chapter_occurrences(blocks: DataFrame) -> DataFrame:
     all up to the last such are entries of the table of contents.
     """
     found = headings(blocks).where("chapter IS NOT NULL").select("book_id", "block_idx", "page", F.col("chapter.number").alias("number"), F.col("chapter.title").alias("title"))
-    nth, first = F.row_number().over(BOOK), F.min("block_idx").over(Window.partitionBy("book_id"))
+    nth, first = F.row_number().over(_book()), F.min("block_idx").over(Window.partitionBy("book_id"))
     near = F.when(nth.between(fixed.TOC_FIRST, fixed.TOC_LAST) & (F.col("block_idx") - first < fixed.TOC_BLOCKS), F.col("block_idx"))
     ended = found.withColumn("_near", near).withColumn("toc_end", F.coalesce(F.max("_near").over(Window.partitionBy("book_id")) + 1, F.lit(0)))
     return ended.drop("_near").withColumn("in_toc", F.col("block_idx") < F.col("toc_end"))
@@ -65,11 +72,11 @@ def block_labels(blocks: DataFrame) -> DataFrame:
     marked = blocks.join(at, ["book_id", "block_idx"], "left").join(heads, ["book_id", "block_idx"], "left")
     whole = Window.partitionBy("book_id")
     marked = marked.withColumn("toc_end", F.coalesce(F.max("toc_end").over(whole), F.lit(0))).withColumn("has_chapters", F.count("number").over(whole) > 0)
-    marked = marked.withColumn("chapter_num", F.last(F.expr("IF(in_toc, NULL, number)"), True).over(SO_FAR))
+    marked = marked.withColumn("chapter_num", F.last(F.expr("IF(in_toc, NULL, number)"), True).over(_so_far()))
     is_start = F.col("number").isNotNull() & ~F.coalesce("in_toc", F.lit(True))
     section = F.when((F.col("block_idx") >= F.col("toc_end")) & ~is_start & (F.col("heading") != "") & ~F.lower("heading").isin(*fixed.SKIPPED_SECTIONS) & (~F.col("has_chapters") | F.col("chapter_num").isNotNull()), F.col("heading"))
-    changed = F.when(F.col("chapter_num").eqNullSafe(F.lag("chapter_num").over(BOOK)), 0).otherwise(1)
-    marked = marked.withColumn("_section", section).withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(SO_FAR))
+    changed = F.when(F.col("chapter_num").eqNullSafe(F.lag("chapter_num").over(_book())), 0).otherwise(1)
+    marked = marked.withColumn("_section", section).withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(_so_far()))
     within = Window.partitionBy("book_id", "_run").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("section_title", F.last("_section", True).over(within)).select("book_id", "block_idx", "page", "block_type", "text", "chapter_num", "section_title")
 
@@ -105,7 +112,7 @@ def body_end(blocks: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("book_id"))
     sized = blocks.withColumn("_n", n).where((F.col("_n") >= 20) & (F.col("block_idx") >= F.floor(F.col("_n") / 2)))
     heads = headings(sized).where("heading <> ''").withColumn("_named", F.col("heading").rlike("(?i)" + fixed.BACK_MATTER)).withColumn("_letter", F.length("heading") <= 2)
-    run = F.sum(F.expr("IF(_letter, 0, 1)")).over(SO_FAR)
+    run = F.sum(F.expr("IF(_letter, 0, 1)")).over(_so_far())
     heads = heads.withColumn("_run", run)
     in_run = Window.partitionBy("book_id", "_run", "_letter").orderBy("block_idx")
     heads = heads.withColumn("_nth", F.row_number().over(in_run)).withColumn("_start", F.min("block_idx").over(in_run))
@@ -150,7 +157,7 @@ def validate(chapters_: DataFrame, total_pages: DataFrame) -> DataFrame:
 def heading_records(blocks: DataFrame, chars: int = 180) -> DataFrame:
     """Headings (240 characters) with a peek: the body text up to the next heading, cut to ``chars``."""
     is_head = F.col("block_type") == "SectionHeader"
-    runs = blocks.withColumn("_run", F.sum(F.when(is_head, 1).otherwise(0)).over(SO_FAR))
+    runs = blocks.withColumn("_run", F.sum(F.when(is_head, 1).otherwise(0)).over(_so_far()))
     body = ordered_text(runs.where(~is_head), ["book_id", "_run"], "block_idx", joint=" ").withColumnRenamed("text", "_body")
     heads = runs.where(is_head).withColumn("heading", F.left(text.clean_heading(F.col("text")), F.lit(240))).where("heading <> ''")
     return heads.join(body, ["book_id", "_run"], "left").select("book_id", "block_idx", "page", "heading", F.left(F.coalesce("_body", F.lit("")), F.lit(chars)).alias("peek"))
