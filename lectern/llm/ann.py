@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.scratch import materialize
 from lectern.llm.vectors import by_dimension, matrix, unit, usable
+from lectern.llm.workers import map_batches
 
 SEED = 10
 TABLES = 8
@@ -80,7 +81,7 @@ def _hashed(df: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
                     spots[r] = s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spots, pa.list_(pa.int32()))], names=[*batch.schema.names, "spots"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("spots", T.ArrayType(T.IntegerType()))]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField("spots", T.ArrayType(T.IntegerType()))]))
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = SEED, block: int = BLOCK) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.workers import map_batches
+
 # Elements by what the HTML standard makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
@@ -276,4 +278,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", *keep: str) -> DataF
 
     source = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
     schema = T.StructType([*(source.schema[k] for k in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -21,11 +21,12 @@ from xxhash import xxh3_128_digest
 
 from lectern.llm.components import connected_components
 from lectern.llm.scratch import discard, free_shuffles, materialize
+from lectern.llm.workers import map_batches
 
 SIMILARITY = 0.8
 SHINGLE = 6
-#: A pair at the threshold shares one of 12 bands of 5 values with probability 0.991.
-BANDS, ROWS = 12, 5
+#: A pair at the threshold shares one of 10 bands of 5 values with probability 0.981, one at 0.9 with 0.9998.
+BANDS, ROWS = 10, 5
 #: Members of a band's bucket that a task compares at a time; larger buckets are compared block by block.
 BLOCK = 500
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -125,7 +126,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(key), batch.column(1).take(key), pa.array(pos, pa.int32()), name, pa.array(names[which, 0] if len(which) else [], pa.int64()), texts], names=["id", "version", "pos", "line", "short", "text"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "version", "text").mapInArrow(run, f"id {id_type}, version bigint, pos int, line binary, short bigint, text string")
+    return map_batches(docs.select("id", "version", "text"), run, f"id {id_type}, version bigint, pos int, line binary, short bigint, text string")
 
 
 def _banded(texts: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def _banded(texts: DataFrame) -> DataFrame:
                 keys = band_keys(signatures(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "short"])
 
-    return texts.select("short", "text").mapInArrow(run, "key bigint, short bigint")
+    return map_batches(texts.select("short", "text"), run, "key bigint, short bigint")
 
 
 def _met(sorted_bands: DataFrame, hold: int = 4096) -> DataFrame:
@@ -183,39 +184,64 @@ def _met(sorted_bands: DataFrame, hold: int = 4096) -> DataFrame:
         if len(rest_k):
             yield out(rest_k, rest_s)
 
-    return sorted_bands.mapInArrow(run, "bucket bigint, short bigint")
+    return map_batches(sorted_bands, run, "bucket bigint, short bigint")
 
 
-def _verified(similarity: float):
+def _links_of(block: list[int], lines: list[bytes], texts: list[str], similarity: float) -> list[tuple[bytes, bytes]]:
     """Links of a bucket, or of two blocks of it: pairs are compared unless already connected."""
+    one_block = len(set(block)) == 1
+    sets = [shingles(x) for x in texts]
+    root = list(range(len(lines)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for i in range(1, len(lines)):
+        for j in range(i):
+            if not one_block and block[i] == block[j]:
+                continue
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small < similarity * large:
+                continue
+            x, y = find(i), find(j)
+            if x != y and jaccard(sets[i], sets[j]) >= similarity:
+                root[x] = y
+                links.append((lines[i], lines[j]))
+    return links
+
+
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of rows that lie together by (bucket, lo, hi), a block or two at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple[bytes, bytes]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                out.extend(_links_of([r[3] for r in held], [r[4] for r in held], [r[5] for r in held], similarity))
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    close()
+                held.append(row)
+            yield flush()
+        close()
+        yield flush()
 
-    def run(table: pa.Table) -> pa.Table:
-        block, lines = table.column("block").to_pylist(), table.column("line").to_pylist()
-        one_block = len(set(block)) == 1
-        sets = [shingles(x) for x in table.column("text").to_pylist()]
-        root = list(range(len(lines)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        a, b = [], []
-        for i in range(1, len(lines)):
-            for j in range(i):
-                if not one_block and block[i] == block[j]:
-                    continue
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if small < similarity * large:
-                    continue
-                x, y = find(i), find(j)
-                if x != y and jaccard(sets[i], sets[j]) >= similarity:
-                    root[x] = y
-                    a.append(lines[i])
-                    b.append(lines[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return run
+    keys = ["bucket", "lo", "hi"]
+    together = pairs.select(*keys, "block", "line", "text").repartition(*keys).sortWithinPartitions(*keys)
+    return map_batches(together, run, "a binary, b binary")
 
 
 def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -232,22 +258,26 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, block: int =
     dealt = met.join(sizes, "bucket").join(wanted, "short").withColumn("block", F.pmod(F.xxhash64("short"), "blocks"))
     dealt = dealt.select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("against"))
     pairs = dealt.select("bucket", F.least("block", "against").alias("lo"), F.greatest("block", "against").alias("hi"), "block", "line", "text")
-    links = pairs.groupBy("bucket", "lo", "hi").applyInArrow(_verified(similarity), "a binary, b binary")
-    labels = connected_components(links)
+    labels = connected_components(_verified(pairs, similarity))
     discard(met)
     return labels.withColumnRenamed("node", "line")
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, version, drop)``: positions to drop of each document that loses lines."""
-    lines = materialize(_lines(docs), "lines")
+    lines = materialize(_lines(docs), "lines", "zstd")
     labels = similar_lines(lines, similarity)
-    named = lines.select("id", "version", "pos", "line").join(labels, "line", "left")
-    named = named.select(F.struct(F.col("id").isNull().alias("none"), "id", "version", "pos").alias("at"), F.coalesce("component", "line").alias("component"))
-    first = named.groupBy("component").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = named.join(materialize(first, "first"), "component").where("at <> first")
+    at = F.struct(F.col("id").isNull().alias("none"), "id", "version", "pos")
+    each = lines.select("line", at.alias("at")).groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    grouped = each.join(labels, "line", "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"))
+    # Only lines that are not alone are joined with their places.
+    grouped = materialize(grouped, "grouped")
+    first = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    alike = materialize(grouped.select("line", "component").join(first, "component").select("line", "first"), "alike")
+    again = lines.select("line", at.alias("at")).join(alike, "line").where("at <> first")
     out = materialize(again.groupBy("at.id", "at.version").agg(F.collect_set("at.pos").alias("drop")), "removed")
-    discard(lines)
+    for done in (lines, grouped, alike):
+        discard(done)
     free_shuffles(docs.sparkSession)
     return out
 
@@ -271,9 +301,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     version = F.xxhash64(F.col(text_col).cast("string"))
     keyed = docs.select(F.col(id_col).alias("id"), version.alias("version"), F.col(text_col).cast("string").alias("text"))
     gone = removed_lines(keyed, similarity).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("drop").alias("_drop"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (version == F.col("_version")), "left")
+    # Hashing the removals spares sorting the texts.
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (version == F.col("_version")), "left")
     text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col("_drop")))
-    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("bigint")
+    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     dropped = F.coalesce(F.size("_drop"), F.lit(0))
     counted = joined.withColumns({"n_lines": total, "n_removed": F.greatest(dropped, F.lit(0)).cast("bigint"), text_col: text})
     return counted.drop("_id", "_version", "_drop")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.scratch import materialize
+from lectern.llm.workers import map_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -88,7 +89,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
             yield pa.RecordBatch.from_arrays([key, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["id", "piece", "start", "length", "ids_crc32"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_batches(source, run, f"id {source.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack_histogram(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:

@@ -14,6 +14,7 @@ from xxhash import xxh64_intdigest
 
 from lectern.llm.components import connected_components
 from lectern.llm.scratch import free_shuffles, materialize
+from lectern.llm.workers import map_batches
 
 SEED = 42
 
@@ -48,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     schema = T.StructType([T.StructField("id", key.dataType), T.StructField("fp", T.LongType(), False)])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
 def ball(fp: str | F.Column, bit_from: int = -1) -> F.Column:
@@ -74,7 +75,8 @@ def links(distinct: DataFrame) -> DataFrame:
     met = sent.groupBy("variant").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last")
     met = materialize(met.select("variant", "hub"), "met")
     back = met.select("hub", "variant", ball("variant").alias("bit")).select("hub", _flipped("variant", "bit").alias("fp"))
-    pairs = back.join(distinct.select("fp"), "fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    # Statistics don't see the expansion of `back`, so the join is told not to broadcast.
+    pairs = back.join(distinct.select("fp").hint("merge"), "fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return pairs.where("a <> b AND bit_count(a ^ b) <= 2")
 
 

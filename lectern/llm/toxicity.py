@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.workers import map_batches
+
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16, 16, 16, 16
 VOCABULARY, CHAR_PAIRS = 20_000, 4096
@@ -285,7 +287,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 scores = _sigmoid(network.logits(column))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores.astype(np.float64))], names=[*columns, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -310,7 +312,7 @@ def _scores(texts: DataFrame, network: Network, rows_at_once: int = 500) -> Data
             scores = [_sigmoid(network.logits(batch.column(1).slice(at, rows_at_once))) for at in range(0, batch.num_rows, rows_at_once)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores).astype(np.float64) if scores else [], pa.float64())], names=["id", "score"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("score", T.DoubleType())]))
+    return map_batches(texts, run, T.StructType([texts.schema["id"], T.StructField("score", T.DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

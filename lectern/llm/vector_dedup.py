@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from lectern.llm.components import connected_components
 from lectern.llm.scratch import materialize
 from lectern.llm.vectors import by_dimension, matrix, unit, usable
+from lectern.llm.workers import map_batches
 
 THRESHOLD = 0.98
 TREES = 5
@@ -160,7 +161,7 @@ def _routed(nodes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
                         spots[rows[r]].append((t << 24) + int(leaf))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(s) for s in spots], pa.list_(pa.int32()))], names=[*batch.schema.names, "spots"])
 
-    return nodes.mapInArrow(run, T.StructType([*nodes.schema.fields, T.StructField("spots", T.ArrayType(T.IntegerType()))]))
+    return map_batches(nodes, run, T.StructType([*nodes.schema.fields, T.StructField("spots", T.ArrayType(T.IntegerType()))]))
 
 
 def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:

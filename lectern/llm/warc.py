@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.scratch import materialize, new_path
+from lectern.llm.workers import map_batches
 
 #: Payloads under so many bytes are never written as revisits.
 LEAST_REVISIT = 1000
@@ -221,7 +222,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if done:
             yield pa.RecordBatch.from_pydict({"path": [folder.rstrip("/") + w.path.removeprefix(root) for w in done], "records": [w.records for w in done], "bytes": [w.bytes for w in done]})
 
-    return planned.drop("row").mapInArrow(run, "path string, records bigint, bytes bigint")
+    return map_batches(planned.drop("row"), run, "path string, records bigint, bytes bigint")
 
 
 def read_archives(paths: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
     kinds = {"bigint": pa.int64(), "string": pa.string()}
     schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in FIELDS.split(", "))])
-    return paths.select("path").mapInArrow(run, FIELDS)
+    return map_batches(paths.select("path"), run, FIELDS)
 
 
 def _read_page(fields: dict[str, str], block: bytes) -> dict:
