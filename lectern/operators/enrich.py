@@ -57,7 +57,8 @@ def author_guess(blocks: DataFrame, pages: int = 5) -> DataFrame:
     lines = text.html_to_text(F.col("html"), "lines")
     first, second = text.strip(F.get(F.split(lines, "\n"), F.lit(0))), F.lower(F.coalesce(F.get(F.split(lines, "\n"), F.lit(1)), F.lit("")))
     by = text.group_or_null(lines, r"\bby\s+([A-Z][a-z]+(?:\s+[A-Z]\.?\s*)?[A-Z][a-z]+)")
-    guess = F.coalesce(F.when(by.isNotNull(), F.struct(by.alias("author"), F.lit(0.9).alias("confidence"))), F.when(text.any_of(second, fixed.AFFILIATIONS) & first.rlike(name), F.struct(first, F.lit(0.8))), F.when(first.rlike(name), F.struct(first, F.lit(0.5))))
+    sure = lambda c, x: F.struct(c.alias("author"), F.lit(x).alias("confidence"))
+    guess = F.coalesce(F.when(by.isNotNull(), sure(by, 0.9)), F.when(text.any_of(second, fixed.AFFILIATIONS) & first.rlike(name), sure(first, 0.8)), F.when(first.rlike(name), sure(first, 0.5)))
     near = early_pages(blocks, pages).where("block_type = 'Text'").select("book_id", "block_idx", guess.alias("g")).groupBy("book_id").agg(F.expr("min_by(g, block_idx) FILTER (WHERE g IS NOT NULL)").alias("near"))
     entry, flat = r"^([A-Z][a-z]+),\s+([A-Z]\.?\s*[A-Z]?\.?)$", text.html_to_text(F.col("html"))
     turned = F.when(flat.rlike(entry), F.concat_ws(" ", text.strip(F.regexp_extract(flat, entry, 2)), F.regexp_extract(flat, entry, 1)))
