@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network, trained and run in numpy.
 
-Texts are lower-cased words.  A word's input is its embedding joined with the
-mean of its characters' pair embeddings, so unseen spellings have an input
-too.  Windows of ``WINDOW`` words, each overlapping the next by half, run
+Texts are lower-cased words.  A word's input is its embedding, how much oftener
+toxic documents have it than others (for a training document counted without
+its own fold), and the mean of its characters' pair embeddings, so unseen
+spellings have an input too.  Windows of ``WINDOW`` words, each overlapping the next by half, run
 through a GRU in both directions and are pooled by attention; a document's
 score is that of its worst window, and it learns from that window as well
 (multiple-instance learning: labels are of documents, not of passages).
@@ -20,14 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.simhash_dedup import simhash
 from lectern.llm.workers import map_batches
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16, 16, 16, 16
 VOCABULARY, CHAR_PAIRS = 20_000, 4096
+#: A word needs so many sampled texts; its class statistics are what a z-score exceeds chance by, scaled and cut, cross-fitted in parts.
+LEAST_TEXTS, Z_CHANCE, Z_SCALE, Z_MOST, PARTS = 3, 3.5, 2.0, 3.0, 5
 #: The network is fitted on at most so many labelled documents of each class, none longer than so many characters.
 SAMPLE, SAMPLE_CHARS = 2500, 50_000
-EPOCHS, DOCS_PER_STEP, RATE = 6, 32, 0.01
+EPOCHS, DOCS_PER_STEP, RATE, EMBEDDING_RATE = 6, 32, 0.01, 0.01
+#: Few labels are gone through more often: at least so many steps, over at most so many epochs.
+LEAST_STEPS, MOST_EPOCHS = 400, 60
 #: One document in so many, by the CRC-32 of its id, is held out of all fitting.
 FOLDS = 5
 SEED = 1
@@ -82,17 +88,19 @@ class Network:
         init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(F32)
         self.vocabulary, self.prior, self.fitted = vocabulary, prior, False
         dim = WORD_DIM + CHAR_DIM
-        self.word = (rng.standard_normal((len(vocabulary) + 1, WORD_DIM)) * 0.1).astype(F32)
+        self.standing = np.zeros(len(vocabulary) + 1, F32)
+        self.word = (rng.standard_normal((len(vocabulary) + 1, WORD_DIM - 1)) * 0.02).astype(F32)
         self.word[-1] = 0  # words outside the vocabulary
-        self.char = (rng.standard_normal((CHAR_PAIRS, CHAR_DIM)) * 0.3).astype(F32)
+        self.char = (rng.standard_normal((CHAR_PAIRS, CHAR_DIM)) * 0.1).astype(F32)
         # Input weights of both directions side by side; each is update, reset, candidate.
         self.dense = {"wx": init(dim, 6 * HIDDEN), "bx": np.zeros(6 * HIDDEN, F32), "uf": init(HIDDEN, 3 * HIDDEN), "ub": init(HIDDEN, 3 * HIDDEN), "wa": init(2 * HIDDEN, ATTENTION), "ba": np.zeros(ATTENTION, F32), "va": init(ATTENTION), "wo": init(2 * HIDDEN), "bo": np.zeros(1, F32)}
 
-    def inputs(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    def inputs(self, distinct: list[str], standing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
         ids = np.fromiter((self.vocabulary.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
         pairs, starts = char_pairs(distinct)
         sizes = np.diff(np.r_[starts, len(pairs)]).astype(F32)[:, None]
-        x = np.concatenate([self.word[ids], np.add.reduceat(self.char[pairs], starts, axis=0) / sizes], axis=1)
+        known = self.standing if standing is None else standing
+        x = np.concatenate([known[ids, None], self.word[ids], np.add.reduceat(self.char[pairs], starts, axis=0) / sizes], axis=1)
         return x, ids, (pairs, starts), sizes
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -186,21 +194,26 @@ class Network:
         column, y = pa.array(texts, pa.string()), np.array(toxic, dtype=F32)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.dense.items()}
         seen = {"word": np.full_like(self.word, 1e-4), "char": np.full_like(self.char, 1e-4)}
+        epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS * DOCS_PER_STEP // max(1, len(y)))))
+        part = rng.permutation(len(y)) % PARTS
+        counts_of = self._class_counts(column, y, part, firsts(texts))
+        self.standing = standing(counts_of.sum(axis=0))
+        without = [standing(counts_of.sum(axis=0) - counts_of[k]) for k in range(PARTS)]
         steps = 0
-        for epoch in range(EPOCHS):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), DOCS_PER_STEP):
-                docs = order[at : at + DOCS_PER_STEP]
+        for epoch in range(epochs):
+            batches = [own[at : at + DOCS_PER_STEP] for k in range(PARTS) for own in [rng.permutation(np.flatnonzero(part == k))] for at in range(0, len(own), DOCS_PER_STEP)]
+            for b in rng.permutation(len(batches)):
+                docs = batches[b]
                 counts, codes, distinct = words(column.take(pa.array(docs)))
                 if not distinct:
                     continue
-                x, ids, (pairs, starts), sizes = self.inputs(distinct)
+                x, ids, (pairs, starts), sizes = self.inputs(distinct, without[part[docs[0]]])
                 gates = self.project(x)
                 owner, first, length = windows(counts)
                 c, m = self._grid(codes, first, length, len(distinct))
                 logit = self.forward(gates, c, m)
                 # The worst windows of each text: a soft choice at first, then nearly the worst alone.
-                sharp = F32(1 + epoch)
+                sharp = F32(1 + EPOCHS * epoch / epochs)
                 top = np.full(len(docs), -np.inf, F32)
                 np.maximum.at(top, owner, logit)
                 share = np.exp(sharp * (logit - top[owner]))
@@ -223,7 +236,7 @@ class Network:
                     m2 += 0.001 * (v * v - m2)
                     self.dense[k] -= (RATE * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.999**steps)) + 1e-8)).astype(F32)
                 known = ids >= 0
-                self._adagrad("word", seen, ids[known], dx[known, :WORD_DIM])
+                self._adagrad("word", seen, ids[known], dx[known, 1:WORD_DIM])
                 spread = np.repeat(dx[:, WORD_DIM:] / sizes, sizes[:, 0].astype(np.int64), axis=0)
                 rows, inverse = np.unique(pairs, return_inverse=True)
                 summed = np.zeros((len(rows), CHAR_DIM), F32)
@@ -232,13 +245,43 @@ class Network:
         self.fitted = True
         return self
 
+    def _class_counts(self, column: pa.Array, y: np.ndarray, part: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Texts that have each word, by part and class, copies once; the last column counts all texts."""
+        out = np.zeros((PARTS, 2, len(self.vocabulary) + 1))
+        for at in range(0, len(y), 500):
+            counts, codes, distinct = words(column.slice(at, 500))
+            ids = np.fromiter((self.vocabulary.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
+            owner = np.repeat(np.arange(len(counts)), counts) + at
+            once = np.unique(owner * max(1, len(distinct)) + codes)
+            text, word = once // max(1, len(distinct)), ids[once % max(1, len(distinct))]
+            keep = (word >= 0) & first[text]
+            text, word = text[keep], word[keep]
+            np.add.at(out, (part[text], y[text].astype(int), word), 1)
+        np.add.at(out[:, :, -1], (part[first], y[first].astype(int)), 1)
+        return out
+
     def _adagrad(self, name: str, seen: dict[str, np.ndarray], rows: np.ndarray, grad: np.ndarray) -> None:
         seen[name][rows] += grad**2
-        getattr(self, name)[rows] -= 0.05 * grad / np.sqrt(seen[name][rows])
+        getattr(self, name)[rows] -= EMBEDDING_RATE * grad / np.sqrt(seen[name][rows])
+
+
+def firsts(texts: list[str | None], bits: int = 8) -> np.ndarray:
+    """True for texts without an earlier copy or near copy, by their SimHash."""
+    prints = np.array([simhash(t) for t in texts], dtype=np.uint64)
+    return np.array([not (np.bitwise_count(prints[:i] ^ prints[i]) <= bits).any() for i in range(len(prints))], dtype=bool)
+
+
+def standing(counts: np.ndarray) -> np.ndarray:
+    """How much oftener texts of class 1 have each word: how far the z-score of the difference of shares is from chance; 0 for other words."""
+    n0, n1 = np.maximum(counts[:, -1], 1)
+    share = counts.sum(axis=0) / (n0 + n1)
+    z = (counts[1] / n1 - counts[0] / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
+    z[-1] = 0
+    return np.clip(np.sign(z) * np.maximum(np.abs(z) - Z_CHANCE, 0) / Z_SCALE, -Z_MOST, Z_MOST).astype(F32)
 
 
 def vocabulary(texts: list[str | None], size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words that at least two texts have."""
+    """The most frequent words of those that at least ``LEAST_TEXTS`` texts have."""
     held: Counter[str] = Counter()
     for at in range(0, len(texts), 500):
         counts, codes, distinct = words(pa.array(texts[at : at + 500], pa.string()))
@@ -246,7 +289,7 @@ def vocabulary(texts: list[str | None], size: int = VOCABULARY) -> dict[str, int
         once = np.unique(owner * max(1, len(distinct)) + codes) % max(1, len(distinct))
         for i, n in enumerate(np.bincount(once, minlength=len(distinct))):
             held[distinct[i]] += int(n)
-    return {w: i for i, (w, n) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:size]) if n > 1}
+    return {w: i for i, (w, n) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:size]) if n >= LEAST_TEXTS}
 
 
 def held_out(id_col: str) -> F.Column:
