@@ -6,7 +6,7 @@ partitioned by book; a book is one document's blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -179,3 +179,33 @@ def in_order(proposals: DataFrame) -> DataFrame:
     kept = "concat(s, array(named_struct('number', x.number, 'start', x.start)))"
     fold = f"aggregate(proposed, CAST(array() AS {kind}), (s, x) -> IF(x.number > 0 AND x.start >= 0 AND ({rises}), {kept}, s))"
     return proposals.withColumn("accepted", F.expr(fold))
+
+
+def from_chapters(blocks: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Labels from validated chapters (book_id, number, title, start): ranges run to the next start.
+
+    Other headings become sections, but not those that echo the chapter's
+    title within two blocks of it.
+    """
+    starts = accepted.select("book_id", F.col("start").alias("block_idx"), F.col("number").alias("_number"), F.col("title").alias("_title"))
+    heads = headings(blocks).select("book_id", "block_idx", "heading")
+    marked = blocks.join(starts, ["book_id", "block_idx"], "left").join(heads, ["book_id", "block_idx"], "left")
+    last = lambda c: F.last(c, True).over(_so_far())
+    marked = marked.withColumns({"chapter_num": last("_number"), "chapter_title": last("_title"), "_at": last(F.expr("IF(_number IS NULL, NULL, block_idx)"))})
+    echo = text.same_text(F.coalesce("heading", F.lit("")), F.coalesce("chapter_title", F.lit(""))) & (F.col("block_idx") - F.col("_at") <= 2)
+    section = F.when(F.col("_number").isNull() & F.col("chapter_num").isNotNull() & (F.col("heading") != "") & ~echo & ~F.lower("heading").isin(*fixed.SKIPPED_SECTIONS), F.col("heading"))
+    within = Window.partitionBy("book_id", "_at").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_section", section).withColumn("section_title", F.last("_section", True).over(within)).select("book_id", "block_idx", "page", "block_type", "text", "chapter_num", "chapter_title", "section_title")
+
+
+def decision(proposed: Column, accepted: Column) -> Column:
+    """What an audit's answer is worth: ``no_answer``, ``rejected``, ``no_change`` or ``apply``."""
+    return F.when(proposed.isNull(), "no_answer").when(F.size(accepted) == 0, "rejected").when(F.size(accepted) == F.size(proposed), "apply").otherwise("apply_valid")
+
+
+def fit_prompt(heads: DataFrame, budget: int = 38_000, caps: tuple[int, ...] = (120, 96, 64, 40, 0)) -> DataFrame:
+    """Each book's headings as one text within the budget: peeks are cut to the first cap that fits, then the text is."""
+    lines = lambda cap: F.array_join(F.transform("rows", lambda r: F.concat(F.lit("["), r["block_idx"].cast("string"), F.lit("] "), r["heading"], F.when(F.lit(cap > 0) & (r["peek"] != ""), F.concat(F.lit(" :: "), F.left(r["peek"], F.lit(cap)))).otherwise(""))), "\n")
+    listed = heads.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "heading", "peek"))).alias("rows"))
+    fits = [F.when(F.length(lines(c)) <= budget, lines(c)) for c in caps]
+    return listed.select("book_id", F.coalesce(*fits, F.left(lines(0), F.lit(budget))).alias("prompt"))

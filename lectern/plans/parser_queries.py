@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking, sinks, structure
+from lectern.operators import chunking, markdown, sinks, structure
 from lectern.plans.registry import BLOCKS_SQL, blocks, inline, outline, query, table, values_sql
 from lectern.sources import blocks as block_sources
 from lectern.sources import epub, remote, tei
@@ -205,3 +205,92 @@ def r12_embedding(spark: S, d: str) -> DataFrame:
     vector = remote.embed(F.col("text"), lambda: remote.vocabulary_embedder(WORDS))
     made = table(spark, d, "benchmark").withColumn("v", vector)
     return made.select("item_id", *(F.get("v", F.lit(i)).cast("bigint").alias(f"n_{w}") for i, w in enumerate(WORDS)))
+
+
+MARKDOWN = """### Section One: Basics
+# Chapter 1
+_page_3_Picture_1.jpeg
+# **The Sea**
+### **Tides**
+### Notes
+page-7
+### Section 2: More
+# Chapter 2: Land
+## Hills
+page-12
+# Index
+"""
+
+
+@query("""SELECT * FROM (VALUES (0, 'book_section', 1, 'Basics', NULL, NULL, NULL), (1, 'chapter', 1, '', 3, 7, 1), (2, 'section', NULL, 'Tides', 3, NULL, 1),
+  (3, 'book_section', 2, 'More', NULL, NULL, NULL), (4, 'chapter', 2, 'Land', 7, 12, 2), (5, 'section', NULL, 'Hills', 7, NULL, 2)) AS v(nth, kind, number, title, page_start, page_end, parent)""")
+def t06_markdown_structure(spark: S, d: str) -> DataFrame:
+    return markdown.parse_books(inline(spark, "book_id int, text string", [(1, MARKDOWN)])).drop("book_id")
+
+
+@query("SELECT * FROM (VALUES (1, 100), (2, 35)) AS v(number, n_chars)")
+def t35_chapter_text(spark: S, d: str) -> DataFrame:
+    return markdown.chapter_texts(inline(spark, "book_id int, text string", [(1, MARKDOWN)])).select("number", F.length("text").alias("n_chars"))
+
+
+@query("SELECT 1 AS book_id, concat_ws(chr(10), 'Basics', 'Chapter 1 (p. 3)', '  - Tides (p. 3)', 'More', 'Chapter 2: Land (p. 7)', '  - Hills (p. 7)') AS contents")
+def t12_contents(spark: S, d: str) -> DataFrame:
+    return markdown.render_contents(markdown.parse_books(inline(spark, "book_id int, text string", [(1, MARKDOWN)])))
+
+
+ACCEPTED = [(1, 1, "Sea", 0), (1, 2, "Land", 4)]
+AUDITED = [(1, i, 1, "SectionHeader" if t else "Text", t or "x") for i, t in enumerate(["Chapter 1", "SEA", "", "Foam", "Land", "Hills", "", "Notes"])]
+
+
+@query("SELECT * FROM (VALUES (0, 1, NULL), (1, 1, NULL), (2, 1, NULL), (3, 1, 'Foam'), (4, 2, NULL), (5, 2, 'Hills'), (6, 2, 'Hills'), (7, 2, 'Hills')) AS v(block_idx, chapter_num, section_title)")
+def t43_structure_from_chapters(spark: S, d: str) -> DataFrame:
+    rows = inline(spark, "book_id int, block_idx int, page int, block_type string, text string", AUDITED)
+    return structure.from_chapters(rows, inline(spark, "book_id int, number int, title string, start int", ACCEPTED)).select("block_idx", "chapter_num", "section_title")
+
+
+@query("SELECT * FROM (VALUES (1, '[0] Sea :: deep wat'), (2, '[3] Land')) AS v(book_id, prompt)")
+def t41_fit_prompt(spark: S, d: str) -> DataFrame:
+    heads = inline(spark, "book_id int, block_idx int, heading string, peek string", [(1, 0, "Sea", "deep water"), (2, 3, "Land", "")])
+    return structure.fit_prompt(heads, 19, (10, 8, 0))
+
+
+CHECKED = [(1, None, None), (2, [1, 2], []), (3, [1, 2], [1, 2]), (4, [1, 2], [1])]
+
+
+@query("SELECT * FROM (VALUES (1, 'no_answer'), (2, 'rejected'), (3, 'apply'), (4, 'apply_valid')) AS v(id, decision)")
+def t44_decision(spark: S, d: str) -> DataFrame:
+    rows = inline(spark, "id int, p array<int>, a array<int>", CHECKED)
+    return rows.select("id", structure.decision(F.col("p"), F.col("a")).alias("decision"))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT book_id, page, block_idx, text FROM blocks WHERE block_type = 'SectionHeader' AND page = 1")
+def n04_headers_of_a_page(spark: S, d: str) -> DataFrame:
+    return blocks(spark, d).where("block_type = 'SectionHeader' AND page = 1").select("book_id", "page", "block_idx", "text")
+
+
+@query("SELECT doc_id, text FROM documents WHERE lower(left(text, 8)) = lower('The erin')")
+def f06_title_in_any_case(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.lower(F.left("text", F.lit(8))) == "the erin").select("doc_id", "text")
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT book_id, block_idx, page FROM blocks WHERE page BETWEEN 2 AND 3")
+def f07_page_range(spark: S, d: str) -> DataFrame:
+    from lectern.operators import filters
+
+    return blocks(spark, d).where(filters.pages(2, 3)).select("book_id", "block_idx", "page")
+
+
+@query("SELECT d.doc_id, d.lang, r.tag FROM documents d, (VALUES ('en', 'english'), ('de', 'german')) AS r(lang, tag) WHERE contains(d.lang, r.lang)")
+def j16_rules_on_rows(spark: S, d: str) -> DataFrame:
+    """A fixed handful of rules against all rows."""
+    rules = F.broadcast(inline(spark, "rule string, tag string", [("en", "english"), ("de", "german")]))
+    return table(spark, d, "documents").join(rules, F.contains("lang", F.col("rule"))).select("doc_id", "lang", "tag")
+
+
+FILES = [("a.pdf",), ("b.EPUB",), ("c.txt",)]
+
+
+@query("SELECT * FROM (VALUES ('a.pdf', 'pdf'), ('b.EPUB', 'epub'), ('c.txt', 'unsupported')) AS v(path, route)")
+def p01_dispatch(spark: S, d: str) -> DataFrame:
+    suffix = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    return inline(spark, "path string", FILES).select("path", F.when(suffix.isin("pdf", "epub"), suffix).otherwise("unsupported").alias("route"))
