@@ -129,68 +129,128 @@ def _lines(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("id", "version", "text"), run, f"id {id_type}, version bigint, pos int, line binary, short bigint, text string")
 
 
-def _banded(texts: DataFrame) -> DataFrame:
+def _banded(texts: DataFrame, parts: int) -> DataFrame:
+    """``(part, pairs)``: (key, short) of all bands, packed by part of the key.
+
+    A row per batch and part, not per band, is what the shuffle has to carry.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):  # bounds the arrays of shingles
-                part = batch.slice(at, 2000)
-                keys = band_keys(signatures(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "short"])
+            keys = band_keys(signatures(batch.column(1).to_pylist())).ravel()
+            pairs = np.stack([keys, np.repeat(batch.column(0).to_numpy(), BANDS)], axis=1)
+            part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            own, starts = np.unique(part[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(pairs[order], starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(packed, pa.binary())], names=["part", "pairs"])
 
-    return map_batches(texts.select("short", "text"), run, "key bigint, short bigint")
+    return map_batches(texts.select("short", "text"), run, "part bigint, pairs binary")
 
 
-def _met(sorted_bands: DataFrame, hold: int = 4096) -> DataFrame:
-    """``(bucket, short)`` of every band key with two lines or more.
+class _Buckets:
+    """Collects (key, short) pairs and gives the buckets of two lines or more.
 
-    Reads (key, short) in order.  Buckets of equal members get one name, so
-    lines that share many bands are compared once; a bucket above ``hold``
-    members is passed on as it comes, under its key.
+    Memory holds ``most`` pairs and what arrived last: when more come, keys
+    with over ``hold`` lines are passed on as they are and no longer kept.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_s = np.empty(0, np.int64), np.empty(0, np.int64)
-        passing: int | None = None  # the key of a large bucket whose start has been passed on
-
-        def out(keys: np.ndarray, shorts: np.ndarray) -> pa.RecordBatch:
-            nonlocal passing
-            first = np.r_[True, keys[1:] != keys[:-1]]
-            run_ = np.cumsum(first) - 1
-            size = np.bincount(run_)
-            starts = np.flatnonzero(first)
-            with np.errstate(over="ignore"):
-                name = mixed(np.add.reduceat(mixed(shorts.view(np.uint64)), starts) + size.astype(np.uint64)).view(np.int64)
-            large = (size > hold) | (keys[starts] == passing if passing is not None else False)
-            name = np.where(large, keys[starts], name)
-            keep = ((size > 1) | large)[run_]
-            return pa.RecordBatch.from_arrays([pa.array(name[run_][keep]), pa.array(shorts[keep])], names=["bucket", "short"])
+    def __init__(self, hold: int, most: int):
+        self.hold, self.most = hold, most
+        self.kept = np.empty((0, 2), np.int64)
+        self.news: list[np.ndarray] = []
+        self.waiting = 0
+        self.large = np.empty(0, np.int64)
+
+    def add(self, packed: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.news.append(np.frombuffer(packed, np.int64).reshape(-1, 2))
+        self.waiting += len(self.news[-1])
+        if self.waiting > self.most:
+            yield from self._settle()
+            self.most = max(self.most, 2 * len(self.kept))
+
+    def _settle(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        pairs = np.concatenate([self.kept, *self.news])
+        self.news, self.waiting = [], 0
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        if len(pairs):
+            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+        keys, counts = np.unique(pairs[:, 0], return_counts=True)
+        self.large = np.union1d(self.large, keys[counts > self.hold])
+        passed = np.isin(pairs[:, 0], self.large)
+        if passed.any():
+            yield pairs[passed, 0], pairs[passed, 1]
+        self.kept = pairs[~passed]
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rest; buckets of equal members get one name, so lines that share many bands are compared once."""
+        yield from self._settle()
+        if not len(self.kept):
+            return
+        keys, shorts = self.kept[:, 0], self.kept[:, 1]
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        starts = np.flatnonzero(first)
+        size = np.diff(np.r_[starts, len(keys)])
+        with np.errstate(over="ignore"):
+            name = mixed(np.add.reduceat(mixed(shorts.view(np.uint64) if shorts.flags.c_contiguous else shorts.copy().view(np.uint64)), starts) + size.astype(np.uint64)).view(np.int64)
+        run = np.cumsum(first) - 1
+        keep = (size > 1)[run]
+        yield name[run][keep], shorts[keep]
+
+
+def _met(packed: DataFrame, hold: int = 4096, most: int = 2_000_000) -> DataFrame:
+    """``(bucket, short)`` of every band key with two lines or more; parts lie together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(hold, most)
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["bucket", "short"])
         for batch in batches:
-            k, s = np.r_[rest_k, batch.column(0).to_numpy()], np.r_[rest_s, batch.column(1).to_numpy()]
-            if not len(k):
-                continue
-            new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
-            k, s = k[new], s[new]
-            last = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            if len(k) - last > hold:
-                whole, passing_next = len(k) - 1, int(k[-1])
-            else:
-                whole, passing_next = last, None
-            if whole:
-                yield out(k[:whole], s[:whole])
-            if passing is None or passing != k[-1]:
-                passing = passing_next
-            rest_k, rest_s = k[whole:], s[whole:]
-        if len(rest_k):
-            yield out(rest_k, rest_s)
-
-    return map_batches(sorted_bands, run, "bucket bigint, short bigint")
+            for pairs in batch.column(1):
+                yield from map(out, buckets.add(pairs.as_py()))
+        yield from map(out, buckets.close())
+
+    return map_batches(packed, run, "bucket bigint, short bigint")
+
+
+def _shingle_codes(texts: list[str], size: int = SHINGLE) -> list[np.ndarray] | None:
+    """Distinct shingles of each text as sorted numbers, one byte a character; None if a text has others."""
+    try:
+        coded = [np.frombuffer(x.encode("latin-1").ljust(size, b"\0"), np.uint8) for x in texts]
+    except UnicodeEncodeError:
+        return None
+    out = []
+    for c in coded:
+        n = len(c) - size + 1
+        codes = np.zeros(n, np.uint64)
+        for j in range(size):
+            codes = (codes << np.uint64(8)) | c[j : j + n]
+        out.append(np.unique(codes))
+    return out
+
+
+def _alike(texts: list[str], similarity: float):
+    """A test of two of the texts by their exact Jaccard similarity."""
+    codes = _shingle_codes(texts)
+    sets = [shingles(x) for x in texts] if codes is None else codes
+    sizes = [len(x) for x in sets]
+
+    def test(i: int, j: int) -> bool:
+        if min(sizes[i], sizes[j]) < similarity * max(sizes[i], sizes[j]):
+            return False
+        if codes is None:
+            return jaccard(sets[i], sets[j]) >= similarity
+        merged = np.concatenate([sets[i], sets[j]])
+        merged.sort()
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+        return both / (sizes[i] + sizes[j] - both) >= similarity
+
+    return test
 
 
 def _links_of(block: list[int], lines: list[bytes], texts: list[str], similarity: float) -> list[tuple[bytes, bytes]]:
     """Links of a bucket, or of two blocks of it: pairs are compared unless already connected."""
     one_block = len(set(block)) == 1
-    sets = [shingles(x) for x in texts]
+    alike = _alike(texts, similarity)
     root = list(range(len(lines)))
 
     def find(x: int) -> int:
@@ -203,11 +263,8 @@ def _links_of(block: list[int], lines: list[bytes], texts: list[str], similarity
         for j in range(i):
             if not one_block and block[i] == block[j]:
                 continue
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small < similarity * large:
-                continue
             x, y = find(i), find(j)
-            if x != y and jaccard(sets[i], sets[j]) >= similarity:
+            if x != y and alike(i, j):
                 root[x] = y
                 links.append((lines[i], lines[j]))
     return links
@@ -248,7 +305,10 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, block: int =
     """``(line, component)`` for lines that are linked and not the smallest of their component."""
     spark = lines.sparkSession
     texts = lines.where("text IS NOT NULL")
-    met = materialize(_met(_banded(texts).repartition("key").sortWithinPartitions("key", "short")).distinct(), "met")
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many parts as keep a part's pairs within the memory of a task.
+    parts = max(4 * shuffles, texts.count() * BANDS // 1_000_000)
+    met = materialize(_met(_banded(texts, parts).repartition("part")).distinct(), "met")
     free_shuffles(spark)
     needed = met.select("short").distinct()
     wanted = texts.join(needed, "short", "left_semi").groupBy("line", "short").agg(F.first("text").alias("text"))
