@@ -34,7 +34,11 @@ MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    """Lower case, single spaces."""
+    low = line.strip().lower()
+    if low.isprintable() and "  " not in low:  # printable: the only white space is the space
+        return low
+    return " ".join(low.split())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -137,7 +141,9 @@ def _banded(texts: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(signatures(batch.column(1).to_pylist())).ravel()
+            lines = batch.column(1).to_pylist()
+            # Slices keep the arrays of shingles within a processor's cache.
+            keys = np.concatenate([band_keys(signatures(lines[at : at + 300])).ravel() for at in range(0, len(lines), 300)] or [np.empty(0, np.int64)])
             pairs = np.stack([keys, np.repeat(batch.column(0).to_numpy(), BANDS)], axis=1)
             part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -214,17 +220,16 @@ def _met(packed: DataFrame, hold: int = 4096, most: int = 2_000_000) -> DataFram
 
 def _shingle_codes(texts: list[str], size: int = SHINGLE) -> list[np.ndarray] | None:
     """Distinct shingles of each text as sorted numbers, one byte a character; None if a text has others."""
-    try:
-        coded = [np.frombuffer(x.encode("latin-1").ljust(size, b"\0"), np.uint8) for x in texts]
-    except UnicodeEncodeError:
-        return None
     out = []
-    for c in coded:
-        n = len(c) - size + 1
-        codes = np.zeros(n, np.uint64)
-        for j in range(size):
-            codes = (codes << np.uint64(8)) | c[j : j + n]
-        out.append(np.unique(codes))
+    for x in texts:
+        try:
+            data = x.encode("latin-1").ljust(size, b"\0")
+        except UnicodeEncodeError:
+            return None
+        # Eight bytes from every place on, of which the first ``size`` count.
+        codes = np.ndarray(len(data) - size + 1, "<u8", data + bytes(8 - size), strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+        codes.sort()
+        out.append(codes[np.r_[True, codes[1:] != codes[:-1]]])
     return out
 
 
@@ -311,7 +316,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, block: int =
     met = materialize(_met(_banded(texts, parts).repartition("part")).distinct(), "met")
     free_shuffles(spark)
     needed = met.select("short").distinct()
-    wanted = texts.join(needed, "short", "left_semi").groupBy("line", "short").agg(F.first("text").alias("text"))
+    wanted = texts.join(needed.hint("shuffle_hash"), "short", "left_semi").groupBy("line", "short").agg(F.first("text").alias("text"))
     wanted = materialize(wanted, "wanted")
     free_shuffles(spark)
     sizes = met.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
@@ -327,16 +332,19 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, version, drop)``: positions to drop of each document that loses lines."""
     lines = materialize(_lines(docs), "lines", "zstd")
     labels = similar_lines(lines, similarity)
-    at = F.struct(F.col("id").isNull().alias("none"), "id", "version", "pos")
-    each = lines.select("line", at.alias("at")).groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    grouped = each.join(labels, "line", "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"))
-    # Only lines that are not alone are joined with their places.
+    # The first place of a component in three steps of plain minima: id, then version and position within it.
+    each = lines.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    grouped = each.join(labels.hint("shuffle_hash"), "line", "left").select("line", "id", "n", F.coalesce("component", "line").alias("component"))
     grouped = materialize(grouped, "grouped")
-    first = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    alike = materialize(grouped.select("line", "component").join(first, "component").select("line", "first"), "alike")
-    again = lines.select("line", at.alias("at")).join(alike, "line").where("at <> first")
-    out = materialize(again.groupBy("at.id", "at.version").agg(F.collect_set("at.pos").alias("drop")), "removed")
-    for done in (lines, grouped, alike):
+    first = grouped.groupBy("component").agg(F.min("id").alias("first_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    alike = materialize(grouped.select("line", "component").join(first, "component").select("line", "component", "first_id"), "alike")
+    # Only lines that are not alone are joined with their places; hashing them spares sorting all lines.
+    places = lines.select("id", "version", "pos", "line").join(alike.hint("shuffle_hash"), "line")
+    places = materialize(places.select("id", "version", "pos", "component", F.col("id").eqNullSafe(F.col("first_id")).alias("near")), "places")
+    kept = places.where("near").groupBy("component").agg(F.min(F.struct("version", "pos")).alias("first"))
+    again = places.join(kept, "component").where("NOT (near AND version = first.version AND pos = first.pos)")
+    out = materialize(again.groupBy("id", "version").agg(F.collect_set("pos").alias("drop")), "removed")
+    for done in (lines, grouped, alike, places):
         discard(done)
     free_shuffles(docs.sparkSession)
     return out
