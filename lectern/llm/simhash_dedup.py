@@ -7,7 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -17,6 +17,8 @@ from lectern.llm.scratch import free_shuffles, materialize
 from lectern.llm.workers import map_batches
 
 SEED = 42
+#: Fingerprints that a task expands into their balls.
+EXPAND = 50_000
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -52,12 +54,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
-def ball(fp: str | F.Column, bit_from: int = -1) -> F.Column:
-    """All values within one bit of ``fp``: itself (bit -1) and its 64 neighbours."""
-    return F.explode(F.sequence(F.lit(bit_from), F.lit(63)))
+def ball() -> Column:
+    """The bits by which the values within one bit differ: -1 for none, and 0 to 63."""
+    return F.explode(F.sequence(F.lit(-1), F.lit(63)))
 
 
-def _flipped(value: str, bit: str) -> F.Column:
+def _flipped(value: str, bit: str) -> Column:
     return F.expr(f"CASE WHEN {bit} < 0 THEN {value} ELSE {value} ^ shiftleft(1L, {bit}) END")
 
 
@@ -71,10 +73,12 @@ def links(distinct: DataFrame) -> DataFrame:
     star around the smallest stands for all their pairs.  The senders are read
     back from the variant (its own ball), not collected.
     """
-    sent = distinct.select("fp", ball("fp").alias("bit")).select("fp", _flipped("fp", "bit").alias("variant"))
+    # A row becomes 65: dealt out first, so that no task expands too many.
+    spread = distinct.select("fp").repartition(max(1, -(-distinct.count() // EXPAND)))
+    sent = spread.select("fp", ball().alias("bit")).select("fp", _flipped("fp", "bit").alias("variant"))
     met = sent.groupBy("variant").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last")
     met = materialize(met.select("variant", "hub"), "met")
-    back = met.select("hub", "variant", ball("variant").alias("bit")).select("hub", _flipped("variant", "bit").alias("fp"))
+    back = met.select("hub", "variant", ball().alias("bit")).select("hub", _flipped("variant", "bit").alias("fp"))
     # Statistics don't see the expansion of `back`, so the join is told not to broadcast.
     pairs = back.join(distinct.select("fp").hint("merge"), "fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return pairs.where("a <> b AND bit_count(a ^ b) <= 2")
