@@ -318,8 +318,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Network(vocabulary(texts_), prior, seed).fit(texts_, label, seed)
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 500) -> DataFrame:
-    """``docs``' columns with ``score`` (0 to 1) of the whole text; batches are small slices."""
+def score(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "score", rows_at_once: int = 500) -> DataFrame:
+    """``docs`` with the score (0 to 1) of the whole text; a column that has its name already is replaced."""
+    docs = docs.drop(score_col)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +329,9 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                 part = batch.slice(at, rows_at_once)
                 column = part.column(part.schema.get_field_index(text_col))
                 scores = _sigmoid(network.logits(column))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores.astype(np.float64))], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores.astype(np.float64))], names=[*columns, score_col])
 
-    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -360,5 +361,5 @@ def _scores(texts: DataFrame, network: Network, rows_at_once: int = 500) -> Data
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The documents that are not predicted toxic, all columns kept."""
-    scored = score(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col)
-    return scored.where("score < 0.5").select(docs.columns)
+    scored = score(docs, train(docs, labels, id_col, text_col, label_col), text_col, "_toxicity")
+    return scored.where("_toxicity < 0.5").select(docs.columns)

@@ -81,6 +81,8 @@ def test_toxicity_odd_inputs(spark):
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int")
     got = toxicity.score_documents(odd_docs(spark), labels).collect()
     assert len(got) == 8 and all(r.score == 0 for r in got)  # one class only: its share
+    kept = toxicity.keep_clean(odd_docs(spark), labels)
+    assert kept.columns == odd_docs(spark).columns and kept.count() == 8
     assert toxicity.score_documents(odd_docs(spark).where("false"), labels).count() == 0
 
 
