@@ -71,4 +71,4 @@ QUERIES: dict[str, Query] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secret_scan.ORACLE, "op8_warc_archives": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secret_scan.ORACLE, "op6_embedding_near_dedup": vector_dedup.ORACLE, "op8_warc_archives": warc.ORACLE}

@@ -209,3 +209,12 @@ def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     alone = every.where(~takes_part | takes_part.isNull()).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: What the links and components are when every pair is compared.
+ORACLE = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+  r(s, t) AS (SELECT a, b FROM l UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.t)
+  SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, least(e.vec_id, coalesce((SELECT min(t) FROM r WHERE r.s = e.vec_id), e.vec_id)) AS component_id,
+    least(e.vec_id, coalesce((SELECT min(t) FROM r WHERE r.s = e.vec_id), e.vec_id)) = e.vec_id AS kept FROM embeddings e"""
