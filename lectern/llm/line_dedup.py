@@ -11,6 +11,7 @@ position, stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,26 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _windows(body: str, size: int) -> np.ndarray:
+    """A number for the characters from every place on: character j times 256 to the j, summed."""
+    n = len(body) - size + 1
+    try:
+        data = body.encode("latin-1") + bytes(8 - size)
+    except UnicodeEncodeError:
+        points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = points[:n].copy()
+        for j in range(1, size):
+            codes += points[j : j + n] << np.uint64(8 * j)
+        return codes
+    return np.ndarray(n, "<u8", data, strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+
+
 def signatures(lines: list[str], bins: int = BANDS * ROWS, size: int = SHINGLE) -> np.ndarray:
     """One-permutation MinHash: per line the smallest shingle hash of each bin, none empty."""
-    points = np.frombuffer("".join(x.ljust(size, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    body = "".join(x.ljust(size, "\0") for x in lines)
     lengths = np.array([max(size, len(x)) for x in lines])
-    hashes = np.zeros(len(points) - size + 1, dtype=np.uint64)
-    for j in range(size):
-        hashes = hashes * np.uint64(0x100000001B3) + points[j : len(points) - size + 1 + j]
-    inner = np.ones(len(points), dtype=bool)
+    hashes = _windows(body, size)
+    inner = np.ones(len(hashes) + size - 1, dtype=bool)
     ends = np.cumsum(lengths)
     for j in range(1, size):
         inner[ends - j] = False  # shingles that run into the next line
@@ -77,6 +90,12 @@ def signatures(lines: list[str], bins: int = BANDS * ROWS, size: int = SHINGLE)
     return _filled(out.reshape(-1, bins))
 
 
+@cache
+def _probe(attempt: int, bins: int) -> np.ndarray:
+    """The bin that each bin turns to on its nth attempt."""
+    return (mixed(np.arange(bins, dtype=np.uint64) + np.uint64(attempt * 1_000_003)) % np.uint64(bins)).astype(np.int64)
+
+
 def _filled(signature: np.ndarray) -> np.ndarray:
     """Empty bins take the value of another, tried in an order that depends on the bin alone."""
     bins = signature.shape[1]
@@ -85,7 +104,7 @@ def _filled(signature: np.ndarray) -> np.ndarray:
     attempt = 0
     while len(open_rows):
         attempt += 1
-        probe = (mixed(np.arange(bins, dtype=np.uint64) + np.uint64(attempt * 1_000_003)) % np.uint64(bins)).astype(np.int64)
+        probe = _probe(attempt, bins)
         part, from_ = signature[open_rows], source[open_rows][:, probe]
         take = (part == EMPTY) & (from_ != EMPTY)
         part[take] = from_[take] + np.uint32(attempt)
@@ -223,11 +242,10 @@ def _shingle_codes(texts: list[str], size: int = SHINGLE) -> list[np.ndarray] |
     out = []
     for x in texts:
         try:
-            data = x.encode("latin-1").ljust(size, b"\0")
+            x.encode("latin-1")
         except UnicodeEncodeError:
             return None
-        # Eight bytes from every place on, of which the first ``size`` count.
-        codes = np.ndarray(len(data) - size + 1, "<u8", data + bytes(8 - size), strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+        codes = _windows(x.ljust(size, "\0"), size)
         codes.sort()
         out.append(codes[np.r_[True, codes[1:] != codes[:-1]]])
     return out
@@ -312,7 +330,7 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY, block: int =
     texts = lines.where("text IS NOT NULL")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # As many parts as keep a part's pairs within the memory of a task.
-    parts = max(4 * shuffles, texts.count() * BANDS // 1_000_000)
+    parts = max(4 * shuffles, lines.count() * BANDS // 1_000_000)
     met = materialize(_met(_banded(texts, parts).repartition("part")).distinct(), "met")
     free_shuffles(spark)
     needed = met.select("short").distinct()
@@ -342,7 +360,9 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     places = lines.select("id", "version", "pos", "line").join(alike.hint("shuffle_hash"), "line")
     places = materialize(places.select("id", "version", "pos", "component", F.col("id").eqNullSafe(F.col("first_id")).alias("near")), "places")
     kept = places.where("near").groupBy("component").agg(F.min(F.struct("version", "pos")).alias("first"))
-    again = places.join(kept, "component").where("NOT (near AND version = first.version AND pos = first.pos)")
+    # Places in other documents go without being joined, so a common line's many places stay where they are.
+    beside = places.where("near").join(kept, "component").where("NOT (version = first.version AND pos = first.pos)")
+    again = places.where("NOT near").select("id", "version", "pos").unionByName(beside.select("id", "version", "pos"))
     out = materialize(again.groupBy("id", "version").agg(F.collect_set("pos").alias("drop")), "removed")
     for done in (lines, grouped, alike, places):
         discard(done)
