@@ -6,6 +6,7 @@ must agree with the former carry ``(?U)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,15 +83,16 @@ def sample_text(c: Column, size: int) -> Column:
     return F.when(n <= size, c).otherwise(parts)
 
 
-def any_of(text: Column, words: tuple[str, ...]) -> Column:
+def any_of(text: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
 def keyword_subjects(c: Column) -> Column:
     """Subjects whose keywords the text holds; a bare parent goes where a child of it matched."""
     low = F.lower(c)
-    found = F.array_compact(F.array(*(F.when(any_of(low, words), F.lit(name)) for name, words in fixed.SUBJECT_KEYWORDS)))
-    return F.filter(found, lambda s: F.contains(s, F.lit("/")) | ~F.exists(found, lambda x: F.startswith(x, F.concat(s, F.lit("/")))))
+    below = lambda name: [w for n, words in fixed.SUBJECT_KEYWORDS if n.startswith(name + "/") for w in words]
+    hit = lambda name, words: any_of(low, words) & ~any_of(low, below(name)) if below(name) else any_of(low, words)
+    return F.array_compact(F.array(*(F.when(hit(name, words), F.lit(name)) for name, words in fixed.SUBJECT_KEYWORDS)))
 
 
 def keyword_library(c: Column) -> Column:

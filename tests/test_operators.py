@@ -240,3 +240,9 @@ def test_registry_works_without_the_optional_subpackage():
     code = "import sys; sys.modules['lectern.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_bare_subjects_go_where_a_child_matched(spark):
+    rows = [("dbt for a therapist",), ("a therapist",), ("tcp and an algorithm",), ("nothing",)]
+    got = [r.s for r in spark.createDataFrame(rows, "t string").select(text.keyword_subjects(F.col("t")).alias("s")).collect()]
+    assert got == [["therapy/dbt"], ["therapy"], ["cs/networking"], []]
