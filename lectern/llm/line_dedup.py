@@ -370,8 +370,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out
 
 
-def _kept(text: Column, drop: Column) -> Column:
-    lines = F.split(text, "\n", -1)
+def _kept(lines: Column, drop: Column) -> Column:
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
     return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
@@ -391,8 +390,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removed_lines(keyed, similarity).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("drop").alias("_drop"))
     # Hashing the removals spares sorting the texts.
     joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (version == F.col("_version")), "left")
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col("_drop")))
+    # A column of its own: inside the function that picks lines it would be split again for each of them.
+    joined = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split(text_col, "\n", -1)))
+    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(_kept(F.col("_lines"), F.col("_drop")))
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     dropped = F.coalesce(F.size("_drop"), F.lit(0))
     counted = joined.withColumns({"n_lines": total, "n_removed": F.greatest(dropped, F.lit(0)).cast("bigint"), text_col: text})
-    return counted.drop("_id", "_version", "_drop")
+    return counted.drop("_id", "_version", "_drop", "_lines")
