@@ -2,9 +2,10 @@
 
 Each tree splits the vectors again and again by a random direction near the
 median of what a bounded sample projects on it.  Vectors close to a split go
-to both sides (spill), unless that would hardly shrink a side.  Vectors of one
-label are compared within leaves; links found in any tree count once and are
-united.
+to both sides (spill).  A node that no tried direction splits with its spill,
+as in the midst of many near copies, stays one leaf whatever its size.  Vectors
+of one label are compared within leaves; links found in any tree count once and
+are united.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE = 20_000
 #: Half the width of the strip around a split that goes to both sides, and the most of a node that a side may get of it.
 SPILL = 0.015
 SHRINK = 0.7
+#: Directions that a node tries before it stays a leaf.
+TRIES = 8
 SEED = 6
 
 
@@ -47,19 +50,18 @@ class Tree:
             self.leaves[node] = len(self.leaves)
             return
         rng = np.random.default_rng([*self.seed, node])
-        direction = rng.standard_normal(units.shape[1])
-        direction /= np.linalg.norm(direction)
-        at = units @ direction
-        cut = float(np.quantile(at, rng.uniform(0.45, 0.55)))
-        spill = SPILL
-        left, right = at <= cut + spill, at > cut - spill
-        if max(left.sum(), right.sum()) > SHRINK * len(units):
-            spill = 0.0
-            left, right = at <= cut, at > cut
-        if not left.any() or not right.any():
+        for _ in range(TRIES):
+            direction = rng.standard_normal(units.shape[1])
+            direction /= np.linalg.norm(direction)
+            at = units @ direction
+            cut = float(np.quantile(at, rng.uniform(0.45, 0.55)))
+            left, right = at <= cut + SPILL, at > cut - SPILL
+            if max(left.sum(), right.sum()) <= SHRINK * len(units):
+                break
+        else:
             self.leaves[node] = len(self.leaves)
             return
-        self.splits[node] = (direction, cut, spill)
+        self.splits[node] = (direction, cut)
         self._fit(units[left], 2 * node)
         self._fit(units[right], 2 * node + 1)
 
@@ -73,9 +75,9 @@ class Tree:
                 rows.append(own)
                 leaves.append(np.full(len(own), self.leaves[node]))
                 continue
-            direction, cut, spill = self.splits[node]
+            direction, cut = self.splits[node]
             at = units[own] @ direction
-            todo += [(2 * node, own[at <= cut + spill]), (2 * node + 1, own[at > cut - spill])]
+            todo += [(2 * node, own[at <= cut + SPILL]), (2 * node + 1, own[at > cut - SPILL])]
         return np.concatenate(rows), np.concatenate(leaves)
 
 
@@ -124,7 +126,7 @@ def _link_leaf(threshold: float, id_type: pa.DataType):
         wide = np.full((len(spots), max(map(len, spots))), -1)
         for r, s in enumerate(spots):
             wide[r, : len(s)] = s
-        links, left, right = np.zeros(len(x), dtype=np.int64), [], []
+        links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
         for i, j in _pairs(x[:cut], None if lo == hi else x[cut:], threshold):
             j = j if lo == hi else j + cut
             earlier = np.zeros(len(i), dtype=bool)  # met in an earlier leaf: counted there
@@ -136,9 +138,8 @@ def _link_leaf(threshold: float, id_type: pa.DataType):
             i, j = i[~earlier], j[~earlier]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
-            left.append(i)
-            right.append(j)
-        root = local_roots(len(x), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(x))
+            # United as they come: the pairs of a block of near copies are too many to hold.
+            root = local_roots(len(x), np.concatenate([np.arange(len(x)), i]), np.concatenate([root, j]))
         own = np.flatnonzero(links)
         ids = table.column("id")
         return pa.table({"id": ids.take(pa.array(own)).cast(id_type), "other": ids.take(pa.array(root[own])).cast(id_type), "links": pa.array(links[own])})

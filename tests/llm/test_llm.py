@@ -318,6 +318,20 @@ def test_vector_links_match_brute_force(spark, leaf, block):
     assert vector_dedup.vector_groups(table.where("false")).count() == 0
 
 
+def test_large_groups_of_near_vectors_keep_their_links(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + 0.12 * rng.standard_normal((2000, 64)) / 8
+    x = x[rng.permutation(6000)].astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.vector_groups(table, leaf=250, block=1000).collect()}
+    n_links = np.array([got[i] for i in range(6000)])
+    assert want.sum() > 3_000_000 and n_links.sum() >= 0.999 * want.sum() and (n_links <= want).all()
+    assert len(vector_dedup.Tree(u, 250, [1]).leaves) > 4
+
+
 # 7 lines
 
 
