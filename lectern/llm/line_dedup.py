@@ -26,8 +26,8 @@ from lectern.llm.workers import map_batches
 
 SIMILARITY = 0.8
 SHINGLE = 6
-#: A pair at the threshold shares one of 10 bands of 5 values with probability 0.981, one at 0.9 with 0.9998.
-BANDS, ROWS = 10, 5
+#: A pair at the threshold shares one of 16 bands of 5 values with probability 0.9983, one at 0.9 with 0.999999.
+BANDS, ROWS = 16, 5
 #: Members of a band's bucket that a task compares at a time; larger buckets are compared block by block.
 BLOCK = 500
 EMPTY = np.uint32(0xFFFFFFFF)

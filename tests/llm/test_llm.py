@@ -380,6 +380,22 @@ def test_signatures_of_short_lines_are_full():
     assert (s != line_dedup.EMPTY).all() and len(np.unique(line_dedup.band_keys(s))) == 4 * line_dedup.BANDS
 
 
+def test_lines_at_the_threshold_share_a_band():
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    pairs = []
+    while len(pairs) < 3000:
+        a = [rng.choice(vocabulary) for _ in range(rng.randrange(8, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(1, max(2, len(a) // 8))):
+            b[rng.randrange(len(b))] = rng.choice(vocabulary)
+        x, y = " ".join(a), " ".join(b)
+        if 0.8 <= line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y)) < 0.82:
+            pairs.append((x, y))
+    left, right = (line_dedup.band_keys(line_dedup.signatures([p[i] for p in pairs])) for i in (0, 1))
+    assert (left == right).any(axis=1).mean() > 0.997
+
+
 # 8 WARC
 
 
