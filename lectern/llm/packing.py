@@ -15,6 +15,7 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ def byte_alphabet() -> dict[str, int]:
 def encoder(path: str):
     """tiktoken over the vocabulary of a byte-level BPE file; ids equal the file's own.
 
-    Ranks are the ids, which such files number in merge order.  Strings that
-    look like special tokens are ordinary text.
+    Ranks are the ids, which such files number in merge order.  The file's added
+    tokens are split out of texts and get their ids, as ``tokenizers`` does.
     """
     if path not in _encoders:
         import public_tokenizers
@@ -57,10 +58,10 @@ def encoder(path: str):
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {x["content"] for x in model.get("added_tokens", ())}
+        special = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -74,7 +75,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     """``(id, piece, start, length, ids_crc32)``: every document's ids, cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = partial(encoder(tokenizer).encode, allowed_special="all")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):

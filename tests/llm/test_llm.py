@@ -478,6 +478,20 @@ def test_pieces_match_the_tokenizer_and_fill_sequences(spark, data):
     assert packing.pack_documents(odd_docs(spark)).count() >= 8
 
 
+def test_pieces_hold_the_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\n é", "<|endoftext |> <|endoftext|", " <|endoftext|>'s 12 😀" * 300]
+    got = packing.pack_documents(docs_of(spark, [(i, x, "s") for i, x in enumerate(texts)])).collect()
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert ids[0] == [31373, 220, 50256, 2124, 2]
+    for r in got:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(own) == r.length and zlib.crc32(np.array(own, dtype="<u4").tobytes()) == r.ids_crc32
+    assert sum(r.length for r in got) == sum(map(len, ids))
+
+
 # 10 nearest neighbours
 
 
