@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import materialize, new_path
+from lectern.llm.scratch import commit, filesystem, materialize, new_path
 from lectern.llm.workers import map_batches
 
 #: Payloads under so many bytes are never written as revisits.
@@ -118,7 +118,7 @@ class Writer:
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.partial, self.path)
+        commit(self.fs, self.partial, self.path)
 
 
 def read_records(stream: io.BufferedIOBase) -> Iterator[bytes]:
@@ -155,10 +155,6 @@ def read_records(stream: io.BufferedIOBase) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def _record_columns() -> list:
     return [F.col("id").cast("string").alias("page_id"), "url", "payload", "digest", "bytes", F.col("row").cast("string").alias("key")]
 
@@ -202,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     dictionary = train_dictionary([page_record(r, date) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         done: list[Writer] = []
@@ -235,7 +231,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, name = _filesystem(path)
+                fs, name = filesystem(path)
                 rows: list[dict] = []
                 with contextlib.closing(fs.open_input_stream(name, compression=None)) as stream:
                     for data in read_records(stream):
