@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -23,36 +24,50 @@ from lectern.llm.workers import map_batches
 
 # Elements by what the HTML standard makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li summary tbody td tfoot th thead tr".split())
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+#: End tags don't reach past these, those of table parts not past a table.
+SCOPE = frozenset("caption html object table td th".split())
+TABLE_PARTS = frozenset("caption table tbody td tfoot th thead tr".split())
 #: What an opening tag ends, up to the nearest of the second set.
 ENDS = {
-    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
-    "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
-    "tbody": (frozenset("tbody thead tfoot tr td th".split()), frozenset(["table"])),
-    "tfoot": (frozenset("tbody thead tfoot tr td th".split()), frozenset(["table"])),
-    "thead": (frozenset("tbody thead tfoot tr td th".split()), frozenset(["table"])),
-    "option": (frozenset(["option"]), frozenset(["select"])),
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
+    "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
+    "thead": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
+    "option": (("option",), ("select",)),
 }
 #: Elements that never hold article text.
-DROPPED = frozenset("nav aside footer form button dialog menu search fieldset label input select head".split())
-#: Words of a class, id or role that mark what surrounds an article.
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w+|sidebar|side|aside|nav\w*|menu|breadcrumbs?|header|masthead|foot(?:er)?|comments?|replies|disqus|respond|share|sharing|social|related|recommend\w*|pagination|pager|tags?|toolbar|widget|search|login|signup|copyright|skip|complementary|contentinfo|hidden)(?=$|[\s_-])",
-    re.I,
+DROPPED = frozenset("nav aside footer form button dialog menu search fieldset label input select svg head".split())
+#: Elements whose class or id may say that they surround an article; of other elements only an advert's.
+CONTAINERS = frozenset("div section article ul ol dl table center details figure header span a".split())
+ADVERT = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsored".split())
+CHROME = ADVERT | frozenset(
+    "promo promotion banner cookie cookies consent gdpr notice notices popup popover modal overlay newsletter subscribe subscription paywall sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs masthead foot footer comment comments replies disqus respond share sharing social related recommended recommendation recommendations teaser teasers pagination pager tags tagcloud toolbar widget widgets search login signin signup copyright skip hidden".split()
 )
-#: Such a word in the marks of an article's own container does not count.
-OWN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
+#: The last word of a name counts, without those that only say what kind of box it is.
+BOX = frozenset("area articles bar box block buttons container content form group holder icons inner items link links list panel posts region row section slot stories thread tools unit widget wrap wrapper zone".split())
+#: With one of these in front, a name says that something else has such a part.
+HAVING = frozenset("has have with no not without is".split())
+HEADER = frozenset(["header"])
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+
 INLINE_BREAK = frozenset(["br", "hr", "wbr"])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: A quoted value without its end is read as an unquoted one, so that it can't swallow the page.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+TAG_END = re.compile(r"[\s/]*>")
+COMMENT_END = re.compile(r"--!?>")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACE = re.compile(r"\s+")
 #: A paragraph under so many characters earns nothing by its length.
 SHORT = 25
@@ -68,80 +83,152 @@ class Node:
         self.score, self.size, self.linked, self.commas = 0.0, 0, 0, 0
 
 
-def _chrome(tag: str, attributes: str, parent: Node) -> bool:
+def _names(value: str) -> Iterator[str]:
+    """What each name of a class or id is about: its last word that says more than the kind of box."""
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if not words or words[0] in HAVING:
+            continue
+        while len(words) > 1 and (words[-1] in BOX or words[-1].isdigit()):
+            words.pop()
+        yield words[-1]
+
+
+def _chrome(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Does an element surround the article, by its tag, class, id or role?"""
     if tag in DROPPED:
         return True
-    if tag == "header":  # an article's own header has its title
-        node: Node | None = parent
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        return node is None
-    if not attributes or tag in ("body", "html", "article", "main"):
+    if tag == "header" and not in_article:  # an article's own header has its title
+        return True
+    if not attributes or tag in ("body", "html", "main"):
         return False
-    marks = []
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role"):
-            marks.append(value)
-    marks = " ".join(marks)
-    return bool(marks) and bool(CHROME.search(marks)) and not (tag in ("div", "section", "td") and OWN.search(marks) and not re.search(r"comment|sidebar|related|foot|ad(?:s|vert)", marks, re.I))
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return True
+    if attributes.get("role", "").lower() in ROLES and tag in CONTAINERS:
+        return True
+    about = {*_names(attributes.get("class", "")), *_names(attributes.get("id", ""))}
+    if tag not in CONTAINERS:
+        return bool(about & ADVERT)
+    return bool(about & (CHROME if in_article else CHROME | HEADER))
+
+
+class _Tree:
+    """Open elements, and where those of each tag are, so that no tag has to look for its own."""
+
+    def __init__(self):
+        self.root = Node("#root", None)
+        self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks, self.scopes = [0], [0]
+
+    @property
+    def now(self) -> Node:
+        return self.open[-1]
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def push(self, tag: str, attributes: dict[str, str]) -> None:
+        fresh = Node(tag, self.now, _chrome(tag, attributes, bool(self.at["article"] or self.at["main"])))
+        self.now.kids.append(fresh)
+        if tag in VOID:
+            return
+        place = len(self.open)
+        self.open.append(fresh)
+        self.at[tag].append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+        if tag in SCOPE:
+            self.scopes.append(place)
+
+    def close(self, place: int) -> None:
+        """End the element at ``place`` and all within it."""
+        while len(self.open) > place:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        if self.at["head"] and tag not in HEAD:
+            self.close(self.last("head"))
+        if tag in CLOSES_P and self.last("p") > self.scopes[-1]:
+            self.close(self.last("p"))
+        if tag in ENDS:
+            ended, limit = ENDS[tag]
+            least = self.last(*limit)
+            inside = [self.at[t][-1] for t in ended if self.at[t] and self.at[t][-1] > least]
+            if inside:
+                self.close(min(inside))
+        self.push(tag, attributes)
+
+    def end(self, tag: str) -> None:
+        place = self.last(tag)
+        if not place:
+            return
+        if tag in TABLE_PARTS:
+            reach = self.last("table") if tag != "table" else 0
+        else:
+            reach = self.scopes[-1] if tag in BLOCK else self.blocks[-1]
+        if place > reach or place == reach and tag in SCOPE:
+            self.close(place)
+
+    def text(self, text: str) -> None:
+        if self.at["head"] and text.strip():
+            self.close(self.last("head"))
+        self.now.kids.append(text)
 
 
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed and stray tags are put right as browsers do, roughly."""
-    root = Node("#root", None)
-    now, at, end = root, 0, len(page)
+    tree, at, end = _Tree(), 0, len(page)
+    raw_ends: dict[str, re.Pattern] = {}
     unclosed: set[str] = set()
     while at < end:
-        m = TOKEN.search(page, at)
+        m = MARKUP.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
-            now.kids.append(text)
+            tree.text(text)
         if not m:
             break
         at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                now.kids.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag = m[2].lower()
         if m[1]:
-            node = now
-            while node is not root and node.tag != tag and not (tag not in BLOCK and node.tag in BLOCK):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                now = node.parent
+            if page.startswith((">", "->"), at):  # an empty comment, cut short
+                at = page.index(">", at) + 1
+                continue
+            close = COMMENT_END.search(page, at) if "!--" not in unclosed else None
+            if not close:
+                unclosed.add("!--")
+            at = close.end() if close else end
             continue
-        if tag in RAW:
-            # The text of these is no markup and no article, up to their end tag.
-            if not m[3].endswith("/"):
-                close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if not close:
-                    unclosed.add(tag)  # searched once, however often it opens
-                at = close.end() if close else end if tag in ("script", "style", "textarea", "title") else at
+        if m[2]:  # a doctype, an instruction, a section marked as data: all of it up to the next >
+            close_at = page.find(">", at)
+            at = close_at + 1 if close_at >= 0 else end
             continue
-        if tag in CLOSES_P:
-            node = now
-            while node is not root and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                now = node.parent
-        if tag in ENDS:
-            ended, limit = ENDS[tag]
-            node, top = now, None
-            while node is not root and node.tag not in limit:
-                if node.tag in ended:
-                    top = node
-                node = node.parent
-            if top is not None:
-                now = top.parent
-        fresh = Node(tag, now, _chrome(tag, m[3], now))
-        now.kids.append(fresh)
-        if tag not in VOID and not m[3].endswith("/"):
-            now = fresh
-    return root
+        tag, attributes = m[4].lower(), {}
+        while not (closing := TAG_END.match(page, at)):
+            a = ATTRIBUTE.match(page, at)
+            if not a or a.end() == at:
+                break
+            attributes.setdefault(a[1].lower(), html_lib.unescape(next((v for v in (a[2], a[3], a[4]) if v is not None), "")))
+            at = a.end()
+        if not closing:  # the page ends within a tag
+            break
+        at = closing.end()
+        if m[3]:
+            tree.end(tag)
+        elif tag in RAW:
+            # The text of these is no markup and no article, up to their end tag.
+            pattern = raw_ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I))
+            close = None if tag in unclosed else pattern.search(page, at)
+            if not close:
+                unclosed.add(tag)  # searched once, however often it opens
+            at = close.end() if close else end if tag in ("script", "style", "textarea", "title") else at
+        else:
+            tree.start(tag, attributes)
+    return tree.root
 
 
 def _measure(root: Node) -> list[Node]:
@@ -196,34 +283,63 @@ def best_container(root: Node) -> Node:
             up, step = up.parent, step * 2 if step == 1 else step + 1
             if step > 8:
                 break
-    if not containers:
-        return root
+    if not containers:  # nothing but short paragraphs: the first element that says it is the article
+        named = [n for tag in ("article", "main") for n in elements if n.tag == tag and n.size]
+        return named[0] if named else root
     at = {id(n): i for i, n in zip(count(), elements)}
     return max(containers, key=lambda n: (n.score * (1 - link_density(n)), -at.get(id(n), 0)))
 
 
-def _chosen(root: Node) -> list[Node]:
-    """The best container, or it and its siblings: those that score alike, and linkless paragraphs."""
+def _prose(node: Node) -> bool:
+    return node.size >= SHORT and link_density(node) < 0.25
+
+
+def _keeps(parent: Node, best: Node, in_article: bool):
+    """Says which children of ``parent`` stay beside the one that holds the best container."""
+    least = max(4.0, best.score * 0.2)
+
+    def stays(kid: Node | str) -> bool:
+        if isinstance(kid, str):
+            return in_article or len(kid.strip()) >= SHORT
+        if kid.dropped:
+            return False
+        if in_article:  # what an article holds is the article, but for lists of links
+            return kid.tag not in BLOCK or link_density(kid) < 0.5
+        if kid.score >= least and link_density(kid) < 0.5:
+            return True
+        if kid.tag in ("h1", "h2", "h3", "p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"):
+            return bool(kid.size) and link_density(kid) < 0.25
+        return kid.tag not in BLOCK and _prose(kid) or kid.tag == "article" and _prose(kid)
+
+    return stays
+
+
+def _chosen(root: Node) -> list[Node | str | None]:
+    """The best container with its siblings that stay, in page order; None stands where something was left out.
+
+    Within an article element that is all of it that is no list of links; one
+    level outside, the siblings that score alike, articles, headings and
+    linkless paragraphs.
+    """
     best = best_container(root)
+    chosen: list[Node | str | None] = [best]
     node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is not None and not node.dropped and node.tag == "article":
-        return [node]  # what an article element holds is the article
-    if best.parent is None or best.tag in ("body", "html", "article", "main"):
-        return [best]
-    least = max(4.0, best.score * 0.2)
-    chosen = []
-    for k in best.parent.kids:
-        if isinstance(k, str) or k.dropped:
-            continue
-        alike = k is best or k.score >= least or (k.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table") and k.size and link_density(k) < 0.25)
-        if alike:
-            chosen.append(k)
+    while node.parent is not None and node.tag not in ("body", "html", "main"):
+        outer = node.parent
+        while outer is not None and outer.tag != "article":
+            outer = outer.parent
+        in_article = outer is not None
+        stays = _keeps(node.parent, best, in_article)
+        around: list[Node | str | None] = []
+        for kid in node.parent.kids:
+            around += chosen if kid is node else [kid] if stays(kid) else [None] if isinstance(kid, str) or kid.tag in BLOCK else []
+        chosen, node = around, node.parent
+        if not in_article:
+            break
     return chosen
 
 
-def blocks(nodes: list[Node]) -> Iterator[str]:
+def blocks(nodes: list[Node | str | None]) -> Iterator[str]:
     """Text of each block in page order, white space turned into single spaces."""
     parts: list[str] = []
 
@@ -241,7 +357,8 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
         elif isinstance(item, str):
             parts.append(item)
         elif item.dropped:
-            continue
+            if item.tag in BLOCK:
+                yield from flush()
         elif item.tag in INLINE_BREAK:
             if item.tag == "hr":
                 yield from flush()
@@ -266,7 +383,9 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, html_col: str = "html", *keep: str) -> DataFrame:
     """The columns ``keep`` of every row, with ``text`` and ``n_chars``.
 
-    Null, empty and textless pages have text "" and n_chars 0.  Repeated rows
+    Null, empty and textless pages have text "" and n_chars 0.  Broken, deep
+    and very long pages are read to their end, in time that grows with their
+    length; a page that ends within a tag loses that tag.  Repeated rows
     each give a row; an empty table gives none.  Other columns are dropped.
     """
 

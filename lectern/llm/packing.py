@@ -27,8 +27,8 @@ from lectern.llm.workers import map_batches
 
 CAPACITY = 1024
 END_ID = 2
-#: Parts by which pieces of one length are numbered side by side.
-CHUNKS = 256
+#: Pieces of one length are numbered side by side in parts of about so many.
+CHUNK = 50_000
 
 _encoders: dict[str, object] = {}
 
@@ -187,12 +187,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` are not read.
     """
     spark = docs.sparkSession
-    pieces = materialize(tokenized_pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), capacity, end_id), "pieces")
+    cut_up = tokenized_pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), capacity, end_id)
+    pieces = materialize(cut_up.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(slots(pack_histogram(counts, capacity)), "length bigint, lo bigint, hi bigint, first bigint, times bigint, at bigint")
 
-    row = F.monotonically_increasing_id()
-    numbered = pieces.withColumn("_row", row).withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(CHUNKS)))
+    chunks = 1 + max(counts.values(), default=0) // CHUNK
+    numbered = pieces.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)))
     per_chunk = numbered.groupBy("length", "_chunk").agg(F.count("*").alias("n"))
     before = per_chunk.select("length", "_chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("_row")) - 1

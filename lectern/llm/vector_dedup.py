@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lectern.llm.components import connected_components
 from lectern.llm.scratch import materialize
-from lectern.llm.vectors import by_dimension, matrix, unit, usable
+from lectern.llm.vectors import by_dimension, matrix, smallest, unit, usable
 from lectern.llm.workers import map_batches
 
 THRESHOLD = 0.98
@@ -28,8 +28,8 @@ TREES = 5
 #: Vectors of a label that a leaf should hold; leaves that hold more than BLOCK are compared in blocks.
 LEAF = 1000
 BLOCK = 4096
-#: Splits are fitted on at most so many vectors, those with the smallest hashes of their ids.
-SAMPLE = 20_000
+#: Splits are fitted on about so many vectors, by a hash of their ids, and on at most so many numbers.
+SAMPLE, SAMPLE_NUMBERS = 20_000, 8_000_000
 #: Half the width of the strip around a split that goes to both sides, and the most of a node that a side may get of it.
 SPILL = 0.015
 SHRINK = 0.7
@@ -127,6 +127,8 @@ def _link_leaf(threshold: float, id_type: pa.DataType):
         for r, s in enumerate(spots):
             wide[r, : len(s)] = s
         links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        if any((wide == s).any(axis=1).all() for s in wide[0] if 0 <= s < spot):  # all met in one leaf before
+            return pa.table({"id": pa.array([], id_type), "other": pa.array([], id_type), "links": pa.array([], pa.int64())})
         for i, j in _pairs(x[:cut], None if lo == hi else x[cut:], threshold):
             j = j if lo == hi else j + cut
             earlier = np.zeros(len(i), dtype=bool)  # met in an earlier leaf: counted there
@@ -185,8 +187,8 @@ def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     sizes = {r.dim: r.n for r in nodes.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
     forest: dict[int, list[Tree]] = {}
     for dim, most in sizes.items():
-        rows = nodes.where(F.col("dim") == dim).select("v", F.xxhash64("id").alias("h"), "id", "label").orderBy("h", "id", "label").limit(sample).select("v").toArrow()
-        units = unit(matrix(rows.column("v")))
+        most_sampled = max(1, min(sample, SAMPLE_NUMBERS // max(1, dim)))
+        units = unit(matrix(smallest(nodes.where(F.col("dim") == dim), most_sampled, "id", "label").select("id", "label", "v").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).column("v")))
         # Of the largest label, a leaf with so many sampled vectors holds about `leaf`.
         forest[dim] = [Tree(units, max(16, int(leaf * len(units) / most)), [seed, dim, t]) for t in range(trees)]
 

@@ -15,6 +15,10 @@ def usable(column: str) -> Column:
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(parts, lambda x: x != 0), F.lit(False))
 
 
+def norm(column: str) -> Column:
+    return F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))
+
+
 def matrix(column: pa.ListArray) -> np.ndarray:
     """The vectors of an Arrow list column of one dimension, in double precision."""
     if isinstance(column, pa.ChunkedArray):
@@ -32,3 +36,15 @@ def unit(x: np.ndarray) -> np.ndarray:
 def by_dimension(df: DataFrame, column: str) -> DataFrame:
     """Adds ``dim``: vectors of different lengths are never compared."""
     return df.withColumn("dim", F.size(column))
+
+
+def smallest(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """A sample of about ``most`` rows of each ``dim``, the same in every run, without sorting.
+
+    Rows whose hash falls below a threshold, which the count sets; equal rows
+    fall together, so the share of them, not their number, is what is bounded.
+    """
+    share = df.groupBy(F.col("dim").alias("_dim")).agg(F.count("*").alias("_n"))
+    chance = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    few = df.join(F.broadcast(share), F.col("dim") == F.col("_dim"))  # a row for each dimension
+    return few.where(chance * F.col("_n") < most).drop("_dim", "_n")

@@ -13,10 +13,12 @@ import base64
 import contextlib
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -30,7 +32,7 @@ from lectern.llm.workers import map_batches
 
 #: Payloads under so many bytes are never written as revisits.
 LEAST_REVISIT = 1000
-#: The dictionary is built from at most so many records, and so many bytes of each.
+#: The dictionary is built from about so many records, and at most so many bytes of each.
 SAMPLE_RECORDS, SAMPLE_BYTES = 1500, 16_384
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
@@ -43,8 +45,13 @@ FIELDS = "page_id string, record_id string, url string, record_type string, payl
 
 
 def _clean(value: str) -> str:
-    """A header value: no line ends."""
-    return value.replace("\r", "%0D").replace("\n", "%0A")
+    """A header value: white space and control characters percent-encoded, as in a URL."""
+    return re.sub(r"[\x00-\x20\x7f\s]", lambda m: quote(m[0]), value)
+
+
+def _coded(value: str) -> str:
+    """An id as a header value that gives it back exactly."""
+    return quote(value, safe="")
 
 
 def record_id(seed: str) -> str:
@@ -56,22 +63,22 @@ def digest_field(hexed: str) -> str:
 
 
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {_clean(v)}" for k, v in fields), f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(row: dict, date: str) -> bytes:
-    """The response or revisit record of one planned row."""
+def page_record(row: dict, date: str, archive: str) -> bytes:
+    """The response or revisit record of one planned row; ``archive`` names the set, so record ids are its own."""
     payload = row["payload"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n".encode()
-    fields = [("WARC-Record-ID", record_id(row["key"])), ("WARC-Date", date), ("WARC-Target-URI", row["url"] or "urn:none"), ("WARC-Payload-Digest", digest_field(row["digest"])), ("Content-Type", "application/http;msgtype=response")]
+    fields = [("WARC-Record-ID", record_id(f"{archive}/{row['key']}")), ("WARC-Date", date), ("WARC-Target-URI", _clean(row["url"] or "urn:none")), ("WARC-Payload-Digest", digest_field(row["digest"])), ("Content-Type", "application/http;msgtype=response")]
     if row["page_id"] is not None:
-        fields.append(("X-Page-ID", row["page_id"]))
+        fields.append(("X-Page-ID", _coded(row["page_id"])))
     if row["lead_key"] is None:
         return record("response", fields, http + payload)
-    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(row["lead_key"])), ("WARC-Refers-To-Date", date)]
+    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"{archive}/{row['lead_key']}")), ("WARC-Refers-To-Date", date)]
     if row["refers_to"] is not None:
-        fields.append(("X-Refers-To-Page-ID", row["refers_to"]))
+        fields.append(("X-Refers-To-Page-ID", _coded(row["refers_to"])))
     return record("revisit", fields, http)
 
 
@@ -98,7 +105,7 @@ def train_dictionary(samples: list[bytes]) -> bytes | None:
 class Writer:
     """Writes records to one file, visible under its name only when complete."""
 
-    def __init__(self, fs: pa.fs.FileSystem, path: str, dictionary: bytes | None, date: str, attempt: int):
+    def __init__(self, fs: pa.fs.FileSystem, path: str, dictionary: bytes | None, date: str, attempt: int, archive: str):
         self.fs, self.path, self.partial = fs, path, f"{path}.{attempt}.partial"
         self.out, self.bytes, self.records = fs.open_output_stream(self.partial, compression=None), 0, 0
         if dictionary:
@@ -106,7 +113,7 @@ class Writer:
             self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         else:
             self.packer = zstandard.ZstdCompressor(level=LEVEL)
-        self.add(record("warcinfo", [("WARC-Record-ID", record_id(path)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+        self.add(record("warcinfo", [("WARC-Record-ID", record_id(f"{archive}/{path}")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -185,17 +192,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write all rows below ``folder`` (a URI that executors reach); returns ``path, records, bytes`` per file.
 
     Each task writes files of its own and renames them when complete, so a
-    task that runs again, or twice at once, leaves whole files only.  Null
-    html is an empty payload; repeated rows are records of their own; an empty
+    task that runs again, or twice at once, leaves whole files only.  Record
+    ids are unique to this call.  White space and control characters of a URL
+    are percent-encoded; page ids are, and come back as they were.  Null html
+    is an empty payload; repeated rows are records of their own; an empty
     table writes no file.  Other columns are not archived.
     """
+    archive = uuid.uuid4().hex
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = payloads(pages, id_col, url_col, html_col)
     planned = plan(rows, least)
     nothing = F.lit(None).cast("string")
-    sample = rows.withColumns({"h": F.xxhash64("digest"), "payload": F.substring("payload", 1, SAMPLE_BYTES)}).orderBy("h", "row").limit(SAMPLE_RECORDS)
+    # About so many rows by a threshold on their hash: no task gathers the others' candidates.
+    chosen = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.lit(float(max(1, rows.count()))) < F.lit(float(SAMPLE_RECORDS * (1 << 30)))
+    sample = rows.where(chosen).withColumn("payload", F.substring("payload", 1, SAMPLE_BYTES))
     sample = sample.select(*_record_columns(), nothing.alias("lead_key"), nothing.alias("refers_to")).toArrow().to_pylist()
-    dictionary = train_dictionary([page_record(r, date) for r in sample])
+    dictionary = train_dictionary([page_record(r, date, archive) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -206,8 +218,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in batches:
             for row in batch.to_pylist():
                 if writer is None:
-                    writer = Writer(fs, f"{root}/part-{task.partitionId():05d}-{len(done):04d}.warc.zst", dictionary, date, task.taskAttemptId())
-                writer.add(page_record(row, date))
+                    writer = Writer(fs, f"{root}/part-{task.partitionId():05d}-{len(done):04d}.warc.zst", dictionary, date, task.taskAttemptId(), archive)
+                writer.add(page_record(row, date, archive))
                 if writer.bytes >= rotate:
                     writer.close()
                     done.append(writer)
@@ -250,17 +262,24 @@ def read_archives(paths: DataFrame) -> DataFrame:
     return map_batches(paths.select("path"), run, FIELDS)
 
 
+def _decoded(value: str | None) -> str | None:
+    return None if value is None else unquote(value)
+
+
 def _read_page(fields: dict[str, str], block: bytes) -> dict:
     stated = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     head, _, payload = block.partition(b"\r\n\r\n")
     n = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     if fields["WARC-Type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != stated):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not what its record says")
-    return {"page_id": fields.get("X-Page-ID"), "record_id": fields["WARC-Record-ID"], "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": n, "payload_digest": stated, "refers_to": fields.get("X-Refers-To-Page-ID")}
+    return {"page_id": _decoded(fields.get("X-Page-ID")), "record_id": fields["WARC-Record-ID"], "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": n, "payload_digest": stated, "refers_to": _decoded(fields.get("X-Refers-To-Page-ID"))}
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
-    """Write ``pages`` to archives, read them back: one row per page, ids as they were."""
+    """Write ``pages`` to archives, read them back: one row per page, ids as they were.
+
+    Ids of any type that casts to a string and back; null ids stay null.
+    """
     spark = pages.sparkSession
     files = materialize(write_archives(pages, folder or new_path(spark, "warc"), id_col, url_col, html_col), "files")
     n = files.count()

@@ -280,6 +280,88 @@ def test_broken_and_deep_html_ends():
     html_extract.extract("<p <b 'x=\"" * 2000)
 
 
+PROSE = "Some words that make a paragraph long enough, with commas, and more."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<p title="the hidden door">FIRST {PROSE}</p>', f"FIRST {PROSE}"),
+        (f"<p title=it's>Hello {PROSE}", f"Hello {PROSE}"),
+        (f'<a title="x>text</a> {PROSE}', f"text {PROSE}"),
+        (f"<main><article><p>A {PROSE}</p></article><article><p>B {PROSE}</p></article></main>", f"A {PROSE}\nB {PROSE}"),
+        (f"<body><article class=teaser><p>T {PROSE * 5}</p></article><div class=content><p>C {PROSE}</p><p>{PROSE}</p></div>", f"C {PROSE}\n{PROSE}"),
+        (f'<article><p>A {PROSE}</p><section class="article-notice"><p>N {PROSE}</p></section><p class="share-price">P {PROSE}</p><section id="comments-policy"><p>Q {PROSE}</p></section></article>', f"A {PROSE}\nP {PROSE}\nQ {PROSE}"),
+        (f'<article><h2 class="section-header">H</h2><p class="side">{PROSE}</p><table><tr><td class=header>c<td>d</table><ul><li class="menu-item">e</ul></article>', f"H\n{PROSE}\nc\nd\ne"),
+        (f"<article><p>x {PROSE}<![CDATA[zzz]]> y</p></article>", f"x {PROSE} y"),
+        (f"<article><h1>T</h1><div><p>one {PROSE}</p><p>two {PROSE}</p></div><p>short.</p><nav>n</nav>tail <b>bold</b></article>", f"T\none {PROSE}\ntwo {PROSE}\nshort.\ntail bold"),
+        (f"<article><p>a <math><mi>x</mi></math> <object>fb</object> b {PROSE}</p></article>", f"a x fb b {PROSE}"),
+        (f'<div class="has-sidebar"><div class="post"><p>{PROSE}</p></div><div class="sidebar-2"><p>S {PROSE}</p></div></div>', PROSE),
+        (f'<div id=comments><article class="comment"><p>C {PROSE * 9}</p></article></div><article><p>{PROSE}</p></article>', PROSE),
+        ("<article><p>Sh is.</p></article><div>x</div>", "Sh is."),
+        (f"<head><title>t</title><p>{PROSE}<svg><title>s</title><text>t</text></svg><template><p>no</template>", PROSE),
+    ],
+)
+def test_main_text_of_hard_pages(page, text):
+    assert html_extract.extract(page) == text
+
+
+def made_page(rng):
+    """A page and its main text, both from one description."""
+    word = lambda: rng.choice(["stone", "ha", "l&eacute;ger", "x&lt;y", "Ort", "and,"]) + rng.choice(["", "", ","])
+    plain = {"l&eacute;ger": "léger", "x&lt;y": "x<y"}
+    want = []
+
+    def prose(n):
+        words = [word() for _ in range(n)]
+        text = " ".join(words)
+        for k, v in plain.items():
+            text = text.replace(k, v)
+        marked = [f"<{t}>{w}</{t}>" if (t := rng.choice(["b", "i", "", "", "a href='#'"])) and " " not in t else w for w in words]
+        return rng.choice([" ", "\n  ", "<!-- x -->\t"]).join(marked), text
+
+    def block():
+        kind = rng.randrange(6)
+        if kind < 3:
+            html, text = prose(rng.randrange(8, 60))
+            want.append(text)
+            return f"<p>{html}" + rng.choice(["</p>", "", "</p>\n"])
+        if kind == 3:
+            items = [prose(rng.randrange(2, 9)) for _ in range(rng.randrange(1, 4))]
+            want.extend(t for _, t in items)
+            return "<ul>" + "".join(f"<li>{h}" for h, _ in items) + "</ul>"
+        if kind == 4:
+            html, text = prose(4)
+            want.append(text)
+            return f"<h2>{html}</h2>"
+        return rng.choice(["<aside><p>aside, aside, aside, aside, aside, aside</p></aside>", "<div class='related-posts'><p>more, more, more, more, more</p></div>", "<script>var x = '<p>no</p>';</script>", "<section class='comments'><p>I, for one, agree, and so, and on.</p></section>", "<form><p>name, street, town, country, phone</p></form>"])
+
+    head, title = prose(5)
+    want.append(title)
+    body = "".join(block() for _ in range(rng.randrange(4, 12)))
+    html, text = prose(50)
+    want.append(text)
+    page = f"<html><body><header><p>Site, of sites, of all sites, welcome</p></header><nav><ul><li><a href=/>home</a></ul></nav><div class='cookie-banner'>We, like all, use cookies, biscuits, and such</div><article><h1>{head}</h1>{body}<p>{html}</p></article><div id='sidebar'><p>left, right, left, right, left, right</p></div><footer>all rights, reserved, of course</footer>"
+    return page, "\n".join(want)
+
+
+def test_made_pages_give_back_their_text():
+    rng = random.Random(8)
+    for _ in range(300):
+        page, text = made_page(rng)
+        assert html_extract.extract(page) == text
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n, "<div>" * n + "</span>" * n, "<b>" * n + "<p>" * n, "<header>" * n, "<!--" * n, "<a href='" * n, "<table><tr><td>" * n + "</div>" * n, '<a b="c>' * n, "<script>" * n, "<noscript>" * n):
+        began = time.perf_counter()
+        html_extract.extract(page + PROSE)
+        assert time.perf_counter() - began < 3, page[:20]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, f"<p>{LONG}", "x"), (2, None, f"<p>{LONG}", "x")], "page_id int, url string, html string, text string")
     got = html_extract.extract_pages(pages, "html", "page_id", "url").collect()
@@ -410,6 +492,15 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_and_read(pages.where("false")).count() == 0
 
 
+def test_archives_keep_string_ids_and_name_records_once(spark, tmp_path):
+    ids = ["a", " a ", "a\r\nb: c", "100%", "%20", "é\t", "", None]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "page") for i in ids], "page_id string, url string, html string")
+    got = warc.archive_and_read(pages, folder=f"file://{tmp_path}/a").collect()
+    assert Counter(r.page_id for r in got) == Counter(ids)
+    records = [r.record_id for folder in "ab" for r in warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/{folder}")).collect()]
+    assert len(set(records)) == 2 * len(ids)
+
+
 def test_archives_lead_with_their_dictionary(spark, data, tmp_path):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     files = [r.path for r in warc.write_archives(pages, f"file://{tmp_path}/w").collect()]
@@ -455,7 +546,6 @@ def test_pieces_match_the_tokenizer_and_fill_sequences(spark, data):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     docs = spark.read.parquet(f"{data}/documents.parquet").unionByName(docs_of(spark, [(9001, None, "s"), (9002, "", "s"), (9003, "<|endoftext|> é😀\t\n x" * 900, "s"), (9001, None, "s")]))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     got = packing.pack_documents(docs).collect()
@@ -497,11 +587,74 @@ def test_pieces_hold_the_ids_of_added_tokens(spark):
 
 def test_rotations_keep_lengths_and_axes_are_nearest():
     x = np.random.default_rng(0).standard_normal((20, 12))
-    r = ann.rotate(x, 3)
+    r = ann.rotate(x, 16, [3])
     assert np.allclose(np.linalg.norm(r, axis=1), np.linalg.norm(x, axis=1))
-    best = ann.axes(r, 1)[:, 0]
-    assert all(abs(r[i, b // 2]) == np.abs(r[i]).max() and (r[i, b // 2] < 0) == b % 2 for i, b in enumerate(best))
-    assert (ann.axes(r, 5)[:, 0] == best).all()
+    best, gap = ann.axes(r, 1)
+    assert all(abs(r[i, b // 2]) == np.abs(r[i]).max() and (r[i, b // 2] < 0) == b % 2 for i, b in enumerate(best[:, 0])) and not gap.any()
+    five, gaps = ann.axes(r, 5)
+    assert (five[:, 0] == best[:, 0]).all() and (np.diff(gaps, axis=1) >= 0).all()
+
+
+def test_probes_of_long_hashes_are_the_nearest_buckets():
+    x = np.random.default_rng(2).standard_normal((6, 5))
+    how = ann.Hashing(5, 2, 2, 30, 7, None)
+    width, probed = how.width, ann.spots(x, how, True)
+    assert probed.shape == (6, 2, 30) and (probed[:, :, 0] == ann.spots(x, how, False)[:, :, 0]).all()
+    for i, table in itertools.product(range(6), range(2)):
+        far = []
+        for k in range(2):
+            r = ann.rotate(ann.points(x[i : i + 1], how, True), width, [7, table, k, width])[0]
+            value = np.stack([r, -r], axis=1).ravel()
+            far.append((value.max() - value) ** 2)
+        total = {(table * 2 * width + a) * 2 * width + b: far[0][a] + far[1][b] for a in range(2 * width) for b in range(2 * width)}
+        assert np.allclose([total[n] for n in probed[i, table].tolist()], sorted(total.values())[:30])
+    assert set(ann._combinations(3, 5, 4)) == {c for c in itertools.product(range(4), repeat=3) if (c[0] + 1) * (c[1] + 1) * (c[2] + 1) <= 5}
+
+
+def test_equal_vectors_tie_to_smaller_ids_in_every_block(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 19))
+    x = np.concatenate([base[rng.integers(0, 40, 560)], rng.standard_normal((40, 19))])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(5, x[9].tolist()), (7, x[7].tolist())], "vec_id bigint, embedding array<double>")
+    rows = [(i, v) for i, v in enumerate(x)] + [(5, x[9])]
+    got = defaultdict(list)
+    for r in ann.nearest(table, table.where("vec_id % 20 = 0"), 20, block=37, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q, found in got.items():
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float((x[q] * v).sum()))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))
+        assert found == sorted(found, key=lambda p: (-p[1], p[0])) and all(best[i] == score for i, score in found)
+        hits += len(set(found) & set(want[:20]))
+    assert len(got) == 30 and hits >= 0.95 * 600
+
+
+def test_lengths_decide_as_well_as_directions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 24))
+    x *= np.exp(rng.standard_normal((1500, 1)) * 0.8) / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    got = ann.nearest(table, table.where("vec_id % 20 = 0"), 20).collect()
+    scores = x @ x.T - np.diag([np.inf] * 1500)
+    truth = {q: set(np.argsort(-scores[q])[:20].tolist()) for q in range(0, 1500, 20)}
+    assert sum(r.vec_id in truth[r.query_id] for r in got) >= 0.9 * 20 * len(truth)
+
+
+def test_hashes_grow_with_clustered_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((300, 16)), 20, axis=0) + 0.1 * rng.standard_normal((6000, 16))
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    asked = table.where("vec_id % 20 = 0")
+    ready = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
+    how = ann.fitted(ready(table), ready(asked), 10, 8, 1, 0.95, 4096, 8)[16]
+    assert how.length == 2 and how.probes <= ann.MOST_PROBES
+    got = ann.nearest(table, asked, 10, bucket=8).collect()
+    scores = x @ x.T - np.diag([np.inf] * 6000)
+    truth = {q: set(np.argsort(-scores[q])[:10].tolist()) for q in range(0, 6000, 20)}
+    assert sum(r.vec_id in truth[r.query_id] for r in got) >= 0.9 * 10 * len(truth)
 
 
 @pytest.mark.parametrize("block", [4096, 50])
