@@ -649,11 +649,13 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = materialize(_met(_scanned(docs, folder, _parts(docs))).distinct(), "met")
     free_shuffles(spark)
     schema = T.StructType([docs.schema["id"], docs.schema["version"], *(T.StructField(k, t) for k, t in FILED)])
-    needed = met.groupBy("name").agg(F.max(F.col("bucket").isNotNull()).alias("near"))
+    # A table of its own, so that a common line's places can be split from both sides of the join.
+    needed = materialize(met.groupBy("name").agg(F.max(F.col("bucket").isNotNull()).alias("near")), "needed")
     places = materialize(spark.read.schema(schema).parquet(folder).join(needed, "name"), "places")
     labels = similar_lines(met, places, folder, similarity)
     delete(spark, folder)
     discard(met)
+    discard(needed)
     # The first place of a component in three steps of plain minima: id, then version and position within it.
     each = places.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     grouped = each.join(labels, "line", "left").select("line", "id", "n", F.coalesce("component", "line").alias("component"))

@@ -79,8 +79,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(rows, spans)``: a row number for every row, and all reported spans.
 
     ``spans`` has row, kind (position in ``KINDS``), base, start and end in
-    code points, end exclusive.  Weak spans that overlap a base span are part
-    of it and not reported again.
+    code points, end exclusive.  Weak spans within a base span are part of it
+    and not reported again, but they complete others as any part does.
     """
     base = ", ".join(str(i) for i, k in enumerate(KINDS) if k.base)
     part = lambda name: ", ".join(str(i) for i, k in enumerate(KINDS) if k.part == name)
@@ -94,15 +94,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.sum("x.gaps").over(upto) + F.sum(F.coalesce("x.found.size", F.lit(0))).over(upto) - F.coalesce("x.found.size", F.lit(0))
     found = each.select("row", "kind", start.alias("start"), F.col("x.found.size").alias("size"), F.col("x.found.ok").alias("ok")).where("ok")
     found = found.selectExpr("row", "kind", f"kind IN ({base}) AS base", "start", "start + size AS end", f"start div {int(scope)} AS block")
-    # A weak span is in the way of a base span if one that starts before it ends in it, or one starts in it.
-    inside = Window.partitionBy("row").orderBy("start", "kind")
-    before = F.max(F.expr("IF(base, end, NULL)")).over(inside)
-    after = F.min(F.expr("IF(base, start, NULL)")).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    found = found.withColumns({"_before": before, "_after": after}).where("base OR NOT (coalesce(_before > start, false) OR coalesce(_after < end, false))").drop("_before", "_after")
+    # Base kinds come first where starts are equal, so a weak span lies in a base span if one so far ends where it does or later.
+    inside = F.max(F.expr("IF(base, end, NULL)")).over(Window.partitionBy("row").orderBy("start", "kind")) >= F.col("end")
+    found = found.withColumn("reported", F.col("base") | ~F.coalesce(inside, F.lit(False)))
     found = materialize(found, "spans")
 
     blocks = found.groupBy("row", F.col("block").alias("near")).agg(*(f(F.expr(f"IF(kind IN ({part(p)}), start, NULL)")).alias(f"{p}_{side}") for p in ("id", "secret") for side, f in (("lo", F.min), ("hi", F.max))))
-    weak = found.where("NOT base").select("*", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("near"))
+    weak = found.where("reported AND NOT base").select("*", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("near"))
     reach = lambda p: f"coalesce(bool_or(CASE WHEN near < block THEN {p}_hi >= start - {int(scope)} WHEN near > block THEN {p}_lo <= start + {int(scope)} ELSE {p}_lo IS NOT NULL END), false)"
     judged = weak.join(blocks, ["row", "near"]).groupBy("row", "kind", "base", "start", "end").agg(F.expr(reach("id")).alias("has_id"), F.expr(reach("secret")).alias("has_secret"))
     rule = {"id": "has_secret", "secret": "has_id", "url": "has_id AND has_secret"}
@@ -155,8 +153,8 @@ def _oracle() -> str:
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
     a AS MATERIALIZED ({every}),
     o AS MATERIALIZED (SELECT row, kind, base, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s, length(m) AS n FROM a WHERE ok),
-    f AS MATERIALIZED (SELECT row, kind, base, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM o w WHERE base OR NOT EXISTS (SELECT 1 FROM o b WHERE b.base AND b.row = w.row AND b.s < w.s + w.n AND w.s < b.s + b.n)),
-    r AS (SELECT * FROM f WHERE base OR CASE WHEN kind IN ({part('id')}) THEN {near('secret')} WHEN kind IN ({part('secret')}) THEN {near('id')} ELSE {near('id')} AND {near('secret')} END),
+    f AS MATERIALIZED (SELECT row, kind, base, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e, base OR NOT EXISTS (SELECT 1 FROM o b WHERE b.base AND b.row = w.row AND b.s <= w.s AND w.s + w.n <= b.s + b.n) AS reported FROM o w),
+    r AS (SELECT * FROM f WHERE base OR reported AND CASE WHEN kind IN ({part('id')}) THEN {near('secret')} WHEN kind IN ({part('secret')}) THEN {near('id')} ELSE {near('id')} AND {near('secret')} END),
     g AS (SELECT row, {own}, count(*) FILTER (NOT base) AS n_linked,
       string_agg({name} || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (base) AS b, string_agg({name} || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM r GROUP BY row)
     SELECT doc_id, {counts}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN g USING (row)"""

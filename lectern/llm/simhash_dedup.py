@@ -42,16 +42,20 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id_col, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
+    """``(id_col, version, fp)`` for every row; ``fp`` is the fingerprint as a signed long, ``version`` a hash that tells texts apart."""
     key = docs.schema[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "version", "fp"])
 
-    schema = T.StructType([T.StructField("id", key.dataType), T.StructField("fp", T.LongType(), False)])
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema).withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", key.dataType), T.StructField("version", T.LongType(), False), T.StructField("fp", T.LongType(), False)])
+    return map_batches(docs.select(F.col(id_col).alias("id"), _version(text_col).alias("version"), F.col(text_col).cast("string").alias("text")), run, schema).withColumnRenamed("id", id_col)
+
+
+def _version(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def ball() -> Column:
@@ -85,7 +89,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per document: ``id_col``, ``fp`` and ``component_id``.
+    """One row per document: ``id_col``, ``version``, ``fp`` and ``component_id``.
 
     ``component_id`` is the smallest id reachable over links of at most two
     differing bits, the document itself included.  Equal fingerprints are one
@@ -101,15 +105,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    return prints.join(by_print, "fp").select(id_col, "version", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest id of their group, all columns kept.
 
-    A row without an id can't be told from others, so it stays.  Rows that
-    share the id of a kept document stay with it.
+    A row without an id can't be told from others, so it stays.  Rows equal in
+    id and text stay or go together; of rows with one id and different texts
+    each follows the group of its own text.
     """
     groups = simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone = groups.where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = groups.where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("_gone"), F.col("version").alias("_version")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("_gone")) & (_version(text_col) == F.col("_version")), "left_anti")

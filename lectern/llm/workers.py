@@ -9,8 +9,8 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a batch between the JVM and Python; texts can be long.
-BATCH_ROWS = 2000
+#: Rows and bytes of a batch between the JVM and Python; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2000, "64m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -19,6 +19,8 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def give_back() -> None:

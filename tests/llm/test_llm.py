@@ -147,6 +147,13 @@ def test_weak_candidates_need_their_complement(spark):
     assert kinds == {1: [], 2: ["identifier", "assign"], 3: [], 4: ["access", "key", "endpoint"], 5: ["assign"], 6: ["assign"]}
 
 
+def test_weak_candidates_that_hold_base_spans_count(spark):
+    hexed, key = "0123456789abcdef" * 2, "aB3" * 12
+    rows = [(1, f"https://h/x?token=abcdef123 for AKIA{'X' * 16} with {key}", "s"), (2, f"user={hexed} and {key}", "s"), (3, f"user={hexed}", "s")]
+    spans = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in secret_scan.scan_secrets(docs_of(spark, rows)).collect()}
+    assert spans == {1: ["endpoint", "assign", "access", "key"], 2: ["identifier", "hex", "key"], 3: ["identifier", "hex"]}
+
+
 def test_secrets_odd_inputs(spark):
     got = secret_scan.scan_secrets(odd_docs(spark)).collect()
     assert len(got) == 8 and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
@@ -251,6 +258,12 @@ def test_simhash_odd_inputs(spark):
     assert simhash_dedup.simhash_groups(odd_docs(spark).where("false")).count() == 0
 
 
+def test_one_id_with_two_texts_follows_each_text(spark):
+    rows = [(1, "alpha beta gamma delta epsilon", "s"), (2, "alpha beta gamma delta epsilon", "s"), (2, "one two three four five six", "s"), (3, "one two three four five six", "s"), (None, "alpha beta gamma delta epsilon", "s")]
+    kept = simhash_dedup.keep_one(docs_of(spark, rows))
+    assert sorted((str(r.doc_id), r.text[:3]) for r in kept.collect()) == [("1", "alp"), ("2", "one"), ("None", "alp")]
+
+
 # 5 HTML
 
 LONG = "Plain sentences with commas, clauses, and enough words to be read as an article by anyone who looks."
