@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.operators import audit, catalog, filters, index, navigate, retrieval, structure
-from lectern.operators.sinks import Collections, replace_books
+from lectern.operators.sinks import Collections, Versions
 from lectern.sources.remote import Embedder, embed
 
 BOOKS = "id bigint, title string, authors array<string>, isbn string, format string, status string, source_path string, subjects array<string>, library string, publisher string"
-HIT = ("text", "score", "title", "authors", "book_id", "page", "chapter_num", "chapter_title", "block_type", "library")
+#: What is kept of a book besides what is searched.
+TABLES = ("blocks", "labels", "chapters_of_books")
+#: What a collection that does not exist yet looks like to searches.
+CHUNKS = "text string, book_id bigint, page int, chapter_num int, section_title string, block_idx int, piece_idx int, block_type string, title string, authors string, library string, subjects array<string>, embedding array<float>"
 
 
 class Library:
-    """Reads are lazy DataFrames; writes replace whole tables or a book's part of one.
+    """Reads are lazy DataFrames; writes add a version or a batch and then point to it.
 
     ``load`` makes the embedder, once per worker and once here for queries.
     """
@@ -25,96 +28,93 @@ class Library:
     def __init__(self, spark: SparkSession, folder: str, load: Callable[[], Embedder]):
         self.spark, self.folder, self.load = spark, folder.rstrip("/"), load
         self.collections = Collections(spark, self.folder)
+        self.catalog = Versions(spark, f"{self.folder}/books")
 
     # catalog
 
+    def _rows(self) -> DataFrame:
+        """All books ever: deleted ones keep their id."""
+        return self.catalog.read(BOOKS)
+
     def books(self, status: str | None = None) -> DataFrame:
         """The catalog: the newest of its versions, empty if there is none."""
-        path = self._newest()
-        rows = self.spark.read.parquet(path) if path else self.spark.createDataFrame([], BOOKS)
+        rows = self._rows().where("NOT status <=> 'deleted'")
         return (rows if status is None else rows.where(F.col("status") == status)).orderBy("id")
 
-    def _versions(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/books")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/books/{n}/_SUCCESS")))
-
-    def _newest(self) -> str | None:
-        names = self._versions()
-        return f"{self.folder}/books/{names[-1]}" if names else None
-
-    def _save(self, books: DataFrame) -> None:
-        """A new version beside the one that ``books`` may be computed from; it counts when complete."""
-        names = self._versions()
-        nth = int(names[-1][1:]) + 1 if names else 0
-        books.write.mode("overwrite").parquet(f"{self.folder}/books/v{nth:08d}")
-
     def register(self, incoming: DataFrame) -> DataFrame:
-        """Add books (title, source_path and other fields) that aren't known; all with id and already_exists."""
-        seen = catalog.register(self.books(), incoming.select("title", "source_path")).dropDuplicates(["title", "source_path"])
-        fields = [c for c in incoming.columns if c not in ("id", "status")]
-        new = incoming.select(*fields).dropDuplicates(["title", "source_path"]).join(seen.where("NOT already_exists").drop("already_exists"), ["title", "source_path"]).withColumn("status", F.lit("pending"))
-        self._save(self.books().unionByName(new, allowMissingColumns=True))
-        return catalog.register(self.books(), incoming.select("title", "source_path"))
+        """Add books (title, source_path and other fields) that aren't known; all with id and already_exists.
+
+        Ids of deleted books are not given again.
+        """
+        fields = [c for c in incoming.columns if c not in ("id", "status", "title", "source_path")]
+        # Of rows with one title in any case, the first by title and path is the book.
+        same = F.coalesce(F.lower("title"), F.concat(F.lit("/"), "source_path"))
+        asked = incoming.groupBy(same.alias("_same")).agg(F.min(F.struct("title", "source_path", *fields)).alias("b")).select("b.*")
+        before = self.books()
+        seen = catalog.register(before, asked.select("title", "source_path"), self._rows()).where("NOT already_exists")
+        seen = seen.select(F.col("title").alias("_title"), F.col("source_path").alias("_path"), "id")
+        new = asked.join(seen, F.expr("title <=> _title AND source_path <=> _path")).drop("_title", "_path").withColumn("status", F.lit("pending"))
+        self.catalog.save(self._rows().unionByName(new, allowMissingColumns=True))
+        found = catalog.register(self.books(), incoming.select("title", "source_path")).drop("already_exists")
+        known = before.select("id", F.lit(True).alias("already_exists"))
+        return found.join(known, "id", "left").select("title", "source_path", "id", F.coalesce("already_exists", F.lit(False)).alias("already_exists"))
 
     def update(self, changes: DataFrame) -> None:
         """Change books' fields (nulls change nothing) and what their chunks repeat of them."""
-        self._save(catalog.patch(self.books(), changes))
+        self.catalog.save(catalog.patch(self._rows(), changes))
+        ids = changes.select(F.col("id").alias("book_id"))
         about = index.book_fields(self.books()).withColumnRenamed("book_id", "id").join(changes.select("id"), "id", "left_semi")
         for name in Collections.NAMES:
             rows = self.collections.read(name)
             if rows is not None:
-                own = rows.join(changes.select(F.col("id").alias("book_id")), "book_id", "left_semi")
-                self._replace(name, catalog.propagate(own, about, ("title", "authors", "library", "subjects")))
-
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        # Spark can't overwrite what it reads: through a table of its own.
-        staged = f"{self.folder}/staged/{name}"
-        rows.write.mode("overwrite").parquet(staged)
-        self.collections.index(name, self.spark.read.parquet(staged))
+                own = rows.join(ids, "book_id", "left_semi")
+                self.collections.index(name, catalog.propagate(own, about, ("title", "authors", "library", "subjects")))
 
     def delete(self, ids: Iterable[int]) -> None:
-        """Books go from the catalog; searches join with it, so their chunks are found no more."""
+        """Books go from the catalog and from every collection; their ids are not given again, their files stay."""
         gone = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
-        self._save(catalog.delete(self.books(), gone, "id"))
+        marked = self._rows().join(gone.withColumn("_gone", F.lit(True)), "id", "left")
+        nothing = [F.when(F.col("_gone"), F.lit("deleted") if c == "status" else F.lit(None)).otherwise(F.col(c)).alias(c) if c != "id" else F.col(c) for c in self._rows().columns]
+        self.catalog.save(marked.select(*nothing))
+        for name in (*Collections.NAMES, *TABLES):
+            self.collections.remove(name, gone.withColumnRenamed("id", "book_id"))
 
     def profile(self) -> DataFrame:
-        chunks = self.collections.read("full")
-        chunks = self.spark.createDataFrame([], "book_id bigint") if chunks is None else chunks
-        return audit.library_profile(self.books(), chunks)
+        return audit.library_profile(self.books(), self._or_none("full", "book_id bigint"))
+
+    def _or_none(self, name: str, schema: str) -> DataFrame:
+        rows = self.collections.read(name)
+        return self.spark.createDataFrame([], schema) if rows is None else rows
 
     # indexing
 
     def index(self, blocks: DataFrame) -> DataFrame:
-        """Index all books that ``blocks`` has, in place of what they had; per-book coverage."""
-        replace_books(blocks, f"{self.folder}/blocks")
+        """Index all books that ``blocks`` has, in place of what they had; per-book coverage.
+
+        A book that no longer has equations, say, loses those it had.
+        """
+        books = blocks.select(F.col("book_id").cast("bigint").alias("book_id")).distinct()
         labels, chapters = index.structured(blocks)
-        replace_books(labels.drop("text"), f"{self.folder}/labels")
-        replace_books(chapters, f"{self.folder}/chapters_of_books")
-        for name, rows in index.build(blocks, self.books(), lambda c: embed(c, self.load)).items():
-            self.collections.index(name, rows)
-        done = blocks.select(F.col("book_id").alias("id")).distinct().withColumn("status", F.lit("indexed"))
-        self._save(catalog.patch(self.books(), done))
-        return index.coverage(self.collections.read("full"))
+        self.collections.index_all({"blocks": blocks, "labels": labels.drop("text"), "chapters_of_books": chapters}, books)
+        self.collections.index_all(index.build(blocks, self.books(), lambda c: embed(c, self.load)), books)
+        done = books.select(F.col("book_id").alias("id")).withColumn("status", F.lit("indexed"))
+        self.catalog.save(catalog.patch(self._rows(), done))
+        return index.coverage(self._known("full"))
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/blocks")
+        return self._or_none("blocks", "book_id bigint, block_idx int, page int, block_type string, text string")
 
     def labels(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/labels")
+        return self._or_none("labels", "book_id bigint, block_idx int, page int, block_type string, chapter_num int, section_title string")
 
     # search
 
     def _vector(self, query: str) -> Column:
         return F.array(*(F.lit(float(x)) for x in self.load()([query])[0]))
 
-    def _known(self, name: str) -> DataFrame | None:
-        """A collection's rows of books in the catalog, each with a key for ties."""
-        rows = self.collections.read(name)
-        if rows is None:
-            return None
+    def _known(self, name: str) -> DataFrame:
+        """A collection's rows of books in the catalog, each with a key for ties; none if it doesn't exist yet."""
+        rows = self._or_none(name, CHUNKS)
         own = rows.join(self.books().select(F.col("id").alias("book_id")), "book_id", "left_semi")
         place = [c for c in ("block_idx", "piece_idx", "chapter_num", "section_title") if c in rows.columns]
         return own.withColumn("vec_id", F.concat_ws("/", "book_id", *(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 12, " ") for c in place)))
@@ -122,8 +122,6 @@ class Library:
     def search(self, query: str, k: int = 5, *, equations: int = 3, images: DataFrame | None = None, **where) -> DataFrame:
         """Text chunks and, of the best books, equations; with the images of a hit's page if given."""
         vector, rows = self._vector(query), self._known("full")
-        if rows is None:
-            return self.spark.createDataFrame([], "text string, score double")
         texts = retrieval.vector_top_k(rows, vector, k, filters.metadata(**where))
         maths = self._known("equations") if equations else None
         hits = texts.withColumn("result_type", F.lit("text")) if maths is None else retrieval.fused(texts, retrieval.vector_top_k(maths, vector, equations))
@@ -134,8 +132,7 @@ class Library:
         return numbered.join(retrieval.images_of_hits(numbered, images), "hit_id", "left").drop("hit_id")
 
     def search_chapters(self, query: str, k: int = 3, by: str = "relevance") -> DataFrame:
-        rows = self._known("chapters")
-        return self.spark.createDataFrame([], "text string") if rows is None else retrieval.chapters_ordered(rows, self._vector(query), k, by)
+        return retrieval.chapters_ordered(self._known("chapters"), self._vector(query), k, by)
 
     def search_hierarchical(self, query: str, k: int = 5, chapters: int = 3, *, strict: bool = False, **where) -> DataFrame:
         return retrieval.search_rows(retrieval.hierarchical(self._known("full"), self._known("chapters"), self._vector(query), k, chapters, strict=strict, condition=filters.metadata(**where)))

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators import relations
+
 BOOK_COLUMNS = ("title", "authors", "isbn", "format", "status", "status_message", "source_path", "source_hash", "converted_path", "subjects", "library", "extraction_duration_s", "publisher", "year", "extraction_backend")
 
 
-def register(books: DataFrame, incoming: DataFrame) -> DataFrame:
+def register(books: DataFrame, incoming: DataFrame, ever: DataFrame | None = None) -> DataFrame:
     """Incoming rows (title, source_path) with ``already_exists`` and the id each has or gets.
 
     A row is known by its title in any case, else by its path; new ones are
-    numbered after the largest id, in order of title and path.
+    numbered after the largest id, in order of title and path.  ``ever`` (id)
+    holds ids that were given out before, so that none is given twice.
     """
     titles = books.groupBy(F.lower("title").alias("_title")).agg(F.min("id").alias("_by_title"))
     paths = books.where("source_path IS NOT NULL").groupBy(F.col("source_path").alias("_path")).agg(F.min("id").alias("_by_path"))
     known = incoming.join(titles, F.lower("title") == F.col("_title"), "left").join(paths, F.col("source_path") == F.col("_path"), "left")
     known = known.withColumn("_known", F.coalesce("_by_title", "_by_path")).select(*incoming.columns, "_known")
     old = known.where("_known IS NOT NULL").select(*incoming.columns, F.col("_known").alias("id"), F.lit(True).alias("already_exists"))
-    top = books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    nth = F.row_number().over(Window.orderBy("title", "source_path"))  # numbers new books only
-    new = known.where("_known IS NULL").withColumn("_nth", nth).join(F.broadcast(top), F.lit(True))
+    top = (books if ever is None else ever).agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    new = relations.numbered(known.where("_known IS NULL"), "title", "source_path", name="_nth").join(F.broadcast(top), F.lit(True))  # one row
     return old.unionByName(new.select(*incoming.columns, (F.col("_top") + F.col("_nth")).alias("id"), F.lit(False).alias("already_exists")))
 
 

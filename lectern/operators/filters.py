@@ -20,7 +20,7 @@ def subject(tag: str, column: str = "subjects", *, strict: bool = False) -> Colu
     stem = tag.removesuffix("/*")
     if strict:
         return F.exists(F.col(column), lambda s: (s == stem) | F.startswith(s, F.lit(stem + "/")))
-    return F.contains(F.to_json(F.col(column)), F.lit(stem.replace("/", "/")))
+    return F.contains(F.to_json(F.col(column)), F.lit(stem))
 
 
 def subjects(tags: Iterable[str], column: str = "subjects", *, strict: bool = False) -> Column:

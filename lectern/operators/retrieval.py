@@ -15,13 +15,29 @@ def vector_top_k(rows: DataFrame, query: Column, k: int = 5, condition: Column |
     return found.where(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k best rows for each of a stated, small set of queries (``query_id``, ``query_vector``).
+#: Queries that are sent to every task at once.
+SENT_QUERIES = 2000
 
-    The queries, not the rows, are sent to every task; each task's ranking
-    keeps k rows per query before anything is shuffled.
+
+def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", most: int = SENT_QUERIES) -> DataFrame:
+    """The k best rows for each of a stated set of queries (``query_id``, ``query_vector``).
+
+    Up to ``most`` queries, which are counted, are sent to every task, not the
+    rows; each task's ranking keeps k rows per query before anything is
+    shuffled.  More queries meet the rows in blocks, dealt by hash on both
+    sides.
     """
-    pairs = rows.select(F.col(key), F.col(vector)).join(F.broadcast(queries), F.lit(True)).select("query_id", key, scored(cosine(F.col(vector), F.col("query_vector"))).alias("score"))
+    own, asked = rows.select(F.col(key), F.col(vector)), queries.select("query_id", "query_vector")
+    blocks = -(-queries.count() // most)
+    if blocks <= 1:
+        met = own.join(F.broadcast(asked), F.lit(True))
+    else:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = own.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_block", each(blocks))
+        right = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", each(parts))
+        met = left.join(right, ["_part", "_block"])
+    pairs = met.select("query_id", key, scored(cosine(F.col(vector), F.col("query_vector"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return pairs.where(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.operators import audit, catalog, enrich, metrics
+from lectern.operators import audit, catalog, enrich, metrics, relations
 from lectern.plans.registry import BLOCKS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, query, quoted, table, values_sql
 from lectern.operators.structure import block_labels
 
@@ -15,8 +15,7 @@ S = SparkSession
 
 @query("SELECT 'documents' AS collection, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'pages', count(*) FROM pages")
 def a05_collection_counts(spark: S, d: str) -> DataFrame:
-    counts = [table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("collection"), "n") for t in ("documents", "embeddings", "pages")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return relations.counted_tables({t: table(spark, d, t) for t in ("documents", "embeddings", "pages")})
 
 
 @query("SELECT coalesce(json_extract_string(props, '$.k'), 'Unknown') AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -26,8 +25,7 @@ def a02_metadata_counts(spark: S, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NOT NULL")
 def a03_indexed_ids(spark: S, d: str) -> DataFrame:
-    ids = table(spark, d, "events").select(F.get_json_object("props", "$.k").try_cast("int").alias("k"))
-    return ids.where("k IS NOT NULL").distinct()
+    return relations.whole_numbers(table(spark, d, "events"), F.get_json_object("props", "$.k"), "k")
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT block_type, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM blocks GROUP BY block_type")
@@ -146,7 +144,7 @@ def a20_report_means(spark: S, d: str) -> DataFrame:
 
 @query("SELECT doc_id // 50 AS book_id, coalesce(max(doc_id % 50), 0) AS pages FROM documents GROUP BY ALL")
 def a25_page_counts(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.expr("doc_id div 50").alias("book_id")).agg(F.coalesce(F.max(F.col("doc_id") % 50), F.lit(0)).alias("pages"))
+    return relations.last_page(table(spark, d, "documents"), F.expr("doc_id div 50"), F.col("doc_id") % 50, "book_id")
 
 
 METADATA = [("a", 2, "Late", None, ["x", "y"]), ("a", 1, None, 1999, ["z"]), ("a", 3, "Last", 2001, ["y", "w"]), ("b", 1, None, None, None), ("b", 2, "Only", None, ["q", "q"])]
@@ -261,12 +259,12 @@ def p03_state_guards(spark: S, d: str) -> DataFrame:
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def j02_left_join_default(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").fillna(-1, ["quality"])
+    return relations.with_fields(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", quality=-1)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j13_anti_join(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return relations.unmatched(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 ISBNS = [(1, "978-3-16 148410-0"), (2, "0130144011"), (3, None)]
@@ -282,7 +280,7 @@ def j15_isbn_lookup(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {OUTLINE_SQL} SELECT book_id, count(*) AS n FROM outline WHERE block_type = 'SectionHeader' GROUP BY ALL HAVING count(*) > 3")
 def o03_limits_after_group(spark: S, d: str) -> DataFrame:
-    return outline(spark, d).where("block_type = 'SectionHeader'").groupBy("book_id").agg(F.count("*").alias("n")).where("n > 3")
+    return relations.groups_over(outline(spark, d).where("block_type = 'SectionHeader'"), "book_id", 3)
 
 
 LISTS = [(1, ["a", "b"], ["b", "c"]), (2, [], ["x"]), (3, ["m"], [])]
@@ -296,9 +294,10 @@ def u04_list_sets(spark: S, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels")
 def u02_set_union(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id").union(table(spark, d, "labels").select("doc_id")).distinct()
+    some = table(spark, d, "documents").where("doc_id % 2 = 0")  # so that neither side has all keys
+    return relations.keys_of_all("doc_id", some, table(spark, d, "labels"))
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u03_set_difference(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
+    return relations.keys_only_in("doc_id", table(spark, d, "documents"), table(spark, d, "labels"))
\ No newline at end of file

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import audit, catalog, chunking, enrich, filters, metrics, structure
+from lectern.operators import audit, catalog, chunking, enrich, filters, metrics, relations, structure
 from lectern.plans.collection_queries import METRICS_SQL, _scores, _terms
 from lectern.plans.registry import BLOCKS_SQL, HEADS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, query, table, values_sql
 from lectern.sources import remote
@@ -56,23 +56,22 @@ def f09_presence(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {BLOCKS_SQL} SELECT b.book_id, b.block_idx, coalesce(nullif(d.source, ''), 'Unknown') AS title FROM blocks b LEFT JOIN documents d ON d.doc_id = b.book_id AND d.doc_id % 2 = 0")
 def j01_blocks_with_titles(spark: S, d: str) -> DataFrame:
-    books = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"))
-    joined = blocks(spark, d).select("book_id", "block_idx").join(books, "book_id", "left")
-    return joined.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown")))
+    books = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"))  # every second book is missing, so that the default shows
+    return relations.with_fields(blocks(spark, d).select("book_id", "block_idx"), books, "book_id", title="Unknown")
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT l.doc_id, coalesce(n, 0) AS chunks FROM labels l LEFT JOIN (SELECT book_id, count(*) AS n FROM blocks WHERE block_type = 'Code' GROUP BY ALL) c ON c.book_id = l.doc_id")
 def j03_counts_default_zero(spark: S, d: str) -> DataFrame:
-    n = blocks(spark, d).where("block_type = 'Code'").groupBy(F.col("book_id").alias("doc_id")).agg(F.count("*").alias("chunks"))
-    return table(spark, d, "labels").select("doc_id").join(n, "doc_id", "left").fillna(0, ["chunks"])
+    code = blocks(spark, d).where("block_type = 'Code'").select(F.col("book_id").alias("doc_id"))
+    return relations.tallied(table(spark, d, "labels").select("doc_id"), code, "doc_id", chunks=F.count("*"))
 
 
 @query(f"""WITH {BLOCKS_SQL} SELECT d.doc_id, coalesce(a.n, 0) AS blocks, coalesce(b.n, 0) AS headers, coalesce(c.p, 0) AS pages FROM documents d LEFT JOIN (SELECT book_id, count(*) AS n FROM blocks GROUP BY ALL) a ON a.book_id = d.doc_id
   LEFT JOIN (SELECT book_id, count(*) AS n FROM blocks WHERE block_type = 'SectionHeader' GROUP BY ALL) b ON b.book_id = d.doc_id LEFT JOIN (SELECT book_id, max(page) AS p FROM blocks GROUP BY ALL) c ON c.book_id = d.doc_id""")
 def j04_many_left_joins(spark: S, d: str) -> DataFrame:
     """Three joins in the reference's habit; here one aggregate, then one join."""
-    n = blocks(spark, d).groupBy(F.col("book_id").alias("doc_id")).agg(F.count("*").alias("blocks"), F.count_if(F.col("block_type") == "SectionHeader").alias("headers"), F.max("page").alias("pages"))
-    return table(spark, d, "documents").select("doc_id").join(n, "doc_id", "left").fillna(0)
+    rows = blocks(spark, d).withColumnRenamed("book_id", "doc_id")
+    return relations.tallied(table(spark, d, "documents").select("doc_id"), rows, "doc_id", blocks=F.count("*"), headers=F.count_if(F.col("block_type") == "SectionHeader"), pages=F.max("page"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE label >= 5 AND vec_id % 20 IN (SELECT vec_id % 20 FROM embeddings WHERE vec_id < 3)")
@@ -91,9 +90,8 @@ def j06_semi_by_chapter(spark: S, d: str) -> DataFrame:
 @query("SELECT e.event_id, o.v FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS v FROM events WHERE event_type = 'view' GROUP BY ALL) o ON e.user_id = o.user_id AND e.ts >= o.ts")
 def j07_as_of_backward(spark: S, d: str) -> DataFrame:
     """The last view at or before each event of a user, without a join."""
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    seen = table(spark, d, "events").withColumn("_at", F.when(F.col("event_type") == "view", F.struct("ts", "event_id")))
-    return seen.select("event_id", F.max("_at").over(w)["event_id"].alias("v"))
+    seen = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return relations.as_of(seen, "user_id", "ts", "event_id", F.col("event_type") == "view", "v").select("event_id", "v")
 
 
 @query(f"WITH {LABELS_SQL} SELECT book_id, block_idx, chapter_num, section_title FROM labels WHERE section_title IS NOT NULL")
@@ -107,7 +105,7 @@ SHOWN = [(1, "a", 3, 4), (1, "b", 4, None), (1, "c", None, 9), (2, "d", 3, 3)]
 @query(f"WITH i AS (SELECT * FROM {values_sql('book_id, image, page, marker_page', SHOWN)}), p AS (SELECT * FROM (VALUES (1, 3), (1, 4), (2, 3)) AS v(book_id, pg)) SELECT p.book_id, p.pg, i.image FROM p JOIN i ON i.book_id = p.book_id AND (i.page = p.pg OR i.marker_page = p.pg)")
 def j10_either_page(spark: S, d: str) -> DataFrame:
     """The OR becomes one row per distinct page, so the join has a key."""
-    images = inline(spark, "book_id int, image string, page int, marker_page int", SHOWN).withColumn("pg", F.explode(F.array_distinct(F.array_compact(F.array("page", "marker_page")))))
+    images = relations.on_either(inline(spark, "book_id int, image string, page int, marker_page int", SHOWN), ["page", "marker_page"], "pg")
     return inline(spark, "book_id int, pg int", [(1, 3), (1, 4), (2, 3)]).join(images, ["book_id", "pg"]).select("book_id", "pg", "image")
 
 
@@ -122,14 +120,13 @@ def j12_citations_to_references(spark: S, d: str) -> DataFrame:
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_documents, b.doc_id IS NOT NULL AS in_labels FROM (SELECT * FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN labels b ON a.doc_id = b.doc_id")
 def j14_full_outer(spark: S, d: str) -> DataFrame:
-    a = table(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", F.lit(True).alias("in_documents"))
-    b = table(spark, d, "labels").select("doc_id", F.lit(True).alias("in_labels"))
-    return a.join(b, "doc_id", "full_outer").fillna(False)
+    some = table(spark, d, "documents").where("doc_id % 5 <> 0")  # so that either side lacks keys
+    return relations.presence(some, table(spark, d, "labels"), "doc_id", ("in_documents", "in_labels"))
 
 
 @query("SELECT count(*) AS n FROM embeddings")
 def a01_count(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    return relations.counted_tables({"embeddings": table(spark, d, "embeddings")}).select("n")
 
 
 LEVELS = [(1, "chapter"), (1, None), (1, "book"), (2, "section")]
@@ -212,8 +209,8 @@ def t45_recomputed_structure(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {BLOCKS_SQL} SELECT book_id, block_idx, last_value(CASE WHEN block_idx % 4 = 0 THEN page END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM blocks")
 def c03_last_known_page(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("book_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks(spark, d).select("book_id", "block_idx", F.last(F.expr("IF(block_idx % 4 = 0, page, NULL)"), True).over(w).alias("page"))
+    rows = blocks(spark, d).select("book_id", "block_idx", F.expr("IF(block_idx % 4 = 0, page, NULL)").alias("page"))
+    return relations.last_known(rows, "book_id", "block_idx", F.col("page"), "page")
 
 
 @query(f"WITH {OUTLINE_SQL} SELECT book_id, left(string_split(string_agg(text, chr(10) || chr(10) ORDER BY block_idx), chr(10) || chr(10))[1], 500) AS summary FROM outline GROUP BY ALL")
@@ -226,41 +223,37 @@ def c06_lead_summaries(spark: S, d: str) -> DataFrame:
 @query(f"WITH {BLOCKS_SQL} SELECT book_id, string_agg(CAST(block_idx AS VARCHAR), ',' ORDER BY block_idx) AS places FROM blocks GROUP BY ALL")
 def n07_numeric_order(spark: S, d: str) -> DataFrame:
     """Block 10 follows block 9, not block 1."""
-    return blocks(spark, d).groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list("block_idx")).cast("array<string>"), ",").alias("places"))
+    return relations.listed_in_order(blocks(spark, d), "book_id", "block_idx", "places")
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT book_id, block_idx, lead(page) OVER (PARTITION BY book_id ORDER BY block_idx) AS next_page FROM blocks")
 def w02_look_ahead(spark: S, d: str) -> DataFrame:
-    return blocks(spark, d).select("book_id", "block_idx", F.lead("page").over(Window.partitionBy("book_id").orderBy("block_idx")).alias("next_page"))
+    return relations.look_ahead(blocks(spark, d), "book_id", "block_idx", "page", "next_page").select("book_id", "block_idx", "next_page")
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents")
 def w03_row_numbers(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("nth"))
+    return relations.positions(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT book_id, block_idx, dense_rank() OVER (PARTITION BY book_id ORDER BY page) AS r FROM blocks")
 def w04_dense_rank(spark: S, d: str) -> DataFrame:
-    return blocks(spark, d).select("book_id", "block_idx", F.dense_rank().over(Window.partitionBy("book_id").orderBy("page")).alias("r"))
+    return relations.ranks(blocks(spark, d), "book_id", "page", "r").select("book_id", "block_idx", "r")
 
 
 @query(f"WITH {BLOCKS_SQL}, c AS (SELECT *, CASE WHEN block_type = lag(block_type) OVER (PARTITION BY book_id ORDER BY block_idx) THEN 0 ELSE 1 END AS s FROM blocks), r AS (SELECT *, sum(s) OVER (PARTITION BY book_id ORDER BY block_idx ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT book_id, min(block_idx) AS start, block_type, count(*) AS n FROM r GROUP BY book_id, run, block_type")
 def w05_runs(spark: S, d: str) -> DataFrame:
-    w = Window.partitionBy("book_id").orderBy("block_idx")
-    started = F.when(F.col("block_type") == F.lag("block_type").over(w), 0).otherwise(1)
-    runs = blocks(spark, d).withColumn("s", started).withColumn("run", F.sum("s").over(w))
-    return runs.groupBy("book_id", "run", "block_type").agg(F.min("block_idx").alias("start"), F.count("*").alias("n")).drop("run")
+    return relations.runs(blocks(spark, d), "book_id", "block_idx", "block_type")
 
 
 @query("SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY source")
 def w06_share_of_total(spark: S, d: str) -> DataFrame:
-    counted = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return relations.shares(table(spark, d, "documents"), "source")
 
 
 @query("SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) ORDER BY n DESC, source, lang LIMIT 7")
 def o02_count_order(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "lang").limit(7)
+    return relations.largest_groups(table(spark, d, "documents"), ["source", "lang"], 7)
 
 
 SCORED = [(1, 0.5, "text"), (2, 0.9, "equation"), (3, 0.9, "text")]
@@ -268,15 +261,15 @@ SCORED = [(1, 0.5, "text"), (2, 0.9, "equation"), (3, 0.9, "text")]
 
 @query(f"SELECT id, row_number() OVER (ORDER BY score DESC, kind = 'equation', id) AS nth FROM {values_sql('id, score, kind', SCORED)}")
 def o01_stable_score_order(spark: S, d: str) -> DataFrame:
-    w = Window.orderBy(F.desc("score"), F.col("kind") == "equation", "id")  # three rows
-    return inline(spark, "id int, score double, kind string", SCORED).select("id", F.row_number().over(w).alias("nth"))
+    rows = inline(spark, "id int, score double, kind string", SCORED)
+    w = Window.orderBy(*relations.by_score(rows, "id", F.col("kind") == "equation"))  # three rows
+    return rows.select("id", F.row_number().over(w).alias("nth"))
 
 
 @query("SELECT vec_id, 'text' AS kind FROM embeddings WHERE label < 2 UNION ALL SELECT vec_id, 'equation' FROM embeddings WHERE label IN (1, 2)")
 def u01_bag_union(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    pick = lambda c, k: rows.where(c).select("vec_id", F.lit(k).alias("kind"))
-    return pick("label < 2", "text").unionByName(pick("label IN (1, 2)", "equation"))
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    return relations.tagged_union("kind", text=rows.where("label < 2"), equation=rows.where("label IN (1, 2)")).drop("label")
 
 
 TEAMS = [(1, ["Lee, Ann", "Kim"], ["kim", "Ann Lee"]), (2, ["Ann"], ["Bo"]), (3, [], []), (4, ["x"], [])]
@@ -290,7 +283,7 @@ def u05_author_sets(spark: S, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def u06_intersection(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
+    return relations.keys_of_each("doc_id", table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 RUNS = [("a", 1, None, None, ["pdftotext"]), ("a", 2, "Sea", None, ["marker"]), ("b", 1, None, "timeout", [])]
@@ -305,7 +298,8 @@ def p02_merged_extractions(spark: S, d: str) -> DataFrame:
 
 @query("SELECT doc_id AS id, source AS library FROM documents WHERE source = 'src1' ORDER BY id LIMIT 20")
 def p05_listed_books(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("source = 'src1'").orderBy("doc_id").limit(20).select(F.col("doc_id").alias("id"), F.col("source").alias("library"))
+    listed = relations.first_books(table(spark, d, "documents"), F.col("source") == "src1", "doc_id", 20)
+    return listed.select(F.col("doc_id").alias("id"), F.col("source").alias("library"))
 
 
 @query(f"SELECT id, coalesce(t, title) AS title FROM {values_sql('id, title', [(1, 'a'), (2, 'b')])} LEFT JOIN {values_sql('k, t', [(2, 'B')]).replace('AS v', 'AS c')} ON k = id")

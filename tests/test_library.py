@@ -40,5 +40,35 @@ def test_library_end_to_end(spark, tmp_path):
     lib.update(spark.createDataFrame([(2, "Oceans", None)], "id bigint, title string, library string"))
     assert lib.search("tide", 1).first().title == "Oceans"
     lib.delete([2])
+    assert lib.collections.read("full").where("book_id = 2").count() == 0 and lib.spans().where("book_id = 2").count() == 0
     assert lib.books().count() == 1 and {r.book_id for r in lib.search("tide", 5, equations=0).collect()} <= {1}
     assert {r.library: r.indexed for r in lib.profile().collect()} == {"finance": 1}
+
+
+def test_deleted_ids_are_not_given_again(spark, tmp_path):
+    lib = Library(spark, str(tmp_path), lambda: vocabulary_embedder(WORDS))
+    add = lambda *titles: lib.register(spark.createDataFrame([(t, f"/{t}.pdf") for t in titles], "title string, source_path string"))
+    assert [r.id for r in add("Money", "Sea").orderBy("id").collect()] == [1, 2]
+    lib.index(spark.createDataFrame(book(1, "fund") + book(2, "tide"), "book_id bigint, block_idx int, page int, block_type string, text string, html string"))
+    lib.delete([2])
+    assert {r.book_id for r in lib.text_search("tide").collect()} == set()
+    assert [(r.id, r.already_exists) for r in add("Brand new").collect()] == [(3, False)]
+    assert {r.book_id for r in lib.text_search("tide").collect()} == set() and lib.books().count() == 2
+    again = {r.title: r.id for r in add("sea", "Sea", "MONEY").collect()}
+    assert again == {"sea": 4, "Sea": 4, "MONEY": 1}
+
+
+def test_a_book_indexed_again_loses_what_it_no_longer_has(spark, tmp_path):
+    lib = Library(spark, str(tmp_path), lambda: vocabulary_embedder(WORDS))
+    lib.register(spark.createDataFrame([("Money", "/m.pdf")], "title string, source_path string"))
+    schema = "book_id bigint, block_idx int, page int, block_type string, text string, html string"
+    lib.index(spark.createDataFrame(book(1, "fund"), schema))
+    assert lib.collections.count("equations") == 1
+    lib.index(spark.createDataFrame(book(1, "fund")[:2], schema))
+    assert lib.collections.count("equations") == 0 and lib.collections.count("full") == 2
+
+
+def test_an_empty_library_answers_with_no_rows(spark, tmp_path):
+    lib = Library(spark, str(tmp_path), lambda: vocabulary_embedder(WORDS))
+    for rows in (lib.search("tide"), lib.search_chapters("tide"), lib.search_hierarchical("tide"), lib.text_search("tide"), lib.verify(), lib.blocks(), lib.labels(), lib.spans(), lib.profile(), lib.read_span(1)):
+        assert rows.count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern import conf
 from lectern.functions import text, vectors
-from lectern.operators import audit, catalog, chunking, filters, metrics, navigate, retrieval, sinks, structure
+from lectern.operators import audit, catalog, chunking, filters, metrics, navigate, relations, retrieval, sinks, structure
 from lectern.plans import parser_queries
 from lectern.sources import blocks as block_sources
 from lectern.sources import epub, remote, tei
@@ -189,14 +189,95 @@ def test_collections_replace_books_and_are_empty_when_absent(spark, tmp_path):
     assert matched.first().matched == 1 and (1, "z") in listed(changed, "book_id", "text")
 
 
+def test_a_book_without_rows_loses_what_it_had(spark, tmp_path):
+    c = sinks.Collections(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "text string, book_id bigint")
+    c.index("equations", rows(("a", 1), ("b", 2), ("c", 3)))
+    c.index("equations", rows(("d", 2)), spark.createDataFrame([(1,), (2,)], "book_id bigint"))
+    assert listed(c.read("equations"), "book_id", "text") == [(2, "d"), (3, "c")]
+    c.remove("equations", spark.createDataFrame([(3,)], "book_id bigint"))
+    c.compact("equations")
+    assert listed(c.read("equations"), "book_id", "text") == [(2, "d")] and len(c.batches("equations")) == 1
+    c.remove("full", spark.createDataFrame([(3,)], "book_id bigint"))
+    assert c.read("full") is None
+
+
+def test_two_writers_cannot_save_the_same_version(spark, tmp_path):
+    table = sinks.Versions(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1,)], "id int")
+    assert table.newest() is None and table.save(rows) == 0 and table.save(rows.unionByName(rows)) == 1
+    assert table.read("id int").count() == 2
+    table.claim("claims/00000002")
+    with pytest.raises(RuntimeError):
+        table.save(rows)
+    assert table.newest() == 1
+
+
+def drop_file(folder, name, blocks):
+    (folder / name).write_text("".join(json.dumps(b) + "\n" for b in blocks))
+
+
+def streamed(spark, tmp_path):
+    ingest.ingest(ingest.dropped(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    return listed(sinks.Collections(spark, str(tmp_path / "out")).read("full"), "book_id", "block_idx", "text")
+
+
 def test_streamed_books_are_chunked_once(spark, tmp_path):
-    source, target = tmp_path / "in", tmp_path / "out"
-    source.mkdir()
-    line = json.dumps({"book_id": 5, "raw_idx": 0, "page": 1, "block_type": "Text", "text": "Hello there."})
-    (source / "a.json").write_text(line + "\n")
-    (source / "b.json").write_text(line + "\n")
-    ingest.ingest(ingest.dropped(spark, str(source)), str(target), str(tmp_path / "check")).awaitTermination(120)
-    assert listed(spark.read.parquet(str(target)), "book_id", "text") == [(5, "Hello there.")]
+    (tmp_path / "in").mkdir()
+    line = {"book_id": 5, "raw_idx": 0, "page": 1, "block_type": "Text", "text": "Hello there."}
+    drop_file(tmp_path / "in", "a.json", [line])
+    drop_file(tmp_path / "in", "b.json", [line])
+    assert streamed(spark, tmp_path) == [(5, 0, "Hello there.")]
+
+
+def test_streamed_books_come_whole(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    block = lambda i, text, **more: {"book_id": 1, "raw_idx": i, "page": 1, "block_type": "Text", "text": text, **more}
+    drop_file(tmp_path / "in", "a.json", [block(i, f"Block {i}.") for i in range(4)])
+    whole = [(1, i, f"Block {i}.") for i in range(4)]
+    assert streamed(spark, tmp_path) == whole
+    # the same book again with one block changed
+    os.utime(tmp_path / "in" / "a.json", (1e9, 1e9))
+    drop_file(tmp_path / "in", "b.json", [block(i, "Changed." if i == 2 else f"Block {i}.") for i in range(4)])
+    changed = [(1, i, "Changed." if i == 2 else t) for _, i, t in whole]
+    assert streamed(spark, tmp_path) == changed
+    # a newer version in two parts: nothing changes until the second has come
+    later = {"version": 9_000_000_000_000, "n_blocks": 3}
+    drop_file(tmp_path / "in", "c.json", [block(0, "New 0.", **later), block(1, "New 1.", **later)])
+    assert streamed(spark, tmp_path) == changed
+    drop_file(tmp_path / "in", "d.json", [block(2, "New 2.", **later), block(1, "New 1.", **later)])
+    assert streamed(spark, tmp_path) == [(1, i, f"New {i}.") for i in range(3)]
+    # older content that comes late
+    drop_file(tmp_path / "in", "e.json", [block(0, "Old.", version=5, n_blocks=1)])
+    assert streamed(spark, tmp_path) == [(1, i, f"New {i}.") for i in range(3)]
+
+
+def test_queries_in_blocks_find_what_one_block_finds(spark):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((300, 6)).tolist())], "vec_id bigint, embedding array<float>")
+    asked = rows.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    one, many = (retrieval.batch_top_k(rows, asked, 5, most=m) for m in (40, 7))
+    assert listed(one, "query_id", "rank", "vec_id") == listed(many, "query_id", "rank", "vec_id") and one.count() == 200
+
+
+def test_numbers_follow_the_order(spark):
+    names = ["b", None, "aaab", "aaaa", "aaaaz", "b", "é", "B"]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "t string, i int")
+    got = [r.t for r in relations.numbered(rows, "t", "i").orderBy("nth").collect()]
+    assert got == [None, "B", "aaaa", "aaaaz", "aaab", "b", "b", "é"]
+    assert sorted(r.nth for r in relations.numbered(rows, "t", "i").collect()) == list(range(1, 9))
+
+
+def test_relations_treat_nulls_as_values(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, "x"), (1, 3, None)], "k int, at int, v string")
+    assert listed(relations.runs(rows, "k", "at", "v"), "start", "n") == [(0, 2), (2, 1), (3, 1)]
+    assert [r.w for r in relations.last_known(rows, "k", "at", F.col("v"), "w").orderBy("at").collect()] == [None, None, "x", "x"]
+    assert [r.w for r in relations.look_ahead(rows, "k", "at", "at", "w").orderBy("at").collect()] == [1, 2, 3, None]
+    seen = relations.as_of(rows, "k", "at", "v", F.col("at") == 2, "w")
+    assert [r.w for r in seen.orderBy("at").collect()] == [None, None, "x", "x"]
+    books = spark.createDataFrame([(1, "")], "k int, title string")
+    assert relations.with_fields(rows, books, "k", title="Unknown").first().title == "Unknown"
+    assert relations.counted_tables({"a": rows, "b": None}).collect()[1].n == 0
 
 
 def test_activity_windows_in_batch(spark):
