@@ -11,10 +11,11 @@ of about ``LEAF``; what each leaf leaves over meets again, level by level.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.scratch import materialize
+from lectern.operators.relations import numbered
 
 LEAF = 64
 #: Documents above one part in so many of their source are rounded before the rest.
@@ -40,21 +41,26 @@ def targets(sized: DataFrame) -> DataFrame:
 
     Weights are 1, 2, 3, 1, ... by code point order of the source, null last.
     With shares capped at ``MOST`` sizes, target = least(cap, level * weight)
-    for the one level at which targets add up to all sizes; the level is the
-    largest of (what the caps below a source leave) / (weights from it on) when
-    sources are in order of cap / weight.  Windows span the sources, one row
-    each, not the documents.
+    for the one level at which targets add up to all sizes.  The level rises
+    from the one without caps, by what they leave over, until no more sources
+    reach theirs.  Sources are numbered side by side and summed up, so they may
+    be as many as hosts are.
     """
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = per_source.withColumn("weight", (F.row_number().over(in_order) - 1) % 3 + 1).withColumn("cap", MOST * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    total, weights = F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    below = lambda c: F.sum(c).over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
-    leveled = weighed.withColumn("level", (total - below("cap")) / (weights - below("weight")))
-    level = F.max("level").over(everything)
-    return leveled.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select("source", "source_size", "n", "target")
+    per_source = materialize(per_source, "sources")
+    named = numbered(per_source.where("source IS NOT NULL").withColumn("_name", F.col("source").cast("string")), "_name", name="_nth").drop("_name")
+    last = per_source.where("source IS NULL").withColumn("_nth", F.lit(per_source.count()).cast("bigint"))
+    weighed = named.unionByName(last).withColumn("weight", (F.col("_nth") - 1) % 3 + 1).withColumn("cap", MOST * F.col("source_size"))
+    weighed = materialize(weighed.drop("_nth"), "weighed")
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        found = weighed.agg(F.count_if(full).alias("capped"), F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("weights")).first()
+        if found.capped == capped or not found.weights:
+            break
+        level, capped = (total - (found.caps or 0)) / found.weights, found.capped
+    return weighed.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight"))).select("source", "source_size", "n", "target")
 
 
 def _chance(seed: int, *keys: str) -> str:

@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from functools import partial
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from lectern.llm.workers import map_batches
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length are numbered side by side in parts of about so many.
-CHUNK = 50_000
 
 _encoders: dict[str, object] = {}
 
@@ -192,7 +191,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(slots(pack_histogram(counts, capacity)), "length bigint, lo bigint, hi bigint, first bigint, times bigint, at bigint")
 
-    chunks = 1 + max(counts.values(), default=0) // CHUNK
+    # Pieces of one length are numbered side by side: as many parts as each has pieces, so neither grows with the corpus alone.
+    chunks = 1 + isqrt(max(counts.values(), default=0))
     numbered = pieces.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)))
     per_chunk = numbered.groupBy("length", "_chunk").agg(F.count("*").alias("n"))
     before = per_chunk.select("length", "_chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("n")).alias("_before"))

@@ -211,6 +211,32 @@ def test_mix_meets_targets_and_agrees_with_itself(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_meetings_conserve_words_and_are_unbiased(spark):
+    leaves, sizes, part = 3000, [1, 2, 3, 5, 8, 13, 21, 34], 0.37
+    rows = [("s", leaf, 0, (hash((leaf, i)) % 1000, leaf * 100 + i, size, 0, 1, size * part)) for leaf in range(leaves) for i, size in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "source string, leaf int, whole int, member struct<u:bigint,id:bigint,size:bigint,version:bigint,copy:bigint,mass:double>")
+    met = table.groupBy("source", "leaf").agg(F.collect_list("member").alias("members")).select("leaf", mixing._meet(20, "bigint").alias("m")).select("leaf", "m.out", "m.rest").collect()
+    got = np.zeros((leaves, len(sizes)))
+    for r in met:
+        assert len(r.out) == len(sizes) - 1 and all(o.extra in (0, 1) for o in r.out) and -1e-9 <= r.rest.mass <= r.rest.size + 1e-9
+        for o in r.out:
+            got[r.leaf, o.id % 100] = o.extra * o.size
+        got[r.leaf, r.rest.id % 100] = r.rest.mass
+        assert got[r.leaf].sum() == pytest.approx(part * sum(sizes))  # what one loses another gets
+    for i, size in enumerate(sizes):
+        off = got[:, i].mean() - part * size
+        assert abs(off) < 4.5 * size * 0.5 / leaves**0.5, size
+
+
+def test_targets_of_many_sources_match(spark):
+    rng = random.Random(4)
+    sizes = {f"{rng.choice('abc')}{rng.choice(['', 'é', 'zz'])}{i}": rng.randrange(0, 10 ** rng.randrange(1, 6)) for i in range(300)} | {None: 777}
+    sized = spark.createDataFrame(list(sizes.items()), "source string, size bigint")
+    want = targets_by_python(sizes)
+    got = {r.source: r.target for r in mixing.targets(sized).collect()}
+    assert got == {s: pytest.approx(t) for s, t in want.items()}
+
+
 def test_mix_odd_inputs(spark):
     got = mixing.mix(odd_docs(spark)).collect()
     assert len(got) == 8 and all(r.taken <= 3 * r.size for r in got)
