@@ -6,6 +6,7 @@ batches; everything that relates blocks to each other stays in the JVM.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed, text
+from lectern.functions import fixed, text, tokens
 from lectern.operators.structure import ordered_text
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
@@ -22,29 +23,71 @@ WHERE = re.compile(r"where\s+.+?(?:\.\s|\n\n|$)", re.I | re.S)
 BREAKS = (". ", ".\n", "? ", "! ")
 
 
-def split_sentences(body: str, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP) -> list[str]:
-    """Pieces of at most ``size`` words made of whole sentences, the next one starting with up to ``overlap`` words again.
+def _fitting(word: str, size: int, count: tokens.Counter) -> list[str]:
+    """A word, or text without spaces, cut into parts of at most ``size`` tokens."""
+    if count(word) <= size:
+        return [word]
+    out, at = [], 0
+    while at < len(word):
+        lo, hi = 1, len(word) - at
+        while lo < hi:  # the longest part that fits; one character always goes in
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if count(word[at : at + mid]) <= size else (lo, mid - 1)
+        out.append(word[at : at + lo])
+        at += lo
+    return out
+
+
+#: A text with its tokens at the start of a piece and after a space.
+Unit = tuple[str, int, int]
+
+
+def _units(body: str, size: int, count: tokens.Counter) -> list[Unit]:
+    """Sentences; one above ``size`` in runs of words, each as long as fits."""
+    unit = lambda t: (t, count(t), count(" " + t))
+    out: list[Unit] = []
+    for sentence in SENTENCE.split(body):
+        words = sentence.split()
+        if not words:
+            continue
+        whole = unit(" ".join(words))
+        if max(whole[1:]) <= size:
+            out.append(whole)
+            continue
+        now: list[Unit] = []
+        for part in (unit(p) for w in words for p in _fitting(w, size - 1, count)):
+            if now and _tokens([*now, part]) > size:
+                out.append(unit(" ".join(t for t, *_ in now)))
+                now = []
+            now.append(part)
+        out.append(unit(" ".join(t for t, *_ in now)))
+    return out
 
-    A sentence above ``size`` is cut by words.  A text that fits is one piece.
+
+def _tokens(units: list[Unit]) -> int:
+    return units[0][1] + sum(u[2] for u in units[1:]) if units else 0
+
+
+def split_sentences(body: str, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP, count: tokens.Counter = tokens.rough) -> list[str]:
+    """Pieces of at most ``size`` tokens made of whole sentences, the next one starting with up to ``overlap`` tokens again.
+
+    A sentence above ``size`` is cut between words, a word above it between
+    characters.  A text that fits is one piece, as it is.
     """
     body = body.strip()
-    if len(body.split()) <= size:
+    if not body or count(body) <= size:
         return [body] if body else []
-    units: list[list[str]] = []
-    for sentence in SENTENCE.split(body):
-        words = sentence.split()
-        units += [words[i : i + size] for i in range(0, len(words), size)]
-    pieces, now = [], []
-    for unit in units:
-        if now and sum(map(len, now)) + len(unit) > size:
+    pieces: list[list[Unit]] = []
+    now: list[Unit] = []
+    for unit in _units(body, size, count):
+        if now and _tokens([*now, unit]) > size:
             pieces.append(now)
-            kept: list[list[str]] = []
-            while now and sum(map(len, kept)) + len(now[-1]) <= min(overlap, size - len(unit)):
-                kept.insert(0, now[-1])
-                now = now[:-1]
+            kept = now[1:]
+            while kept and (_tokens(kept) > overlap or _tokens([*kept, unit]) > size):
+                kept = kept[1:]
             now = kept
         now = [*now, unit]
-    return [" ".join(w for unit in p for w in unit) for p in [*pieces, now] if p]
+    return [" ".join(text for text, *_ in p) for p in [*pieces, now] if p]
 
 
 def equation_zones(body: str, around: int = 300) -> list[tuple[int, int]]:
@@ -110,10 +153,16 @@ def _exploded(rows: DataFrame, column: str, pieces: Callable[[str], list], out:
     return source.mapInArrow(run, ", ".join(fields))
 
 
-def chunks(blocks: DataFrame, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
-    """Blocks as chunks: code without line numbers, long blocks split, ``piece_idx`` within the block."""
+def chunks(blocks: DataFrame, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP, tokenizer: str | None = None) -> DataFrame:
+    """Blocks as chunks: code without line numbers, long blocks split, ``piece_idx`` within the block.
+
+    Sizes are tokens of the embedding model: ``tokenizer`` is its vocabulary
+    file, by default the one that ``LECTERN_TOKENIZER`` names; without either
+    they are estimated.
+    """
+    path = tokenizer or os.environ.get("LECTERN_TOKENIZER")
     ready = blocks.withColumn("text", F.when(F.col("block_type") == "Code", text.clean_code(F.col("text"))).otherwise(F.col("text")))
-    split = lambda body: list(enumerate(split_sentences(body, size, overlap)))
+    split = lambda body: list(enumerate(split_sentences(body, size, overlap, tokens.counter(path))))
     return _exploded(ready, "text", split, [("piece_idx", "int", pa.int32()), ("text", "string", pa.string())])
 
 

@@ -52,3 +52,13 @@ def read_span(rows: DataFrame, key: str, order: str, max_chars: int = fixed.SPAN
     listed = F.array_sort(F.collect_list(F.when(fits, F.struct(F.col(order).alias("o"), F.col("text").alias("t")))))
     out = summed.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("text"), F.count_if(fits).alias("n_blocks"), F.min(F.when(~fits, F.col(order))).alias("_next"))
     return out.select(key, "text", "n_blocks", F.concat(F.lit("block:"), F.col("_next").cast("string")).alias("next_cursor"))
+
+
+def page_of_rows(rows: DataFrame, key: str, after: object = None, size: int = 1000) -> DataFrame:
+    """The next ``size`` rows in order of a unique key, after the last key that was seen.
+
+    The filter reaches the scan, so later pages don't read what earlier ones
+    did where files are sorted or partitioned by the key.
+    """
+    rest = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)

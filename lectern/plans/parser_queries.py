@@ -292,5 +292,4 @@ FILES = [("a.pdf",), ("b.EPUB",), ("c.txt",)]
 
 @query("SELECT * FROM (VALUES ('a.pdf', 'pdf'), ('b.EPUB', 'epub'), ('c.txt', 'unsupported')) AS v(path, route)")
 def p01_dispatch(spark: S, d: str) -> DataFrame:
-    suffix = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
-    return inline(spark, "path string", FILES).select("path", F.when(suffix.isin("pdf", "epub"), suffix).otherwise("unsupported").alias("route"))
+    return inline(spark, "path string", FILES).select("path", block_sources.extractor_of(F.col("path")).alias("route"))

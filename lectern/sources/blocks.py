@@ -21,7 +21,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     book = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)
-    rows = docs.select(book.alias("book_id"), F.posexplode(F.coalesce("blocks", "chunks")).alias("raw_idx", "b"))
+    return flat_blocks(docs.select(book.alias("book_id"), F.coalesce("blocks", "chunks").alias("blocks")))
+
+
+def flat_blocks(docs: DataFrame) -> DataFrame:
+    """A row per block of documents (book_id, blocks)."""
+    rows = docs.select("book_id", F.posexplode("blocks").alias("raw_idx", "b"))
     body = F.coalesce(F.nullif(text.strip(F.col("b.text")), F.lit("")), text.html_to_text(F.col("b.html"), "structured"))
     flat = rows.select("book_id", "raw_idx", "b.page", F.coalesce("b.block_type", F.lit("Text")).alias("block_type"), "b.html", body.alias("text"), F.col("b.id").alias("block_id"), "b.images", "b.bbox")
     return number_blocks(flat)
@@ -98,3 +103,29 @@ def resolve_image(image_id: F.Column) -> F.Column:
     """File name of an image id; null for anything but a plain name with a picture's ending."""
     name = F.regexp_extract(F.try_url_decode(image_id) if hasattr(F, "try_url_decode") else F.url_decode(image_id), r"^marker:([^/\\]+\.(?:png|jpe?g|gif|webp))$", 1)
     return F.when((name != "") & ~F.startswith(name, F.lit(".")), name)
+
+
+#: Endings of files that are taken in.
+BOOK_ENDINGS = ("pdf", "epub")
+
+
+def extractor_of(path: F.Column) -> F.Column:
+    """Which kind of extraction a file needs, by its ending in any case; others are unsupported."""
+    ending = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
+    return F.when(ending.isin(*BOOK_ENDINGS), ending).otherwise(F.lit("unsupported"))
+
+
+def uploads(spark: SparkSession, folder: str, *, stream: bool = False) -> DataFrame:
+    """Files put into a folder, as rows to register: title, format, path, size, hash, and why one is refused.
+
+    The title is the file's name without ending and underscores.  Empty files
+    have no row.  ``stream`` reads files as they come.
+    """
+    reader = spark.readStream if stream else spark.read
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = reader.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder) if stream else reader.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    kind = extractor_of(F.col("path"))
+    refused = F.when(kind == "unsupported", F.lit("only .pdf and .epub files are taken"))
+    title = F.trim(F.translate(F.regexp_replace(F.try_url_decode(name), r"\.\w+$", ""), "_", " "))
+    return files.select(title.alias("title"), F.when(kind != "unsupported", kind).alias("format"), F.col("path").alias("source_path"), F.col("length").alias("size_bytes"), text.content_hash(F.col("content")).alias("source_hash"), refused.alias("refused"))

@@ -6,6 +6,8 @@ every operator has a result for the case that it gives no answer.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: Embeds a batch of texts; rows are vectors.
 Embedder = Callable[[list[str]], np.ndarray]
 #: Completes a prompt; "" is no answer.
@@ -40,19 +44,21 @@ def embed(column: Column, load: Callable[[], Embedder]) -> Column:
     return run(column)
 
 
-def complete(column: Column, load: Callable[[], Completer], attempts: int = 3) -> Column:
-    """Completions of prompts; "" where all attempts fail."""
+def complete(column: Column, load: Callable[[], Completer], attempts: int = 3, delay: float = 2.0) -> Column:
+    """Completions of prompts; "" where all attempts, each after a longer delay, fail or answer nothing."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
 
         def one(prompt: str | None) -> str:
-            for _ in range(attempts):
+            for nth in range(attempts):
+                if nth:
+                    time.sleep(delay * nth)
                 try:
                     return model(prompt or "") or ""
-                except (OSError, RuntimeError):  # what a service's client raises
-                    continue
+                except Exception as e:  # noqa: BLE001  clients raise errors of their own; no answer is an answer
+                    log.warning("completion failed (attempt %d of %d): %s", nth + 1, attempts, e)
             return ""
 
         for prompts in batches:

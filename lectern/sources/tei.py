@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 ID = "{http://www.w3.org/XML/1998/namespace}id"
 CONTEXTS = ("p", "s", "figDesc", "note", "item")
@@ -126,6 +128,23 @@ class Tei:
         return [(_words(head.find(".//titleStmt/title")), self._people(source) if source is not None else [], self._year(source) if source is not None else None)]
 
 
+def is_tei(xml: Column, full: bool = True) -> Column:
+    """Whether a text is well-formed XML with the root that a TEI document, or a bibliography, has."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        def good(x: str | None) -> bool:
+            try:
+                Tei(x or "", full=full)
+            except (ValueError, ET.ParseError):
+                return False
+            return True
+
+        return texts.map(good)
+
+    return run(xml)
+
+
 def read_tei(docs: DataFrame, table: str, key: str = "book_id", xml: str = "xml", *, full: bool = True) -> DataFrame:
     """One of ``TABLES`` of all documents, with the document's key and ``nth`` in its order.
 

@@ -5,6 +5,7 @@ import json
 import os
 import subprocess
 import sys
+import time
 import zipfile
 
 import numpy as np
@@ -12,11 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import conf
-from lectern.functions import text, vectors
+from lectern.functions import text, tokens, vectors
 from lectern.operators import audit, catalog, chunking, filters, metrics, navigate, relations, retrieval, sinks, structure
 from lectern.plans import parser_queries
 from lectern.sources import blocks as block_sources
-from lectern.sources import epub, remote, tei
+from lectern.sources import epub, remote, services, tei
 from lectern.streaming import ingest
 
 BLOCK = "book_id int, block_idx int, page int, block_type string, text string"
@@ -78,11 +79,55 @@ def test_trimmed_back_matter_keeps_blocks(spark):
 
 
 def test_sentence_splitter_overlaps_and_cuts():
-    body = " ".join(f"w{i}." for i in range(30))
-    pieces = chunking.split_sentences(body, 10, 3)
-    assert all(len(p.split()) <= 10 for p in pieces) and pieces[1].split()[:3] == pieces[0].split()[-3:]
-    assert chunking.split_sentences("a b c d e", 2, 0) == ["a b", "c d", "e"]
-    assert chunking.split_sentences("  ") == []
+    words = lambda t: len(t.split())
+    body = " ".join(f"Sentence {i} has five words." for i in range(6))
+    pieces = chunking.split_sentences(body, 12, 5, words)
+    assert all(words(p) <= 12 for p in pieces) and len(pieces) == 5
+    assert pieces[0].endswith("Sentence 1 has five words.") and pieces[1].startswith("Sentence 1 has five words.")
+    assert chunking.split_sentences("short", 12, 5) == ["short"] and chunking.split_sentences("  ", 12, 5) == []
+    assert [words(p) for p in chunking.split_sentences("w " * 30, 12, 0, words)] == [12, 12, 6]
+
+
+def pieces_by_definition(body, size, overlap, count):
+    """Whole sentences taken in turn; another way to the same pieces, for texts whose sentences fit."""
+    sentences = [" ".join(s.split()) for s in chunking.SENTENCE.split(body.strip())]
+    cost = lambda a, b: count(" ".join(sentences[a:b])) if b > a else 0
+    out, first = [], 0
+    while True:
+        last = max(e for e in range(first + 1, len(sentences) + 1) if cost(first, e) <= size)
+        out.append(" ".join(sentences[first:last]))
+        if last == len(sentences):
+            return out
+        first = min(i for i in range(first + 1, last + 1) if cost(i, last) <= overlap and cost(i, last + 1) <= size)
+
+
+def test_chunks_hold_as_many_tokens_as_they_may(spark, data):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count = tokens.from_file(path)
+    rows = spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 400").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text")).limit(60)
+    blocks = rows.select(F.col("doc_id").alias("book_id"), F.lit(0).alias("block_idx"), F.lit(1).alias("page"), F.lit("Text").alias("block_type"), "text")
+    got = {}
+    for r in chunking.chunks(blocks, 80, 16, path).orderBy("book_id", "piece_idx").collect():
+        got.setdefault(r.book_id, []).append(r.text)
+        assert count(r.text) <= 80
+    split = 0
+    for r in rows.collect():
+        sentences = chunking.SENTENCE.split(r.text.strip())
+        if count(r.text.strip()) <= 80:
+            assert got[r.doc_id] == [r.text.strip()]
+        elif max(count(" " + s) for s in sentences) <= 80:
+            assert got[r.doc_id] == pieces_by_definition(r.text, 80, 16, count)
+            split += 1
+        else:
+            assert set(" ".join(got[r.doc_id]).split()) >= set(r.text.split())
+    assert split > 3
+
+
+def test_texts_without_spaces_are_cut_by_characters():
+    body = "潮汐" * 500
+    pieces = chunking.split_sentences(body, 50, 0)
+    assert all(tokens.rough(" " + p) <= 51 for p in pieces) and "".join("".join(pieces).split()) == body
 
 
 def test_equation_chunks_keep_zones_whole():
@@ -288,12 +333,151 @@ def test_activity_windows_in_batch(spark):
 def test_completions_fall_back_to_nothing(spark):
     def failing():
         def answer(prompt):
-            raise RuntimeError("down")
+            raise {"os": OSError, "key": KeyError}.get(prompt, ValueError)("down")
 
         return answer
 
-    got = spark.createDataFrame([("x",)], "p string").select(remote.complete(F.col("p"), failing).alias("a")).first()
-    assert got.a == ""
+    rows = spark.createDataFrame([("x",), ("os",), ("key",), (None,)], "p string")
+    assert [r.a for r in rows.select(remote.complete(F.col("p"), failing, delay=0.01).alias("a")).collect()] == [""] * 4
+
+
+def test_completions_are_tried_again_after_a_delay(spark):
+    def third():
+        calls = []
+
+        def answer(prompt):
+            calls.append(time.time())
+            if len(calls) < 3:
+                raise TimeoutError("busy")
+            return f"{prompt} {round(calls[2] - calls[0], 1) >= 0.3}"
+
+        return answer
+
+    got = spark.createDataFrame([("x",)], "p string").select(remote.complete(F.col("p"), third, delay=0.1).alias("a")).first()
+    assert got.a == "x True"
+
+
+def test_completers_speak_to_their_servers():
+    asked = []
+
+    def send(request):
+        asked.append(request)
+        answers = {"models": {"data": [{"id": "m1"}]}, "api/generate": {"response": "g"}, "messages": {"content": [{"text": "m"}]}, "chat/completions": {"choices": [{"message": {"content": "c"}}]}}
+        return services.Reply(200, json.dumps(answers[request.path]))
+
+    assert services.generate(send, "x")("p") == "g" and asked[-1].json["prompt"] == "p"
+    assert services.chat(send, extra={"top": 1})("p") == "c" and asked[-1].json["model"] == "m1" and asked[-1].json["top"] == 1
+    assert services.messages(send, "x")("p") == "m"
+    empty = lambda r: services.Reply(200, json.dumps({"data": [], "choices": [{"message": {"content": ""}}]}))
+    for failing in (services.chat(empty, "m"), services.chat(empty, "auto"), services.generate(lambda r: services.Reply(500, "no"), "m")):
+        with pytest.raises((ValueError, OSError)):
+            failing("p")
+
+
+LAYOUT = {"blocks": [{"id": "a", "block_type": "SectionHeader", "html": "<h1>One</h1>", "page": 0}, {"id": "b", "block_type": "Text", "html": "<p>Body</p>", "page": 1}, {"id": "c", "block_type": "Text", "html": "", "page": 1}]}
+
+
+def layout_service():
+    """What makes a transport; nested, so that workers get it whole."""
+
+    def load():
+        def send(request):
+            if request.name == "down.pdf":
+                raise ConnectionError("no route")
+            if request.fields["output_format"] == "html":
+                body = {"success": request.name != "half.pdf", "error": "no images", "output": "<h1>One</h1>", "images": {"../x/p.png": "aGk="}}
+                return services.Reply(200, json.dumps(body))
+            replies = {
+                "busy.pdf": services.Reply(503, "try later " * 90),
+                "text.pdf": services.Reply(200, "<html>queue</html>"),
+                "failed.pdf": services.Reply(200, json.dumps({"success": False, "error": "encrypted"})),
+                "empty.pdf": services.Reply(200, json.dumps({"success": True})),
+                "odd.pdf": services.Reply(200, json.dumps({"success": True, "output": "no json"})),
+            }
+            good = {"success": True, "output": json.dumps(LAYOUT), "chunks": LAYOUT, "metadata": {"page_stats": [{"page": 0}, {"page": 1}]}}
+            return replies.get(request.name, services.Reply(200, json.dumps(good)))
+
+        return send
+
+    return load
+
+
+def test_layout_replies_are_checked(spark, tmp_path):
+    names = ["good.pdf", "down.pdf", "busy.pdf", "text.pdf", "failed.pdf", "empty.pdf", "odd.pdf", "half.pdf"]
+    files = spark.createDataFrame([(i, n, bytearray(b"%PDF")) for i, n in enumerate(names)], "book_id bigint, name string, content binary")
+    got = {r.book_id: r for r in services.layout_of(files, layout_service()).collect()}
+    assert got[0].error is None and got[0].page_count == 2 and got[0].html == "<h1>One</h1>" and got[0].images == {"p.png": bytearray(b"hi")}
+    errors = {names[i]: r.error for i, r in got.items() if i}
+    assert errors["busy.pdf"].startswith("HTTP 503: try later") and len(errors["busy.pdf"]) == len("HTTP 503: ") + 300
+    assert errors == errors | {"down.pdf": "request failed: no route", "text.pdf": "the reply is no JSON object", "failed.pdf": "extraction failed: encrypted", "empty.pdf": "the reply has no 'output'", "odd.pdf": "chunks are no JSON object", "half.pdf": "HTML: extraction failed: no images"}
+    remote_ = {r.book_id: r for r in services.layout_of(files, layout_service(), remote=True).collect()}
+    assert remote_[0].error is None and remote_[0].html is None and remote_[7].error is None and remote_[5].error == "the reply has no 'chunks'"
+    assert listed(services.blocks_of(services.layout_of(files.where("book_id = 0"), layout_service(), html=False)), "block_idx", "block_type", "text") == [(0, "SectionHeader", "One"), (1, "Text", "Body")]
+
+    kept = sinks.Collections(spark, str(tmp_path))
+    first = services.layout_of(files.where("book_id = 0"), layout_service())
+    assert services.save_extractions(kept, first).count() == 0
+    failed = services.layout_of(files.where("book_id = 2").withColumn("book_id", F.lit(0).cast("bigint")), layout_service())
+    assert services.save_extractions(kept, failed).first().error.startswith("HTTP 503")
+    assert kept.read("extractions").first().html == "<h1>One</h1>"  # a failure destroys nothing
+
+
+def test_tei_replies_are_checked(spark):
+    def load():
+        replies = {"none": services.Reply(204), "bad": services.Reply(500, "a  b\n" * 300), "bare": services.Reply(503), "html": services.Reply(200, "<html/>"), "broken": services.Reply(200, "<TEI"), "good": services.Reply(200, parser_queries.TEI)}
+        return lambda request: replies[request.name]
+
+    names = ["none", "bad", "bare", "html", "broken", "good"]
+    files = spark.createDataFrame([(i, n, bytearray(b"")) for i, n in enumerate(names)], "book_id bigint, name string, content binary")
+    got = {names[r.book_id]: r for r in services.fulltext_of(files, load).collect()}
+    assert got["bad"].error.startswith("500: a b a b") and got["bad"].error.endswith("…") and len(got["bad"].error) == 506
+    assert got["bare"].error == "503: (empty body)" and got["html"].error == got["broken"].error == "the reply is no TEI document"
+    assert got["none"].error is None and got["good"].error is None and got["bad"].xml is None
+    whole = services.fulltext_of(files, load).where("error IS NULL")
+    assert {r.book_id for r in tei.read_tei(whole, "references").collect()} == {5} and tei.read_tei(whole, "sections").count() == 2
+    listing = services.references_of(files.where("name = 'none'"), load)
+    assert listing.first().error is None and tei.read_tei(listing, "references", full=False).count() == 0
+
+
+def test_books_by_isbn_ask_the_second_service_for_the_rest(spark):
+    def volumes():
+        known = {"9781": {"totalItems": 1, "items": [{"volumeInfo": {"title": "G", "authors": ["A"], "publisher": "P"}}]}, "9783": {"totalItems": 0}}
+        return lambda r: services.Reply(200, json.dumps(known[r.name])) if r.name in known and r.path.endswith("isbn:" + r.name) else services.Reply(404)
+
+    def editions():
+        known = {"ISBN:9782": {"title": "O", "authors": [{"name": "B"}, {}], "publishers": [{"name": "Q"}, {"name": "R"}]}, "ISBN:9781": {"title": "no"}}
+        return lambda r: services.Reply(200, json.dumps(known))
+
+    books = spark.createDataFrame([(1, "97-8 1"), (2, "9782"), (3, "9783"), (4, None), (5, "")], "id int, isbn string")
+    got = listed(services.books_by_isbn(books, volumes, editions), "id", "title", "authors", "publisher", "isbn", "confidence", "source")
+    assert got == [(1, "G", ["A"], "P", "9781", 1.0, "google_books"), (2, "O", ["B", ""], "Q", "9782", 1.0, "openlibrary")]
+
+
+def test_uploads_take_books_only(spark, tmp_path):
+    for name, body in (("The_Sea.PDF", b"x"), ("b.epub", b"y"), ("c.txt", b"z")):
+        (tmp_path / name).write_bytes(body)
+    got = {r.title: r for r in block_sources.uploads(spark, str(tmp_path)).collect()}
+    assert got["The Sea"].format == "pdf" and got["The Sea"].refused is None and got["b"].format == "epub" and got["b"].source_hash.startswith("sha256:")
+    assert got["c"].refused and got["c"].format is None
+    stream = block_sources.uploads(spark, str(tmp_path), stream=True)
+    assert stream.isStreaming and set(stream.columns) == set(block_sources.uploads(spark, str(tmp_path)).columns)
+
+
+def test_metadata_of_a_book_is_kept_once(spark, tmp_path):
+    kept = sinks.Collections(spark, str(tmp_path))
+    assert services.load_metadata(kept).count() == 0
+    row = lambda title: spark.createDataFrame([(1, title, ["A"])], "book_id bigint, title string, authors array<string>")
+    services.save_metadata(kept, row("old"))
+    services.save_metadata(kept, row("new"))
+    assert [r.title for r in services.load_metadata(kept).collect()] == ["new"]
+
+
+def test_pages_of_rows_follow_each_other(spark):
+    rows, seen, after = spark.range(25).withColumnRenamed("id", "k"), [], None
+    while page := [r.k for r in navigate.page_of_rows(rows, "k", after, 10).collect()]:
+        seen += page
+        after = page[-1]
+    assert seen == list(range(25))
 
 
 def test_vocabulary_embedder_counts():
