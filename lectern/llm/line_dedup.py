@@ -630,6 +630,7 @@ def similar_lines(met: DataFrame, places: DataFrame, folder: str, similarity: fl
     requests = places.where("near AND spot IS NOT NULL").groupBy("line", "name").agg(F.min("spot").alias("spot"))
     tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = materialize(_fetched(requests, folder, tasks), "texts")
+    delete(places.sparkSession, folder)
     labels = connected_components(_links(met.where("bucket IS NOT NULL"), texts, similarity, block))
     discard(texts)
     return labels.withColumnRenamed("node", "line")
@@ -652,8 +653,8 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # A table of its own, so that a common line's places can be split from both sides of the join.
     needed = materialize(met.groupBy("name").agg(F.max(F.col("bucket").isNotNull()).alias("near")), "needed")
     places = materialize(spark.read.schema(schema).parquet(folder).join(needed, "name"), "places")
+    free_shuffles(spark)
     labels = similar_lines(met, places, folder, similarity)
-    delete(spark, folder)
     discard(met)
     discard(needed)
     # The first place of a component in three steps of plain minima: id, then version and position within it.
