@@ -34,6 +34,8 @@ SAMPLE, SAMPLE_CHARS = 2500, 50_000
 EPOCHS, DOCS_PER_STEP, RATE, EMBEDDING_RATE = 6, 32, 0.01, 0.01
 #: Few labels are gone through more often: at least so many steps, over at most so many epochs.
 LEAST_STEPS, MOST_EPOCHS = 400, 60
+#: One sampled text in so many only decides when to stop, after so many epochs without a better loss.
+HELD_IN, PATIENCE = 10, 2
 #: One document in so many, by the CRC-32 of its id, is held out of all fitting.
 FOLDS = 5
 SEED = 1
@@ -82,6 +84,44 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds each of ``values`` to its row; rows may repeat."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    into[rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
+
+
+class _Sample:
+    """The words of sampled texts, split and looked up once for all epochs."""
+
+    def __init__(self, column: pa.Array, vocabulary: dict[str, int]):
+        known: dict[str, int] = {}
+        counts, codes = [], []
+        for at in range(0, len(column), 500):
+            n, c, distinct = words(column.slice(at, 500))
+            counts.append(n)
+            codes.append(np.array([known.setdefault(w, len(known)) for w in distinct], np.int64)[c])
+        self.counts, self.codes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (counts, codes))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.ids = np.fromiter((vocabulary.get(w, -1) for w in known), dtype=np.int64, count=len(known))
+        self.pairs, self.pair_starts = char_pairs(list(known)) if known else (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.pair_sizes = np.diff(np.r_[self.pair_starts, len(self.pairs)])
+
+    def texts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words per text, code of each word, the distinct words' numbers)."""
+        counts = self.counts[docs]
+        at = np.arange(counts.sum()) + np.repeat(self.starts[docs] - (np.cumsum(counts) - counts), counts)
+        distinct, codes = np.unique(self.codes[at], return_inverse=True)
+        return counts, codes, distinct
+
+    def characters(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = self.pair_sizes[distinct]
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.pair_starts[distinct] - starts, sizes)
+        return self.pairs[at], starts, sizes.astype(F32)[:, None]
+
+
 class Network:
     def __init__(self, vocabulary: dict[str, int], prior: float = 0.5, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -100,8 +140,10 @@ class Network:
         pairs, starts = char_pairs(distinct)
         sizes = np.diff(np.r_[starts, len(pairs)]).astype(F32)[:, None]
         known = self.standing if standing is None else standing
-        x = np.concatenate([known[ids, None], self.word[ids], np.add.reduceat(self.char[pairs], starts, axis=0) / sizes], axis=1)
-        return x, ids, (pairs, starts), sizes
+        return self._inputs(ids, pairs, starts, sizes, known), ids, (pairs, starts), sizes
+
+    def _inputs(self, ids: np.ndarray, pairs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return np.concatenate([known[ids, None], self.word[ids], np.add.reduceat(self.char[pairs], starts, axis=0) / sizes], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Input part of all gates, with a row of zeros for padding at the end."""
@@ -151,7 +193,8 @@ class Network:
         d_felt = d_score[:, :, None] * d["va"] * (1 - felt**2)
         g["wa"], g["ba"] = np.einsum("tnh,tna->ha", states, d_felt), d_felt.sum(axis=(0, 1))
         d_states = weight[:, :, None] * d_pooled + d_felt @ d["wa"].T
-        d_gates = np.zeros((rows + 1, 6 * HIDDEN), F32)
+        # All steps' gradients, to be summed up by input at the end.
+        each = np.zeros((*codes.shape, 6 * HIDDEN), F32)
         for at, (steps, u) in enumerate(((trace["f"], "uf"), (trace["b"], "ub"))):
             dh, du = np.zeros((codes.shape[1], HIDDEN), F32), np.zeros_like(d[u])
             for t, h, z, r, n, hn in reversed(steps):
@@ -161,17 +204,22 @@ class Network:
                 dz, dr = on * (h - n) * z * (1 - z), dn * hn * r * (1 - r)
                 through = np.concatenate([dz, dr, dn * r], axis=1)
                 du += h.T @ through
-                np.add.at(d_gates[:, at * 3 * HIDDEN : (at + 1) * 3 * HIDDEN], codes[t], np.concatenate([dz, dr, dn], axis=1))
+                each[t, :, at * 3 * HIDDEN : (at + 1) * 3 * HIDDEN] = np.concatenate([dz, dr, dn], axis=1)
                 dh = np.where(mask[t, :, None], on * z + through @ d[u].T, dh)
             g[u] = du
+        d_gates = np.zeros((rows + 1, 6 * HIDDEN), F32)
+        _add_rows(d_gates, codes.ravel(), each.reshape(-1, 6 * HIDDEN))
         return g, d_gates[:rows]
 
     def logits(self, column: pa.Array, step: int = 2048) -> np.ndarray:
         """The largest window logit of each text."""
-        counts, codes, distinct = words(column)
         if not self.fitted:
-            return np.full(len(counts), np.log(self.prior / (1 - self.prior)) if 0 < self.prior < 1 else (np.inf if self.prior else -np.inf))
-        gates = self.project(self.inputs(distinct)[0]) if distinct else np.zeros((1, 6 * HIDDEN), F32)
+            return np.full(len(column), np.log(self.prior / (1 - self.prior)) if 0 < self.prior < 1 else (np.inf if self.prior else -np.inf))
+        return self._logits(column, None, step)
+
+    def _logits(self, column: pa.Array, known: np.ndarray | None, step: int = 2048) -> np.ndarray:
+        counts, codes, distinct = words(column)
+        gates = self.project(self.inputs(distinct, known)[0]) if distinct else np.zeros((1, 6 * HIDDEN), F32)
         owner, first, length = windows(counts)
         best = np.full(len(counts), -np.inf)
         for at in range(0, len(owner), step):
@@ -189,7 +237,11 @@ class Network:
         return np.where(mask, codes[np.minimum(first + t, len(codes) - 1)], padding), mask
 
     def fit(self, texts: list[str | None], toxic: list[int], seed: int = SEED) -> Network:
-        """Adam on the dense weights, Adagrad on the embeddings, by documents' worst windows."""
+        """Adam on the dense weights, Adagrad on the embeddings, by documents' worst windows.
+
+        One text in ``HELD_IN`` makes no step: when the loss of these has not
+        fallen for ``PATIENCE`` epochs, the weights of the best epoch are taken.
+        """
         rng = np.random.default_rng(seed)
         column, y = pa.array(texts, pa.string()), np.array(toxic, dtype=F32)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.dense.items()}
@@ -199,15 +251,18 @@ class Network:
         counts_of = self._class_counts(column, y, part, firsts(texts))
         self.standing = standing(counts_of.sum(axis=0))
         without = [standing(counts_of.sum(axis=0) - counts_of[k]) for k in range(PARTS)]
-        steps = 0
+        sample = _Sample(column, self.vocabulary)
+        steps, best, kept, since = 0, np.inf, self._weights(), 0
+        watched = rng.permutation(len(y)) % HELD_IN == 0
         for epoch in range(epochs):
-            batches = [own[at : at + DOCS_PER_STEP] for k in range(PARTS) for own in [rng.permutation(np.flatnonzero(part == k))] for at in range(0, len(own), DOCS_PER_STEP)]
+            batches = [own[at : at + DOCS_PER_STEP] for k in range(PARTS) for own in [rng.permutation(np.flatnonzero((part == k) & ~watched))] for at in range(0, len(own), DOCS_PER_STEP)]
             for b in rng.permutation(len(batches)):
                 docs = batches[b]
-                counts, codes, distinct = words(column.take(pa.array(docs)))
-                if not distinct:
+                counts, codes, distinct = sample.texts(docs)
+                if not len(distinct):
                     continue
-                x, ids, (pairs, starts), sizes = self.inputs(distinct, without[part[docs[0]]])
+                ids, (pairs, starts, sizes) = sample.ids[distinct], sample.characters(distinct)
+                x = self._inputs(ids, pairs, starts, sizes, without[part[docs[0]]])
                 gates = self.project(x)
                 owner, first, length = windows(counts)
                 c, m = self._grid(codes, first, length, len(distinct))
@@ -240,11 +295,31 @@ class Network:
                 spread = np.repeat(dx[:, WORD_DIM:] / sizes, sizes[:, 0].astype(np.int64), axis=0)
                 rows, inverse = np.unique(pairs, return_inverse=True)
                 summed = np.zeros((len(rows), CHAR_DIM), F32)
-                np.add.at(summed, inverse, spread)
+                _add_rows(summed, inverse, spread)
                 self._adagrad("char", seen, rows, summed)
+            loss = self._loss(column, y, part, watched, without)
+            since += 1
+            if loss < best:
+                best, kept, since = loss, self._weights(), 0
+            if since >= PATIENCE:
+                break
+        self.dense, self.word, self.char = kept
         self.fitted = True
         return self
 
+    def _weights(self) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        return {k: v.copy() for k, v in self.dense.items()}, self.word.copy(), self.char.copy()
+
+    def _loss(self, column: pa.Array, y: np.ndarray, part: np.ndarray, watched: np.ndarray, without: list[np.ndarray]) -> float:
+        """Mean log-loss of the watched texts, their words' statistics counted without their part."""
+        total = 0.0
+        for k in range(PARTS):
+            own = np.flatnonzero(watched & (part == k))
+            if len(own):
+                logit = self._logits(column.take(pa.array(own)), without[k])
+                total += float(np.logaddexp(0, np.where(y[own] == 1, -logit, logit)).sum())
+        return total / max(1, int(watched.sum()))
+
     def _class_counts(self, column: pa.Array, y: np.ndarray, part: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Texts that have each word, by part and class, copies once; the last column counts all texts."""
         out = np.zeros((PARTS, 2, len(self.vocabulary) + 1))
