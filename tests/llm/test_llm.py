@@ -117,6 +117,56 @@ def test_network_gradients_match_differences():
         assert g[at] == pytest.approx((more - less) / 2e-3, rel=0.05, abs=2e-3), name
 
 
+def logit_by_loops(net, words):
+    """One window's logit with nothing but scalars."""
+    import math
+
+    h_, d = toxicity.HIDDEN, {k: v.tolist() for k, v in net.dense.items()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    inputs = []
+    for w in words:
+        i = net.vocabulary.get(w, -1)
+        marked = f"<{w}>"
+        pairs = [((ord(a) * 0x9E3779B1 + ord(b)) * 0x85EBCA6B % 2**64 >> 13) % toxicity.CHAR_PAIRS for a, b in itertools.pairwise(marked)]
+        chars = [sum(float(net.char[p][k]) for p in pairs) / len(pairs) for k in range(toxicity.CHAR_DIM)]
+        inputs.append([float(net.standing[i]), *map(float, net.word[i]), *chars])
+
+    def run(order, at, u):
+        h, out = [0.0] * h_, {}
+        for t in order:
+            x = [sum(a * d["wx"][j][at + k] for j, a in enumerate(inputs[t])) + d["bx"][at + k] for k in range(3 * h_)]
+            hu = [sum(h[j] * d[u][j][k] for j in range(h_)) for k in range(3 * h_)]
+            z, r = [sig(x[k] + hu[k]) for k in range(h_)], [sig(x[h_ + k] + hu[h_ + k]) for k in range(h_)]
+            n = [math.tanh(x[2 * h_ + k] + r[k] * hu[2 * h_ + k]) for k in range(h_)]
+            out[t] = h = [n[k] + z[k] * (h[k] - n[k]) for k in range(h_)]
+        return out
+
+    forward, backward = run(range(len(words)), 0, "uf"), run(reversed(range(len(words))), 3 * h_, "ub")
+    states = [forward[t] + backward[t] for t in range(len(words))]
+    felt = [sum(math.tanh(sum(s[j] * d["wa"][j][k] for j in range(2 * h_)) + d["ba"][k]) * d["va"][k] for k in range(toxicity.ATTENTION)) for s in states]
+    weight = [math.exp(f - max(felt)) for f in felt]
+    pooled = [sum(w * s[k] for w, s in zip(weight, states, strict=True)) / sum(weight) for k in range(2 * h_)]
+    return sum(p * w for p, w in zip(pooled, d["wo"], strict=True)) + d["bo"][0]
+
+
+def test_scores_match_plain_loops():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    known = [f"w{i}" for i in range(30)] + ["naïve", "x2"]
+    net = toxicity.Network({w: i for i, w in enumerate(known)})
+    net.fitted = True
+    net.standing = np.random.default_rng(1).standard_normal(len(known) + 1).astype(np.float32)
+    net.word = np.random.default_rng(2).standard_normal(net.word.shape).astype(np.float32)
+    texts = [" ".join(rng.choice([*known, "unseen", "Wörter"]) for _ in range(n)) for n in (1, 5, 31, 32, 33, 70)]
+    got = net.logits(pa.array(texts, pa.string()))
+    for text, logit in zip(texts, got, strict=True):
+        split = text.lower().split()
+        last = max(0, -(-(len(split) - toxicity.WINDOW) // toxicity.STRIDE))
+        parts = [split[i * toxicity.STRIDE : i * toxicity.STRIDE + toxicity.WINDOW] for i in range(last + 1)]
+        assert logit == pytest.approx(max(logit_by_loops(net, p) for p in parts), abs=1e-4)
+
+
 # 2 secrets
 
 
@@ -723,7 +773,39 @@ def test_few_candidates_are_all_found(spark):
     assert ann.nearest(table.where("false"), table, 5).count() == 0
 
 
-# the pipeline
+# long texts and the pipeline
+
+
+def test_batches_of_long_texts_pass_whole(spark):
+    """Hundreds of megabytes in one partition: batches are bounded by bytes as well as by rows."""
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("lorem ipsum dolor "), 70_000)).alias("text"), F.lit("s").alias("source"))
+    got = simhash_dedup.fingerprints(docs)
+    assert got.count() == 300 and got.select("fp").distinct().count() == 1
+
+
+def test_very_long_texts_are_read_to_their_end(spark):
+    filler = "plain words of no harm, line by line " * 60_000
+    rows = [(1, filler + "\nthe very last line of this long document\n", "s"), (2, "the very last line of this long document", "s"), (3, filler + " token=abcdef123", "s"), (4, None, "s")]
+    docs = docs_of(spark, rows)
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept[2] == "" and kept[1].split("\n")[1] == rows[1][1] and kept[4] is None
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    assert spans[3] == f"assign:{len(filler) + 1}:{len(filler) + 16}" and spans[1] == ""
+    taken = {r.doc_id: r.size for r in mixing.mix(docs).collect()}
+    assert taken[3] == len(rows[2][1].split()) and taken[4] == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None), (None, "", "s"), (2, "same words in a row " * 9, "s"), (2, "same words in a row " * 9, "s"), (3, "same words in a row " * 9, "t")]])
+def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("fp", "version", "score", "n_lines", "copies", "id")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of the copies one row's text stays; the mix takes empty texts as often as others of their source, and nothing of a source without words.
+    assert {r.doc_id for r in got} == ({2, None} if rows else set())
+
 
 
 def test_pipeline_stages_do_their_work(spark, data):
