@@ -186,6 +186,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     decided = decide(docs, id_col, text_col, source_col, seed=seed)
     total = decided.groupBy(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("version").alias("_version")).agg(F.sum("copies").alias("_taken"), F.count("*").alias("_rows")).where("_taken > 0")
+    total = materialize(total, "taken")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (_version(text_col) == F.col("_version"))
     joined = docs.join(total, same)
     each = joined.where("_taken >= _rows").withColumn("_nth", F.explode(F.expr("sequence(1L, _taken div _rows)")))

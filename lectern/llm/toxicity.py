@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.simhash_dedup import simhash
-from lectern.llm.workers import map_batches
+from lectern.llm.workers import give_back, map_batches
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16, 16, 16, 16
@@ -390,7 +390,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts_, prior = rows.column("text").to_pylist(), sum(label) / len(label) if label else 0.0
     if not 0 < prior < 1:
         return Network({}, prior)
-    return Network(vocabulary(texts_), prior, seed).fit(texts_, label, seed)
+    network = Network(vocabulary(texts_), prior, seed).fit(texts_, label, seed)
+    del rows, texts_
+    give_back()  # the driver has work to do after this
+    return network
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "score", rows_at_once: int = 500) -> DataFrame:
