@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
@@ -100,6 +100,26 @@ def keyword_library(c: Column) -> Column:
     return F.coalesce(*(F.when(any_of(low, words), F.lit(name)) for name, words in fixed.LIBRARY_KEYWORDS))
 
 
+def with_keyword_tags(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with ``subjects`` and ``library`` as the two functions above give them.
+
+    In steps that Catalyst keeps apart because later ones use them often: the
+    text is lower-cased once and every list of words is looked for once, a
+    parent's children by what was found for them.
+    """
+    lists = {**{f"_s{i}": words for i, (_, words) in enumerate(fixed.SUBJECT_KEYWORDS)}, **{f"_l{i}": words for i, (_, words) in enumerate(fixed.LIBRARY_KEYWORDS)}}
+    found = rows.withColumn("_low", F.lower(column)).withColumns({name: any_of(F.col("_low"), words) for name, words in lists.items()})
+    names = [name for name, _ in fixed.SUBJECT_KEYWORDS]
+
+    def hit(i: int) -> Column:
+        below = [F.col(f"_s{j}") for j, name in enumerate(names) if name.startswith(names[i] + "/")]
+        return F.col(f"_s{i}") & ~reduce(lambda a, b: a | b, below) if below else F.col(f"_s{i}")
+
+    subjects = F.array_compact(F.array(*(F.when(hit(i), F.lit(name)) for i, name in enumerate(names))))
+    library = F.coalesce(*(F.when(F.col(f"_l{i}"), F.lit(name)) for i, (name, _) in enumerate(fixed.LIBRARY_KEYWORDS)))
+    return found.withColumns({"subjects": subjects, "library": library}).drop("_low", *lists)
+
+
 def normal_author(c: Column) -> Column:
     """``Last, First`` and ``F. M. Last`` in one form: lower case, no dots, single spaces."""
     low = strip(F.regexp_replace(F.lower(c), SPACES, " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +102,8 @@ def references_found(blocks: DataFrame) -> DataFrame:
     each = blocks.select("book_id", head.alias("head"), numbers.alias("numbers"), text.author_year_citations(F.col("text")).alias("cites"), isbns.alias("isbns"), publishers.alias("publishers"))
     some = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     return each.groupBy("book_id").agg(F.array_sort(F.collect_set("head")).alias("bibliography_pages"), some("numbers").alias("numbers"), some("cites").alias("author_years"), some("isbns").alias("isbns"), some("publishers").alias("publishers"))
+
+
+def mean_confidence(*columns: str) -> Column:
+    """The mean of the parts' confidences, two digits."""
+    return F.round(reduce(lambda a, b: a + b, (F.col(c) for c in columns)) / len(columns), 2)

@@ -54,6 +54,11 @@ def literal(text: Column, needle: str) -> Column:
     return F.contains(F.lower(text), F.lit(needle.lower()))
 
 
+def same_title(title: Column, wanted: str) -> Column:
+    """Titles equal in any case; ``%`` and ``_`` are plain characters."""
+    return F.lower(title) == F.lit(wanted.lower())
+
+
 def pages(first: int, last: int) -> Column:
     return F.col("page").between(first, last)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed, text, vectors
 from lectern.operators import filters, navigate, retrieval, structure
-from lectern.plans.registry import BLOCKS_SQL, HEADS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, query, table, values_sql
+from lectern.plans.registry import BLOCKS_SQL, HEADS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, plus, plus_sql, query, table, values_sql
 
 S = SparkSession
 COS = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 4)"
@@ -99,27 +99,31 @@ def r09_result_rows(spark: S, d: str) -> DataFrame:
     return retrieval.search_rows(hits.select(F.lit("").alias("text"), "score", F.col("vec_id").cast("int").alias("book_id"), F.col("label").alias("chapter_num"), F.lit("Text").alias("block_type")))
 
 
-HITS = [(1, 7, 3), (2, 7, 4), (3, 8, 1)]
+HITS = [(-1, 7, 3), (-2, 7, 4), (-3, 8, 1)]
+_hits = "doc_id AS hit_id, doc_id % 20 AS book_id, doc_id % 9 AS page"
 IMAGES = [(7, "marker:a", "picture", 3, 2, None, None, "c1"), (7, "marker:b", "figure", 3, 10, None, None, None), (7, "marker:c", "figure", 3, 2, None, None, None), (7, "marker:d", "table", 9, 1, 3, None, "c2"), (7, "marker:e", "unknown", 4, 1, 4, None, None)]
+_images = "page_id % 20 AS book_id; concat('marker:', page_id) AS image_id; CASE page_id % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'picture' ELSE 'unknown' END AS kind; page_id % 9 AS page; page_id % 5 AS idx; CASE WHEN page_id % 3 = 0 THEN page_id % 7 END AS marker_page; CAST(NULL AS STRING) AS label; CASE WHEN page_id % 8 = 0 THEN url END AS caption"
 _rank = "CASE kind WHEN 'figure' THEN 0 WHEN 'picture' THEN 1 WHEN 'table' THEN 2 WHEN 'unknown' THEN 3 ELSE 9 END"
 
 
-@query(f"""WITH h AS (SELECT * FROM {values_sql("hit_id, book_id, page", HITS)}), i AS (SELECT * FROM {values_sql("book_id, image_id, kind, page, idx, marker_page, label, caption", IMAGES)}),
+@query(f"""WITH h AS (SELECT * FROM {plus_sql(f"SELECT {_hits} FROM documents", "hit_id, book_id, page", HITS)}), i AS (SELECT * FROM {plus_sql(f"SELECT {_images.replace(';', ',')} FROM pages", "book_id, image_id, kind, page, idx, marker_page, label, caption", IMAGES)}),
   p AS (SELECT DISTINCT h.hit_id, i.* FROM h JOIN i ON h.book_id = i.book_id AND (i.marker_page = h.page OR i.page = h.page)),
   r AS (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY CASE WHEN coalesce(caption, '') <> '' THEN 0 ELSE 1 END, {_rank}, page, concat(idx, ':', image_id)) AS n FROM p)
   SELECT h.hit_id, coalesce(string_agg(image_id, '|' ORDER BY n) FILTER (n <= 3), '') AS images FROM h LEFT JOIN r USING (hit_id) GROUP BY h.hit_id""")
 def r10_image_links(spark: S, d: str) -> DataFrame:
-    images = inline(spark, "book_id int, image_id string, kind string, page int, index int, marker_page int, label string, caption string", IMAGES)
-    found = retrieval.images_of_hits(inline(spark, "hit_id int, book_id int, page int", HITS), images)
+    found = table(spark, d, "pages").selectExpr(*_images.replace("AS idx", "AS index").split("; "))
+    images = plus(found, "book_id bigint, image_id string, kind string, page int, index int, marker_page int, label string, caption string", IMAGES)
+    hits = plus(table(spark, d, "documents").selectExpr(*_hits.split(", ")), "hit_id bigint, book_id bigint, page int", HITS)
+    found = retrieval.images_of_hits(hits, images)
     return found.select("hit_id", F.array_join("images", "|").alias("images"))
 
 
 WILD = [("100% sure_thing",), ("100 sure thing",), ("abc",), ("a_c",)]
 
 
-@query(f"SELECT t, contains(lower(t), 'a_c') AS underscore, contains(lower(t), '0%') AS percent FROM {values_sql('t', WILD)}")
+@query(f"SELECT t, contains(lower(t), 'a_c') AS underscore, contains(lower(t), '0%') AS percent FROM {plus_sql('SELECT text AS t FROM documents', 't', WILD)}")
 def f05_literal_wildcards(spark: S, d: str) -> DataFrame:
-    return inline(spark, "t string", WILD).select("t", filters.literal(F.col("t"), "A_C").alias("underscore"), filters.literal(F.col("t"), "0%").alias("percent"))
+    return plus(table(spark, d, "documents").select(F.col("text").alias("t")), "t string", WILD).select("t", filters.literal(F.col("t"), "A_C").alias("underscore"), filters.literal(F.col("t"), "0%").alias("percent"))
 
 
 def _tagged(spark: S, d: str) -> DataFrame:
@@ -179,16 +183,16 @@ def j09_page_context(spark: S, d: str) -> DataFrame:
     return structure.page_context(o.select("book_id", "page").distinct(), structure.chapters(o))
 
 
-BACK = [(1, i, 1, "SectionHeader" if i in (3, 15, 18) else "Text", {3: "Index", 15: "Notes", 18: "**About the Author**"}.get(i, "words")) for i in range(22)]
-BACK += [(2, i, 1, "SectionHeader" if i >= 12 else "Text", "ABCDEFGHIJ"[i - 12] if i >= 12 else "words") for i in range(22)] + [(3, i, 1, "SectionHeader", "Index") for i in range(5)]
+BACK = [(-1, i, 1, "SectionHeader" if i in (3, 15, 18) else "Text", {3: "Index", 15: "Notes", 18: "**About the Author**"}.get(i, "words")) for i in range(22)]
+BACK += [(-2, i, 1, "SectionHeader" if i >= 12 else "Text", "ABCDEFGHIJ"[i - 12] if i >= 12 else "words") for i in range(22)] + [(-3, i, 1, "SectionHeader", "Index") for i in range(5)]
 
 
-@query(f"""WITH b AS (SELECT * FROM {values_sql("book_id, block_idx, page, block_type, text", BACK)}), h AS (SELECT *, regexp_replace(text, '\\*{{1,2}}', '', 'g') AS heading FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM b) WHERE n >= 20 AND block_idx >= n // 2 AND block_type = 'SectionHeader'),
+@query(f"""WITH {OUTLINE_SQL}, b AS (SELECT * FROM {plus_sql("SELECT book_id, block_idx, page, block_type, text FROM outline", "book_id, block_idx, page, block_type, text", BACK)}), h AS (SELECT *, regexp_replace(text, '\\*{{1,2}}', '', 'g') AS heading FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM b) WHERE n >= 20 AND block_idx >= n // 2 AND block_type = 'SectionHeader'),
   r AS (SELECT *, regexp_matches(heading, '(?i){fixed.BACK_MATTER}') AS named, length(heading) <= 2 AS letter, sum(CASE WHEN length(heading) <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY block_idx) AS run FROM h),
   k AS (SELECT *, row_number() OVER (PARTITION BY book_id, run, letter ORDER BY block_idx) AS nth, min(block_idx) OVER (PARTITION BY book_id, run, letter) AS start FROM r)
   SELECT book_id, arg_min(CASE WHEN named THEN block_idx ELSE start END, block_idx) AS body_end FROM k WHERE named OR (letter AND nth = 4) GROUP BY book_id""")
 def t11_back_matter(spark: S, d: str) -> DataFrame:
-    return structure.body_end(inline(spark, "book_id int, block_idx int, page int, block_type string, text string", BACK))
+    return structure.body_end(plus(outline(spark, d), "book_id bigint, block_idx int, page int, block_type string, text string", BACK))
 
 
 @query(f"""WITH {HEADS_SQL}, s AS (SELECT *, lead(page_start) OVER (PARTITION BY book_id ORDER BY number) AS e, last_value(nullif(page_start, 0) IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM chapters), t AS (SELECT book_id, max(page) AS total FROM outline GROUP BY book_id)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.operators import audit, catalog, enrich, metrics, relations
-from lectern.plans.registry import BLOCKS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, query, quoted, table, values_sql
+from lectern.plans.registry import BLOCKS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, plus, plus_sql, query, quoted, table
 from lectern.operators.structure import block_labels
 
 S = SparkSession
@@ -87,13 +87,13 @@ def a12_ocr_quality(spark: S, d: str) -> DataFrame:
     return audit.ocr_quality(blocks(spark, d))
 
 
-MARKS = [(1, "SectionHeader", "Table of Contents"), (1, "Text", "see the index"), (1, "Text", "indexing"), (2, "Text", "In this Introduction"), (2, "SectionHeader", "Foreword"), (3, "Text", "none")]
+MARKS = [(-1, "SectionHeader", "Table of Contents"), (-1, "Text", "see the index"), (-1, "Text", "indexing"), (-2, "Text", "In this Introduction"), (-2, "SectionHeader", "Foreword"), (-3, "Text", "none")]
 _marks = " UNION ALL ".join(f"SELECT *, '{n}' AS landmark FROM m WHERE regexp_matches(text, '(?i){p}')" for n, p in fixed.LANDMARKS)
 
 
-@query(f"WITH m AS (SELECT * FROM {values_sql('book_id, block_type, text', MARKS)}) SELECT book_id, landmark, CASE WHEN bool_or(block_type = 'SectionHeader') THEN 'found_in_headers' ELSE 'found_in_text' END AS found FROM ({_marks}) GROUP BY ALL")
+@query(f"WITH {BLOCKS_SQL}, m AS (SELECT * FROM {plus_sql('SELECT book_id, block_type, text FROM blocks', 'book_id, block_type, text', MARKS)}) SELECT book_id, landmark, CASE WHEN bool_or(block_type = 'SectionHeader') THEN 'found_in_headers' ELSE 'found_in_text' END AS found FROM ({_marks}) GROUP BY ALL")
 def a13_landmarks(spark: S, d: str) -> DataFrame:
-    return audit.landmarks(inline(spark, "book_id int, block_type string, text string", MARKS))
+    return audit.landmarks(plus(blocks(spark, d), "book_id bigint, block_type string, text string", MARKS))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT lang, count(*) AS blocks, count(DISTINCT book_id) AS books, count(*) FILTER (block_type = 'Code') AS code, CAST(sum(length(text)) AS BIGINT) AS chars FROM blocks GROUP BY ROLLUP (lang)")
@@ -110,9 +110,14 @@ def a17_yields(spark: S, d: str) -> DataFrame:
 SAMPLES = [("ok", 10.0, 4.2), ("ok", 841.0, 1.0), ("offload", 1091.0, 3.0), ("offload", 2000.0, 13.2)]
 
 
-@query(f"WITH s AS (SELECT * FROM {values_sql('label, img, page', SAMPLES)}), u AS (SELECT label, 'img' AS signal, img AS value FROM s UNION ALL SELECT label, 'page', page FROM s), a AS (SELECT signal, CAST(max(value) FILTER (label = 'ok') AS DOUBLE) AS max_ok, CAST(min(value) FILTER (label = 'offload') AS DOUBLE) AS min_offload FROM u GROUP BY signal) SELECT *, CASE WHEN max_ok < min_offload THEN 'CLEAN GAP' ELSE 'OVERLAP' END AS verdict FROM a")
+_measured = "SELECT CASE WHEN toxic = 1 THEN 'offload' ELSE 'ok' END AS label, CAST(n_chars AS DOUBLE) AS img, CAST(toxic * 100 + n_chars % 7 AS DOUBLE) AS page FROM documents JOIN labels USING (doc_id)"
+
+
+@query(f"WITH s AS (SELECT * FROM {plus_sql(_measured, 'label, img, page', SAMPLES)}), u AS (SELECT label, 'img' AS signal, img AS value FROM s UNION ALL SELECT label, 'page', page FROM s), a AS (SELECT signal, CAST(max(value) FILTER (label = 'ok') AS DOUBLE) AS max_ok, CAST(min(value) FILTER (label = 'offload') AS DOUBLE) AS min_offload FROM u GROUP BY signal) SELECT *, CASE WHEN max_ok < min_offload THEN 'CLEAN GAP' ELSE 'OVERLAP' END AS verdict FROM a")
 def a18_signal_separation(spark: S, d: str) -> DataFrame:
-    return audit.separation(inline(spark, "label string, img double, page double", SAMPLES), ["img", "page"])
+    known = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    measured = known.select(F.when(F.col("toxic") == 1, "offload").otherwise("ok").alias("label"), F.col("n_chars").alias("img"), (F.col("toxic") * 100 + F.col("n_chars") % 7).alias("page"))
+    return audit.separation(plus(measured, "label string, img double, page double", SAMPLES), ["img", "page"])
 
 
 _terms = "string_split(left(text, 60), ' ')[1:4]"
@@ -150,23 +155,31 @@ def a25_page_counts(spark: S, d: str) -> DataFrame:
 METADATA = [("a", 2, "Late", None, ["x", "y"]), ("a", 1, None, 1999, ["z"]), ("a", 3, "Last", 2001, ["y", "w"]), ("b", 1, None, None, None), ("b", 2, "Only", None, ["q", "q"])]
 
 
-@query(f"SELECT k, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, arg_min(year, ord) FILTER (year IS NOT NULL) AS year, CASE k WHEN 'a' THEN 'z|x|y|w' ELSE 'q' END AS authors FROM {values_sql('k, ord, title, year, authors', METADATA)} GROUP BY k")
+_found = "source AS k, doc_id AS ord, CASE WHEN doc_id % 4 = 0 THEN concat(lang, doc_id) END AS title, CASE WHEN doc_id % 3 = 0 THEN CAST(1990 + doc_id % 30 AS INT) END AS year"
+
+
+@query(f"""WITH s AS (SELECT {_found}, [lang, concat('x', doc_id % 3)] AS authors FROM documents), f AS (SELECT k, a, min(ord * 10 + p) AS first FROM (SELECT k, ord, unnest(authors) AS a, unnest([0, 1]) AS p FROM s) GROUP BY ALL),
+  m AS (SELECT k, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, arg_min(year, ord) FILTER (year IS NOT NULL) AS year FROM s GROUP BY k)
+  SELECT k, title, year, authors FROM m JOIN (SELECT k, string_agg(a, '|' ORDER BY first) AS authors FROM f GROUP BY k) USING (k) UNION ALL SELECT * FROM (VALUES ('a', 'Late', 1999, 'z|x|y|w'), ('b', 'Only', NULL, 'q'))""")
 def a27_metadata_merge(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "k string, ord int, title string, year int, authors array<string>", METADATA)
+    docs = table(spark, d, "documents").selectExpr("source AS k", "doc_id AS ord", "CASE WHEN doc_id % 4 = 0 THEN concat(lang, doc_id) END AS title", "CASE WHEN doc_id % 3 = 0 THEN CAST(1990 + doc_id % 30 AS INT) END AS year", "array(lang, concat('x', doc_id % 3)) AS authors")
+    rows = plus(docs, "k string, ord bigint, title string, year int, authors array<string>", METADATA)
     merged = enrich.merge_metadata(rows, "k", "ord", ["title", "year"], ["authors"])
     return merged.withColumn("authors", F.array_join("authors", "|"))
 
 
-IMPRINTS = [(1, 0, 2, "© Prentice Hall International (UK) Ltd, 1992"), (1, 1, 3, "ISBN 0-13-014401-1"), (1, 2, 4, "Published by Acme, Boston"), (2, 0, 1, "plain"), (2, 1, 5, "Springer series"), (3, 0, 1, "copyright notice"), (3, 1, 9, "Copyright 2001 O'Reilly")]
+IMPRINTS = [(-1, 0, 2, "© Prentice Hall International (UK) Ltd, 1992"), (-1, 1, 3, "ISBN 0-13-014401-1"), (-1, 2, 4, "Published by Acme, Boston"), (-2, 0, 1, "plain"), (-2, 1, 5, "Springer series"), (-3, 0, 1, "copyright notice"), (-3, 1, 9, "Copyright 2001 O'Reilly")]
+_imprint = "CASE block_idx % 9 WHEN 0 THEN concat('Copyright ', 1950 + book_id % 70, ' ', text) WHEN 3 THEN concat('ISBN 978-0-', 100000000 + book_id, ' ', text) WHEN 5 THEN concat('Published by ', lang, ' Wiley, ', text) WHEN 7 THEN concat('Publisher: ', source) ELSE text END AS text"
 _known = "CASE " + " ".join(f"WHEN contains(low, {quoted(p.lower())}) THEN {quoted(p)}" for p in fixed.COPYRIGHT_PUBLISHERS) + " END"
 
 
-@query(rf"""WITH b AS (SELECT *, lower(text) AS low, contains(text, '©') OR contains(lower(text), 'copyright') AS marked FROM {values_sql("book_id, block_idx, page, text", IMPRINTS)}),
+@query(rf"""WITH {BLOCKS_SQL}, b AS (SELECT *, lower(text) AS low, contains(text, '©') OR contains(lower(text), 'copyright') AS marked FROM {plus_sql(f"SELECT book_id, block_idx, page, {_imprint} FROM blocks", "book_id, block_idx, page, text", IMPRINTS)}),
   f AS (SELECT *, CASE WHEN marked THEN TRY_CAST(regexp_extract(low, '(?:©|copyright)[^0-9]*(\d{{4}})', 1) AS INT) END AS y, nullif(replace(regexp_extract(text, 'ISBN[-:\s]*(\d[\d-]{{9,}}[\dXx])', 1), '-', ''), '') AS i, nullif(trim(regexp_extract(text, '(?i)(?:published by|publisher[:\s]+)([^,\n]+)', 1)), '') AS n, {_known} AS k FROM b),
   g AS (SELECT *, coalesce(k, n) AS pub, (CASE WHEN y IS NULL THEN 0 ELSE 3 END) + (CASE WHEN i IS NULL THEN 0 ELSE 3 END) + (CASE WHEN n IS NULL THEN 0 ELSE 2 END) + (CASE WHEN k IS NULL THEN 0 ELSE 2 END) AS t FROM f)
   SELECT book_id, arg_max(y, block_idx) FILTER (y IS NOT NULL) AS year, arg_max(i, block_idx) FILTER (i IS NOT NULL) AS isbn, arg_max(pub, block_idx) FILTER (pub IS NOT NULL) AS publisher, coalesce(arg_max(page, block_idx) FILTER (marked), arg_min(page, block_idx) FILTER (i IS NOT NULL OR pub IS NOT NULL)) AS page, sum(t) / 10 AS confidence FROM g GROUP BY book_id""")
 def a28_copyright_fold(spark: S, d: str) -> DataFrame:
-    return enrich.copyright_facts(inline(spark, "book_id int, block_idx int, page int, text string", IMPRINTS))
+    pages = blocks(spark, d).select("book_id", "block_idx", "page", F.expr(_imprint))
+    return enrich.copyright_facts(plus(pages, "book_id bigint, block_idx int, page int, text string", IMPRINTS))
 
 
 FRONT = [(1, 0, 1, "Text", "<p><b>Tides and Waves</b></p>"), (1, 1, 1, "Text", "<p>by John Q. Public</p>"), (1, 2, 2, "SectionHeader", "<h1>Chapter 1</h1>"), (2, 0, 1, "SectionHeader", "<h1>The Sea</h1>"), (2, 1, 1, "Text", "J. M. Selig\nDepartment of Physics"), (3, 0, 1, "Text", "Selig, J. M."), (4, 0, 1, "Text", "nothing")]
@@ -183,9 +196,12 @@ EXTERNAL = [("Tides", "tides and waves", "Wiley", "wiley", True, 0.95), ("Sea",
 _agree = lambda a, b: f"(contains(lower(coalesce({a}, '')), lower(coalesce({b}, ''))) OR contains(lower(coalesce({b}, '')), lower(coalesce({a}, ''))))"
 
 
-@query(f"SELECT lt, t, CASE WHEN {_agree('lt', 't')} AND {_agree('lp', 'p')} AND coalesce(m, TRUE) THEN 'keep' WHEN c >= 0.9 THEN 'update' ELSE 'review' END AS advice FROM {values_sql('lt, t, lp, p, m, c', EXTERNAL)}")
+_compared = ("source AS lt", "CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE lang END AS t", "lang AS lp", "nullif(lang, 'de') AS p", "doc_id % 3 <> 0 AS m", "CAST(doc_id % 11 AS DOUBLE) / 10 AS c")
+
+
+@query(f"SELECT lt, t, CASE WHEN {_agree('lt', 't')} AND {_agree('lp', 'p')} AND coalesce(m, TRUE) THEN 'keep' WHEN c >= 0.9 THEN 'update' ELSE 'review' END AS advice FROM {plus_sql(f'SELECT {str(chr(44)).join(_compared)} FROM documents', 'lt, t, lp, p, m, c', EXTERNAL)}")
 def t29_validation(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "lt string, t string, lp string, p string, m boolean, c double", EXTERNAL)
+    rows = plus(table(spark, d, "documents").selectExpr(*_compared), "lt string, t string, lp string, p string, m boolean, c double", EXTERNAL)
     c = F.col
     return rows.select("lt", "t", enrich.recommendation(c("lt"), c("t"), c("lp"), c("p"), c("m"), c("c")).alias("advice"))
 
@@ -200,14 +216,15 @@ def t28_enrich(spark: S, d: str) -> DataFrame:
     return enrich.apply_enrichment(books, found).select("id", "new_title", "new_authors", "enrichment")
 
 
-@query("""WITH b AS (SELECT doc_id AS id, left(text, 12) AS title, 'p' || doc_id AS path FROM documents WHERE doc_id % 2 = 0), i AS (SELECT lower(left(text, 12)) AS title, 'p' || (doc_id + 100000) AS source_path FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH b AS (SELECT doc_id AS id, text AS title FROM documents WHERE doc_id % 2 = 0), i AS (SELECT lower(text) AS title, 'p' || (doc_id + 100000) AS source_path FROM documents WHERE doc_id % 3 = 0),
   t AS (SELECT lower(title) AS title, min(id) AS id FROM b GROUP BY ALL), k AS (SELECT i.*, t.id FROM i LEFT JOIN t ON lower(i.title) = t.title)
   SELECT title, source_path, id, TRUE AS already_exists FROM k WHERE id IS NOT NULL UNION ALL SELECT title, source_path, (SELECT max(id) FROM b) + row_number() OVER (ORDER BY title, source_path), FALSE FROM k WHERE id IS NULL""")
 def k05_register_dedup(spark: S, d: str) -> DataFrame:
+    """Whole texts as titles; every second document is known and every third comes in, so that some are new."""
     docs = table(spark, d, "documents")
     path = lambda add: F.concat(F.lit("p"), (F.col("doc_id") + add).cast("string")).alias("source_path")
-    books = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.left("text", F.lit(12)).alias("title"), path(0))
-    return catalog.register(books, docs.where("doc_id % 3 = 0").select(F.lower(F.left("text", F.lit(12))).alias("title"), path(100000)))
+    books = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), path(0))
+    return catalog.register(books, docs.where("doc_id % 3 = 0").select(F.lower("text").alias("title"), path(100000)))
 
 
 @query(f"WITH {BOOKS_SQL} SELECT b.id, coalesce(p.library, b.library) AS library, b.status FROM books b LEFT JOIN (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'held' END AS library FROM labels) p USING (id)")
@@ -251,9 +268,12 @@ def k09_latest_status(spark: S, d: str) -> DataFrame:
 STATES = [("pending",), ("extracting",), ("extracted",), ("indexing",), ("indexed",), ("failed",), (None,)]
 
 
-@query(f"SELECT s, coalesce(s, 'pending') NOT IN ('extracting', 'extracted', 'indexing', 'indexed') AS extract, coalesce(s, 'pending') <> 'indexing' AS index FROM {values_sql('s', STATES)}")
+_state = "CASE event_type WHEN 'view' THEN 'extracting' WHEN 'click' THEN 'indexed' WHEN 'error' THEN 'indexing' WHEN 'signup' THEN NULL ELSE event_type END AS s"
+
+
+@query(f"SELECT s, coalesce(s, 'pending') NOT IN ('extracting', 'extracted', 'indexing', 'indexed') AS extract, coalesce(s, 'pending') <> 'indexing' AS index FROM {plus_sql(f'SELECT {_state} FROM events', 's', STATES)}")
 def p03_state_guards(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "s string", STATES)
+    rows = plus(table(spark, d, "events").select(F.expr(_state)), "s string", STATES)
     return rows.select("s", catalog.may_start(F.col("s"), "extract").alias("extract"), catalog.may_start(F.col("s"), "index").alias("index"))
 
 
@@ -267,15 +287,13 @@ def j13_anti_join(spark: S, d: str) -> DataFrame:
     return relations.unmatched(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-ISBNS = [(1, "978-3-16 148410-0"), (2, "0130144011"), (3, None)]
-GOOGLE, OPEN_LIBRARY = [("9783161484100", "G title")], [("9783161484100", "O title"), ("0130144011", "O two")]
-
-
-@query(f"SELECT id, coalesce(g.title, o.title) AS title FROM {values_sql('id, isbn', ISBNS)} LEFT JOIN (VALUES ('9783161484100', 'G title')) AS g(k, title) ON g.k = translate(isbn, '- ', '') LEFT JOIN {values_sql('k, title', OPEN_LIBRARY).replace('AS v', 'AS o')} ON o.k = translate(isbn, '- ', '')")
+@query("""SELECT d.doc_id AS id, coalesce(g.title, o.title) AS title FROM documents d LEFT JOIN (SELECT '978' || doc_id || '0' AS k, 'G' || doc_id AS title FROM labels) g ON g.k = translate(concat('978-', d.doc_id, ' 0'), '- ', '')
+  LEFT JOIN (SELECT '978' || (3 * item_id) || '0' AS k, text AS title FROM benchmark) o ON o.k = translate(concat('978-', d.doc_id, ' 0'), '- ', '')""")
 def j15_isbn_lookup(spark: S, d: str) -> DataFrame:
-    books = inline(spark, "id int, isbn string", ISBNS).withColumn("k", F.translate("isbn", "- ", ""))
-    g, o = inline(spark, "k string, g string", GOOGLE), inline(spark, "k string, o string", OPEN_LIBRARY)
-    return books.join(g, "k", "left").join(o, "k", "left").select("id", F.coalesce("g", "o").alias("title"))
+    key = lambda c: F.concat(F.lit("978"), c.cast("string"), F.lit("0")).alias("k")
+    books = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.translate(F.concat(F.lit("978-"), F.col("doc_id"), F.lit(" 0")), "- ", "").alias("k"))
+    first = table(spark, d, "labels").select(key(F.col("doc_id")), F.concat(F.lit("G"), "doc_id").alias("title"))
+    return relations.first_of(books, "k", "title", first, table(spark, d, "benchmark").select(key(F.col("item_id") * 3), F.col("text").alias("title"))).drop("k")
 
 
 @query(f"WITH {OUTLINE_SQL} SELECT book_id, count(*) AS n FROM outline WHERE block_type = 'SectionHeader' GROUP BY ALL HAVING count(*) > 3")
@@ -283,12 +301,10 @@ def o03_limits_after_group(spark: S, d: str) -> DataFrame:
     return relations.groups_over(outline(spark, d).where("block_type = 'SectionHeader'"), "book_id", 3)
 
 
-LISTS = [(1, ["a", "b"], ["b", "c"]), (2, [], ["x"]), (3, ["m"], [])]
-
-
-@query("SELECT * FROM (VALUES (1, 'a|b|c', 'a'), (2, 'x', ''), (3, 'm', 'm')) AS v(id, united, only_first)")
+@query("""SELECT id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), '|') AS united, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), '|') AS only_first
+  FROM (SELECT doc_id AS id, [source, lang, 'x'] AS a, [lang, 'src1', 'z'] AS b FROM documents)""")
 def u04_list_sets(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "id int, a array<string>, b array<string>", LISTS)
+    rows = table(spark, d, "documents").selectExpr("doc_id AS id", "array(source, lang, 'x') AS a", "array(lang, 'src1', 'z') AS b")
     return rows.select("id", F.array_join(F.array_union("a", "b"), "|").alias("united"), F.array_join(F.array_except("a", "b"), "|").alias("only_first"))
 
 

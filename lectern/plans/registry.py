@@ -60,6 +60,16 @@ def inline(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, names)
 
 
+def plus(rows: DataFrame, names: str, more: list[tuple]) -> DataFrame:
+    """Rows of a table and, after them, a few odd ones that the tables lack; ``plus_sql`` says the same."""
+    few = rows.sparkSession.createDataFrame(more, names)
+    return rows.select(*(F.col(f.name).cast(f.dataType) for f in few.schema)).unionByName(few)
+
+
+def plus_sql(rows: str, columns: str, more: list[tuple]) -> str:
+    return f"(SELECT {columns} FROM ({rows}) UNION ALL SELECT {columns} FROM {values_sql(columns, more)})"
+
+
 def quoted(x: object) -> str:
     if x is None:
         return "NULL"

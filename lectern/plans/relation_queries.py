@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.operators import audit, catalog, chunking, enrich, filters, metrics, relations, structure
 from lectern.plans.collection_queries import METRICS_SQL, _scores, _terms
-from lectern.plans.registry import BLOCKS_SQL, HEADS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, query, table, values_sql
+from lectern.plans.registry import BLOCKS_SQL, HEADS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, plus, plus_sql, query, table
+from lectern.plans.text_queries import _subjects
+from lectern.sources import blocks as block_sources
 from lectern.sources import remote
 
 S = SparkSession
@@ -28,9 +30,9 @@ def s16_catalog_by_ids(spark: S, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("doc_id").isin(1, 2, 3, 5, 8)).select("doc_id", "source", "lang")
 
 
-@query("SELECT item_id, left(text, 40) AS query FROM benchmark")
+@query("SELECT item_id, text AS query FROM benchmark")
 def s22_bench_queries(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("query"))
+    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT book_id, block_idx FROM blocks WHERE source = 'src2' AND block_type = 'Text' AND book_id = 42")
@@ -48,9 +50,13 @@ def f04_chapters_in(spark: S, d: str) -> DataFrame:
 PRESENT = [(1, "indexed", "978", "/c"), (2, "pending", "", None), (3, "indexed", None, "/d"), (4, "failed", "12", None)]
 
 
-@query(f"SELECT id, coalesce(isbn, '') <> '' AS has_isbn, path IS NOT NULL AS converted FROM {values_sql('id, status, isbn, path', PRESENT)} WHERE status <> 'failed'")
+_present = ("d.doc_id AS id", "CASE WHEN quality = 0 THEN 'failed' ELSE 'pending' END AS status", "nullif(nullif(lang, 'en'), 'de') AS isbn", "CASE WHEN d.doc_id % 3 = 0 THEN source END AS path")
+
+
+@query(f"SELECT id, coalesce(isbn, '') <> '' AS has_isbn, path IS NOT NULL AS converted FROM {plus_sql(f'SELECT {str(chr(44)).join(_present)} FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id', 'id, status, isbn, path', PRESENT)} WHERE status <> 'failed'")
 def f09_presence(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "id int, status string, isbn string, path string", PRESENT).where("status <> 'failed'")
+    docs = table(spark, d, "documents").alias("d").join(table(spark, d, "labels").alias("l"), F.expr("l.doc_id = d.doc_id"), "left").selectExpr(*_present)
+    rows = plus(docs, "id bigint, status string, isbn string, path string", PRESENT).where("status <> 'failed'")
     return rows.select("id", (F.coalesce("isbn", F.lit("")) != "").alias("has_isbn"), F.col("path").isNotNull().alias("converted"))
 
 
@@ -102,20 +108,25 @@ def j08_as_of_with_reset(spark: S, d: str) -> DataFrame:
 SHOWN = [(1, "a", 3, 4), (1, "b", 4, None), (1, "c", None, 9), (2, "d", 3, 3)]
 
 
-@query(f"WITH i AS (SELECT * FROM {values_sql('book_id, image, page, marker_page', SHOWN)}), p AS (SELECT * FROM (VALUES (1, 3), (1, 4), (2, 3)) AS v(book_id, pg)) SELECT p.book_id, p.pg, i.image FROM p JOIN i ON i.book_id = p.book_id AND (i.page = p.pg OR i.marker_page = p.pg)")
+_shown = ("page_id % 20 AS book_id", "concat('i', page_id) AS image", "page_id % 9 AS page", "CASE WHEN page_id % 3 = 0 THEN page_id % 7 END AS marker_page")
+
+
+@query(f"WITH i AS (SELECT * FROM {plus_sql(f'SELECT {str(chr(44)).join(_shown)} FROM pages', 'book_id, image, page, marker_page', SHOWN)}), p AS (SELECT DISTINCT doc_id % 20 AS book_id, doc_id % 9 AS pg FROM documents) SELECT p.book_id, p.pg, i.image FROM p JOIN i ON i.book_id = p.book_id AND (i.page = p.pg OR i.marker_page = p.pg)")
 def j10_either_page(spark: S, d: str) -> DataFrame:
     """The OR becomes one row per distinct page, so the join has a key."""
-    images = relations.on_either(inline(spark, "book_id int, image string, page int, marker_page int", SHOWN), ["page", "marker_page"], "pg")
-    return inline(spark, "book_id int, pg int", [(1, 3), (1, 4), (2, 3)]).join(images, ["book_id", "pg"]).select("book_id", "pg", "image")
+    images = plus(table(spark, d, "pages").selectExpr(*_shown), "book_id bigint, image string, page bigint, marker_page bigint", SHOWN)
+    pages = table(spark, d, "documents").selectExpr("doc_id % 20 AS book_id", "doc_id % 9 AS pg").distinct()
+    return pages.join(relations.on_either(images, ["page", "marker_page"], "pg"), ["book_id", "pg"]).select("book_id", "pg", "image")
 
 
 TARGETS, ENTRIES = [("(Kim)", "#b0"), ("[9]", "#b9"), ("x", None)], [("b0", "ref-1"), ("b1", "ref-2")]
 
 
-@query(f"SELECT c.said, r.id FROM {values_sql('said, target', TARGETS).replace('AS v', 'AS c')} LEFT JOIN {values_sql('k, id', ENTRIES).replace('AS v', 'AS r')} ON ltrim(c.target, '#') = r.k")
+@query(f"SELECT c.said, r.id FROM {plus_sql("SELECT text AS said, concat('#b', doc_id) AS target FROM documents", 'said, target', TARGETS)} c LEFT JOIN {plus_sql("SELECT concat('b', doc_id) AS k, concat('ref-', quality, toxic) AS id FROM labels WHERE doc_id > 1", 'k, id', ENTRIES)} r ON ltrim(c.target, '#') = r.k")
 def j12_citations_to_references(spark: S, d: str) -> DataFrame:
-    cited = inline(spark, "said string, target string", TARGETS).withColumn("k", F.ltrim("target", F.lit("#")))
-    return cited.join(inline(spark, "k string, id string", ENTRIES), "k", "left").select("said", "id")
+    cited = plus(table(spark, d, "documents").selectExpr("text AS said", "concat('#b', doc_id) AS target"), "said string, target string", TARGETS)
+    entries = plus(table(spark, d, "labels").where("doc_id > 1").selectExpr("concat('b', doc_id) AS k", "concat('ref-', quality, toxic) AS id"), "k string, id string", ENTRIES)
+    return cited.withColumn("k", F.ltrim("target", F.lit("#"))).join(entries, "k", "left").select("said", "id")
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_documents, b.doc_id IS NOT NULL AS in_labels FROM (SELECT * FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN labels b ON a.doc_id = b.doc_id")
@@ -132,20 +143,29 @@ def a01_count(spark: S, d: str) -> DataFrame:
 LEVELS = [(1, "chapter"), (1, None), (1, "book"), (2, "section")]
 
 
-@query(f"SELECT book_id, coalesce(level, 'chapter') AS level, count(*) AS n FROM {values_sql('book_id, level', LEVELS)} GROUP BY ALL")
+_level = "CASE block_type WHEN 'SectionHeader' THEN 'section' WHEN 'Text' THEN 'chapter' END AS level"
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT CAST(book_id AS INT) AS book_id, coalesce(level, 'chapter') AS level, count(*) AS n FROM {plus_sql(f'SELECT book_id, {_level} FROM blocks', 'book_id, level', LEVELS)} GROUP BY ALL")
 def a14_summary_levels(spark: S, d: str) -> DataFrame:
-    return audit.counts_by(inline(spark, "book_id int, level string", LEVELS).fillna("chapter").withColumn("level", F.concat_ws("/", "book_id", "level")), "level").select(F.split("level", "/")[0].cast("int").alias("book_id"), F.split("level", "/")[1].alias("level"), "n")
+    rows = plus(blocks(spark, d).select("book_id", F.expr(_level)), "book_id bigint, level string", LEVELS).fillna("chapter")
+    counted = audit.counts_by(rows.withColumn("level", F.concat_ws("/", "book_id", "level")), "level")
+    return counted.select(F.split("level", "/")[0].cast("int").alias("book_id"), F.split("level", "/")[1].alias("level"), "n")
 
 
 ON_FILE = [(1, "Sea", "Ann", "/a.pdf"), (2, "", None, "/b.pdf"), (3, "Land", "", None)]
 
 
-@query(f"SELECT id, CASE WHEN coalesce(title, '') = '' THEN 'red' WHEN coalesce(authors, '') = '' THEN 'yellow' ELSE 'green' END AS metadata, CASE WHEN f.p IS NOT NULL THEN 'green' ELSE 'red' END AS file FROM {values_sql('id, title, authors, path', ON_FILE)} LEFT JOIN (VALUES ('/a.pdf')) AS f(p) ON f.p = path")
+_on_file = ("doc_id AS id", "nullif(lang, 'en') AS title", "nullif(source, 'src0') AS authors", "concat('/', doc_id) AS path")
+
+
+@query(f"SELECT id, CASE WHEN coalesce(title, '') = '' THEN 'red' WHEN coalesce(authors, '') = '' THEN 'yellow' ELSE 'green' END AS metadata, CASE WHEN f.p IS NOT NULL THEN 'green' ELSE 'red' END AS file FROM {plus_sql(f'SELECT {str(chr(44)).join(_on_file)} FROM documents', 'id, title, authors, path', ON_FILE)} LEFT JOIN (SELECT concat('/', doc_id) AS p FROM labels UNION ALL SELECT '/a.pdf') f ON f.p = path")
 def a15_metadata_and_file(spark: S, d: str) -> DataFrame:
-    files = inline(spark, "path string, there boolean", [("/a.pdf", True)])
+    files = plus(table(spark, d, "labels").selectExpr("concat('/', doc_id) AS path", "true AS there"), "path string, there boolean", [("/a.pdf", True)])
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     status = F.when(none("title"), "red").when(none("authors"), "yellow").otherwise("green")
-    return inline(spark, "id int, title string, authors string, path string", ON_FILE).join(files, "path", "left").select("id", status.alias("metadata"), F.when(F.col("there"), "green").otherwise("red").alias("file"))
+    books = plus(table(spark, d, "documents").selectExpr(*_on_file), "id bigint, title string, authors string, path string", ON_FILE)
+    return books.join(files, "path", "left").select("id", status.alias("metadata"), F.when(F.col("there"), "green").otherwise("red").alias("file"))
 
 
 @query(f"WITH {METRICS_SQL.replace(_terms, f'list_distinct({_terms})')}, b AS (SELECT *, query_id % 2 AS backend FROM scores) SELECT avg(mrr) FILTER (backend = 0) AS mrr_a, avg(mrr) FILTER (backend = 1) AS mrr_b, avg(mrr) FILTER (backend = 0) - avg(mrr) FILTER (backend = 1) AS gain FROM b")
@@ -161,33 +181,37 @@ def t10_context_of_page_two(spark: S, d: str) -> DataFrame:
     return structure.page_context(asked, structure.chapters(outline(spark, d))).select("book_id", "chapter_num")
 
 
-TAGGING = [(1, "tcp packet routing", '{"subjects": ["x/y"], "library": "cs"}'), (2, "tcp packet routing", ""), (3, "nothing", "sorry")]
-
-
-@query("SELECT * FROM (VALUES (1, 'x/y'), (2, 'cs/networking'), (3, '')) AS v(id, subjects)")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat(lang, '/', source) ELSE array_to_string(list_filter(f, lambda s: contains(s, '/') OR len(list_filter(f, lambda x: starts_with(x, s || '/'))) = 0), ',') END AS subjects
+  FROM (SELECT doc_id, lang, source, list_filter([{_subjects}], lambda x: x IS NOT NULL) AS f FROM (SELECT *, lower(text) AS low FROM documents))""")
 def t23_tags_with_fallback(spark: S, d: str) -> DataFrame:
     """A model's answer if it has one, else keywords."""
-    rows = inline(spark, "id int, body string, answer string", TAGGING)
-    answer = remote.json_in(F.col("answer"), "subjects array<string>, library string")
-    return rows.select("id", F.array_join(F.coalesce(answer["subjects"], text.keyword_subjects(F.col("body"))), ",").alias("subjects"))
+    said = F.concat(F.lit('Sure: {"subjects": ["'), "lang", F.lit("/"), "source", F.lit('"], "library": null} ok'))
+    answer = remote.json_in(F.when(F.col("doc_id") % 4 == 0, said).when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, "sorry"), "subjects array<string>, library string")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.coalesce(answer["subjects"], text.keyword_subjects(F.col("text"))), ",").alias("subjects"))
 
 
 GUESSES = [(1, 0.8, 0.9, 0.5), (2, 0.0, 0.0, 0.3), (3, 0.5, 0.7, 0.0)]
 
 
-@query(f"SELECT id, round((a + b + c) / 3, 2) AS confidence FROM {values_sql('id, a, b, c', GUESSES)}")
+_guesses = ("doc_id AS id", "toxic * 0.9e0 AS a", "quality * 0.8e0 AS b", "doc_id % 10 / 10e0 AS c")
+
+
+@query(f"SELECT id, round((a + b + c) / 3, 2) AS confidence FROM {plus_sql(f'SELECT {str(chr(44)).join(_guesses)} FROM labels', 'id, a, b, c', GUESSES)}")
 def t27_mean_confidence(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "id int, a double, b double, c double", GUESSES)
-    return rows.select("id", F.round((F.col("a") + F.col("b") + F.col("c")) / 3, 2).alias("confidence"))
+    rows = plus(table(spark, d, "labels").selectExpr(*_guesses), "id bigint, a double, b double, c double", GUESSES)
+    return rows.select("id", enrich.mean_confidence("a", "b", "c").alias("confidence"))
 
 
 STEMS = [("_page_4_Figure_10",), ("_page_0_Table_2",), ("photo",)]
 
 
-@query(f"SELECT stem, TRY_CAST(nullif(regexp_extract(stem, '_page_(\\d+)_', 1), '') AS INT) AS page, nullif(lower(regexp_extract(stem, '_page_\\d+_([A-Za-z]+)_', 1)), '') AS kind, TRY_CAST(nullif(regexp_extract(stem, '_(\\d+)$', 1), '') AS INT) AS idx FROM {values_sql('stem', STEMS)}")
+_stem = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('_page_', page_id, '_Figure_', page_id % 7) WHEN 2 THEN concat('_page_', page_id % 9, '_Table_', page_id) ELSE concat('photo_', page_id) END AS stem"
+
+
+@query(f"SELECT stem, TRY_CAST(nullif(regexp_extract(stem, '_page_(\\d+)_', 1), '') AS INT) AS page, nullif(lower(regexp_extract(stem, '_page_\\d+_([A-Za-z]+)_', 1)), '') AS kind, TRY_CAST(nullif(regexp_extract(stem, '_(\\d+)$', 1), '') AS INT) AS idx FROM {plus_sql(f'SELECT {_stem} FROM pages', 'stem', STEMS)}")
 def t32_image_stems(spark: S, d: str) -> DataFrame:
-    part = lambda p: F.nullif(F.regexp_extract("stem", p, 1), F.lit(""))
-    return inline(spark, "stem string", STEMS).select("stem", part(r"_page_(\d+)_").cast("int").alias("page"), F.lower(part(r"_page_\d+_([A-Za-z]+)_")).alias("kind"), part(r"_(\d+)$").cast("int").alias("idx"))
+    stem = plus(table(spark, d, "pages").select(F.expr(_stem)), "stem string", STEMS)
+    return stem.select("stem", block_sources.image_name(F.col("stem")).alias("n")).select("stem", "n.page", "n.kind", "n.idx")
 
 
 @query("SELECT doc_id, concat_ws(', ', lang, source) AS authors, to_json(['lang/' || lang, source]) AS subjects FROM documents")
@@ -256,13 +280,13 @@ def o02_count_order(spark: S, d: str) -> DataFrame:
     return relations.largest_groups(table(spark, d, "documents"), ["source", "lang"], 7)
 
 
-SCORED = [(1, 0.5, "text"), (2, 0.9, "equation"), (3, 0.9, "text")]
+_scored = ("source", "doc_id AS id", "n_chars % 50 / 50 AS score", "CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'equation' END AS kind")
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY score DESC, kind = 'equation', id) AS nth FROM {values_sql('id, score, kind', SCORED)}")
+@query(f"SELECT id, row_number() OVER (PARTITION BY source ORDER BY score DESC, kind = 'equation', id) AS nth FROM (SELECT {', '.join(_scored)} FROM documents)")
 def o01_stable_score_order(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "id int, score double, kind string", SCORED)
-    w = Window.orderBy(*relations.by_score(rows, "id", F.col("kind") == "equation"))  # three rows
+    rows = table(spark, d, "documents").selectExpr(*_scored)
+    w = Window.partitionBy("source").orderBy(*relations.by_score(rows, "id", F.col("kind") == "equation"))
     return rows.select("id", F.row_number().over(w).alias("nth"))
 
 
@@ -272,13 +296,12 @@ def u01_bag_union(spark: S, d: str) -> DataFrame:
     return relations.tagged_union("kind", text=rows.where("label < 2"), equation=rows.where("label IN (1, 2)")).drop("label")
 
 
-TEAMS = [(1, ["Lee, Ann", "Kim"], ["kim", "Ann Lee"]), (2, ["Ann"], ["Bo"]), (3, [], []), (4, ["x"], [])]
-
-
-@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE)) AS v(id, same)")
+@query("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE lang = 'en' END AS same FROM documents")
 def u05_author_sets(spark: S, d: str) -> DataFrame:
-    rows = inline(spark, "id int, a array<string>, b array<string>", TEAMS)
-    return rows.select("id", text.same_authors(F.col("a"), F.col("b")).alias("same"))
+    """The same people in another order and form; one of them alone; two lists that are equal for one language."""
+    a = F.array(F.concat("source", F.lit(", "), "lang"), F.lit("Ann  Lee"))
+    b = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("Lee, ann"), F.concat("lang", F.lit(" "), F.upper("source")))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("Ann Lee"))).otherwise(F.array(F.lit("Ann Lee"), F.concat(F.lit("en "), "source")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.same_authors(a, b).alias("same"))
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -286,13 +309,12 @@ def u06_intersection(spark: S, d: str) -> DataFrame:
     return relations.keys_of_each("doc_id", table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-RUNS = [("a", 1, None, None, ["pdftotext"]), ("a", 2, "Sea", None, ["marker"]), ("b", 1, None, "timeout", [])]
-
-
-@query("SELECT * FROM (VALUES ('a', 'Sea', NULL, 'pdftotext|marker'), ('b', NULL, 'timeout', '')) AS v(book, title, error, extractors)")
+@query("""WITH s AS (SELECT source AS book, doc_id AS ord, CASE WHEN doc_id % 4 = 0 THEN concat(lang, doc_id) END AS title, CASE WHEN doc_id % 5 = 0 THEN concat('e', doc_id) END AS error, concat('x', doc_id % 3) AS x FROM documents)
+  SELECT book, title, error, extractors FROM (SELECT book, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, arg_min(error, ord) FILTER (error IS NOT NULL) AS error FROM s GROUP BY book)
+  JOIN (SELECT book, string_agg(x, '|' ORDER BY first) AS extractors FROM (SELECT book, x, min(ord) AS first FROM s GROUP BY ALL) GROUP BY book) USING (book)""")
 def p02_merged_extractions(spark: S, d: str) -> DataFrame:
     """Every extractor runs; what they found is merged, errors are kept beside."""
-    rows = inline(spark, "book string, ord int, title string, error string, extractors array<string>", RUNS)
+    rows = table(spark, d, "documents").selectExpr("source AS book", "doc_id AS ord", "CASE WHEN doc_id % 4 = 0 THEN concat(lang, doc_id) END AS title", "CASE WHEN doc_id % 5 = 0 THEN concat('e', doc_id) END AS error", "array(concat('x', doc_id % 3)) AS extractors")
     return enrich.merge_metadata(rows, "book", "ord", ["title", "error"], ["extractors"]).withColumn("extractors", F.array_join("extractors", "|"))
 
 
@@ -302,6 +324,7 @@ def p05_listed_books(spark: S, d: str) -> DataFrame:
     return listed.select(F.col("doc_id").alias("id"), F.col("source").alias("library"))
 
 
-@query(f"SELECT id, coalesce(t, title) AS title FROM {values_sql('id, title', [(1, 'a'), (2, 'b')])} LEFT JOIN {values_sql('k, t', [(2, 'B')]).replace('AS v', 'AS c')} ON k = id")
+@query("SELECT d.doc_id AS id, coalesce(CASE WHEN l.toxic = 1 THEN 'T' END, d.lang) AS title FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def k08_field_update(spark: S, d: str) -> DataFrame:
-    return catalog.patch(inline(spark, "id int, title string", [(1, "a"), (2, "b")]), inline(spark, "id int, title string", [(2, "B")]))
+    books = table(spark, d, "documents").selectExpr("doc_id AS id", "lang AS title")
+    return catalog.patch(books, table(spark, d, "labels").selectExpr("doc_id AS id", "CASE WHEN toxic = 1 THEN 'T' END AS title"))

@@ -99,6 +99,12 @@ def images_of_blocks(blocks: DataFrame) -> DataFrame:
     return first.select("book_id", F.concat(F.lit("marker:"), "stem").alias("image_id"), F.when(kind.isin("figure", "picture", "table"), kind).when(F.col("b.block_type") == "FigureGroup", "figure").otherwise("unknown").alias("kind"), page.alias("page"), index.alias("index"), F.col("b.page").alias("marker_page"), F.nullif(F.col("b.text"), F.lit("")).alias("caption"), label.alias("label"))
 
 
+def image_name(stem: F.Column) -> F.Column:
+    """``struct(page, kind, idx)`` that an image's name without ending says; null where it doesn't."""
+    part = lambda p: F.nullif(F.regexp_extract(stem, p, 1), F.lit(""))
+    return F.struct(part(r"_page_(\d+)_").try_cast("int").alias("page"), F.lower(part(r"_page_\d+_([A-Za-z]+)_")).alias("kind"), part(r"_(\d+)$").try_cast("int").alias("idx"))
+
+
 def resolve_image(image_id: F.Column) -> F.Column:
     """File name of an image id; null for anything but a plain name with a picture's ending."""
     name = F.regexp_extract(F.try_url_decode(image_id) if hasattr(F, "try_url_decode") else F.url_decode(image_id), r"^marker:([^/\\]+\.(?:png|jpe?g|gif|webp))$", 1)
