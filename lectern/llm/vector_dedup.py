@@ -3,13 +3,15 @@
 Each tree splits the vectors again and again by a random direction near the
 median of what a bounded sample projects on it.  Vectors close to a split go
 to both sides (spill).  A node that no tried direction splits with its spill,
-as in the midst of many near copies, stays one leaf whatever its size.  Vectors
-of one label are compared within leaves; links found in any tree count once and
+as in the midst of many near copies, stays one leaf whatever its size; other
+leaves that hold too many get trees of their own.  Vectors of one label are
+compared within leaves; links found in any tree count once and
 are united.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.components import connected_components
-from lectern.llm.scratch import materialize
+from lectern.llm.scratch import discard, materialize
 from lectern.llm.vectors import by_dimension, matrix, smallest, unit, usable
 from lectern.llm.workers import map_batches
 
@@ -30,6 +32,8 @@ LEAF = 1000
 BLOCK = 4096
 #: Splits are fitted on about so many vectors, by a hash of their ids, and on at most so many numbers.
 SAMPLE, SAMPLE_NUMBERS = 20_000, 8_000_000
+#: Leaves of over so many times ``LEAF`` are split further, by about so many vectors of their own, in at most so many rounds.
+REFINE, OWN_SAMPLE, ROUNDS = 4, 2000, 8
 #: Half the width of the strip around a split that goes to both sides, and the most of a node that a side may get of it.
 SPILL = 0.015
 SHRINK = 0.7
@@ -162,12 +166,91 @@ def _routed(nodes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
                 for t, tree in enumerate(forest.get(int(dim), ())):
                     for r, leaf in zip(*tree.route(u), strict=True):
                         spots[rows[r]].append((t << 24) + int(leaf))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(s) for s in spots], pa.list_(pa.int32()))], names=[*batch.schema.names, "spots"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(s) for s in spots], pa.list_(pa.int64()))], names=[*batch.schema.names, "spots"])
 
-    return map_batches(nodes, run, T.StructType([*nodes.schema.fields, T.StructField("spots", T.ArrayType(T.IntegerType()))]))
+    return map_batches(nodes, run, T.StructType([*nodes.schema.fields, T.StructField("spots", T.ArrayType(T.LongType()))]))
 
 
-def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def _own_trees(leaves: DataFrame, leaf: int, seed: int) -> DataFrame:
+    """``(label, dim, spot, tree)``: splits of each large leaf by a sample of its vectors; an empty tree where none keeps its spill.
+
+    ``leaves`` holds the sampled rows with the number ``n`` of all.
+    """
+    keys = ["label", "dim", "spot"]
+
+    def fit(table: pa.Table) -> pa.Table:
+        units = unit(matrix(table.column("v")))
+        spot, n = table.column("spot")[0].as_py(), table.column("n")[0].as_py()
+        tree = Tree(units, max(16, int(leaf * len(units) / n)), [seed, units.shape[1], spot % (1 << 63)])
+        packed = pickle.dumps(tree) if tree.splits else b""
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "tree": pa.array([packed], pa.binary())})
+
+    schema = T.StructType([*(leaves.schema[k] for k in keys), T.StructField("tree", T.BinaryType())])
+    return leaves.select(*keys, "n", "v").groupBy(*keys).applyInArrow(fit, schema)
+
+
+def _split_further(members: DataFrame) -> DataFrame:
+    """``(row, spot)`` of the vectors of leaves that have a tree of their own; spots are hashes of leaf and leaf within."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[bytes, Tree] = {}
+        for batch in batches:
+            row, spot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            packed = batch.column(3).dictionary_encode()
+            codes = packed.indices.to_numpy()
+            rows, spots = [], []
+            trees = {x: trees.get(x) or pickle.loads(x) for x in packed.dictionary.to_pylist()}
+            for k, tree in enumerate(trees[x] for x in packed.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == k)
+                at, leaves = tree.route(unit(matrix(batch.column(2).take(pa.array(own)))))
+                rows.append(row[own[at]])
+                spots.append(_hash(spot[own[at]], leaves))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else [], pa.int64()), pa.array(np.concatenate(spots) if spots else [], pa.int64())], names=["row", "spot"])
+
+    return map_batches(members.select("row", "spot", "v", "tree"), run, "row bigint, spot bigint")
+
+
+def _hash(spot: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """A number for a leaf within a leaf; where two agree by chance, their vectors are compared together."""
+    x = spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + leaf.astype(np.uint64) + np.uint64(1)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
+def _refined(routed: DataFrame, leaf: int, seed: int, own_sample: int) -> DataFrame:
+    """``routed`` with leaves that hold too many split by trees of their own, round by round.
+
+    The first trees know a bounded sample, so with very many vectors their
+    leaves are large.  No split is collected: every leaf's are fitted in a
+    task and meet its vectors by a join.
+    """
+    keys = ["label", "dim", "spot"]
+    closed = None
+    for _ in range(ROUNDS):
+        sent = routed.select("row", "label", "dim", F.explode("spots").alias("spot"))
+        large = sent.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > REFINE * leaf)
+        if closed is not None:
+            large = large.join(closed, keys, "left_anti")
+        large = materialize(large, "large")
+        if large.isEmpty():
+            return routed
+        members = sent.join(large, keys).join(routed.select("row", "v"), "row")
+        chance = F.pmod(F.xxhash64("row", "spot"), F.lit(1 << 30)) * F.col("n") < F.lit(float(own_sample * (1 << 30)))
+        trees = materialize(_own_trees(members.where(chance), leaf, seed), "trees")
+        open_ = trees.where("length(tree) > 0")
+        ended = large.join(open_.select(*keys), keys, "left_anti").select(*keys)
+        closed = materialize(ended if closed is None else closed.unionByName(ended), "closed")
+        moved = _split_further(members.join(open_, keys))
+        stayed = sent.join(open_.select(*keys), keys, "left_anti").select("row", "spot")
+        spots = stayed.unionByName(moved).groupBy("row").agg(F.array_sort(F.collect_set("spot")).alias("spots"))
+        before, routed = routed, materialize(routed.drop("spots").join(spots, "row"), "routed")
+        discard(before)
+        discard(large)
+        discard(trees)
+    return routed
+
+
+def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, own_sample: int = OWN_SAMPLE, seed: int = SEED) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
     Only vectors with equal, non-null labels and equal lengths are compared.
@@ -182,7 +265,7 @@ def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     takes_part = F.expr("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
     every = materialize(every, "vectors")
     alike = every.where(takes_part).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    nodes = materialize(by_dimension(alike, "v"), "nodes")
+    nodes = materialize(by_dimension(alike, "v").withColumn("row", F.monotonically_increasing_id()), "nodes")
 
     sizes = {r.dim: r.n for r in nodes.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
     forest: dict[int, list[Tree]] = {}
@@ -192,7 +275,7 @@ def vector_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         # Of the largest label, a leaf with so many sampled vectors holds about `leaf`.
         forest[dim] = [Tree(units, max(16, int(leaf * len(units) / most)), [seed, dim, t]) for t in range(trees)]
 
-    routed = materialize(_routed(nodes, forest), "routed")
+    routed = _refined(materialize(_routed(nodes, forest), "routed"), leaf, seed, own_sample)
     sent = routed.select("*", F.explode("spots").alias("spot"))
     counts = routed.select("label", "dim", F.explode("spots").alias("spot")).groupBy("label", "dim", "spot").agg(F.ceil(F.count("*") / block).alias("blocks"))
     # Leaves too large for a task: all pairs of their blocks, a task each.

@@ -503,6 +503,26 @@ def test_large_groups_of_near_vectors_keep_their_links(spark):
     assert len(vector_dedup.Tree(u, 250, [1]).leaves) > 4
 
 
+def test_large_leaves_get_trees_of_their_own(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 24))
+    x[3000:4500] = x[:1500] + 0.08 * rng.standard_normal((1500, 24))
+    x[4500:5000] = x[0] + 0.06 * rng.standard_normal((500, 24))
+    x = x[rng.permutation(6000)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = (np.arange(6000) % 10 == 0).astype(int)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(6000, dtype=bool)
+    table = spark.createDataFrame([(i, v, k) for (i, v), k in zip(enumerate(x.tolist()), label.tolist(), strict=True)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_dedup.vector_groups(table, leaf=60, sample=40, own_sample=500).collect()}
+    n_links = np.array([got[i].n_links for i in range(6000)])
+    assert len(got) == 6000 and n_links.sum() >= 0.99 * near.sum() and (n_links <= near.sum(axis=1)).all()
+
+    nodes = spark.createDataFrame([(i, 0, 24, v) for i, v in enumerate(x[:3000].tolist())], "row bigint, label int, dim int, v array<double>")
+    refined = vector_dedup._refined(nodes.withColumn("spots", F.array(F.lit(7).cast("bigint"))), 60, 1, 500)
+    sizes = refined.select("row", F.explode("spots").alias("s")).groupBy("s").count()
+    assert refined.count() == 3000 and sizes.count() > 10 and sizes.agg(F.max("count")).first()[0] < 1000
+
+
 # 7 lines
 
 
