@@ -20,13 +20,14 @@ class Conf:
 
 
 def load(path: str | None = None, env: dict[str, str] | None = None) -> Conf:
-    """A JSON file's values over the defaults, ``LECTERN_<NAME>`` over both; unknown keys are errors."""
+    """A JSON file's values over the defaults, those of ``<name>.local.json`` beside it over them, ``LECTERN_<NAME>`` over all; unknown keys are errors."""
     conf, env = Conf(), os.environ if env is None else env
     kinds = {f.name: type(getattr(conf, f.name)) for f in fields(Conf)}
     values: dict[str, object] = {}
-    if path:
-        with open(path, encoding="utf-8") as f:
-            values = json.load(f)
+    for name in (path, f"{os.path.splitext(path)[0]}.local.json") if path else ():
+        if name == path or os.path.exists(name):
+            with open(name, encoding="utf-8") as f:
+                values |= json.load(f)
     if unknown := set(values) - set(kinds):
         raise ValueError(f"no such settings: {', '.join(sorted(unknown))}")
     values |= {n: env[f"LECTERN_{n.upper()}"] for n in kinds if f"LECTERN_{n.upper()}" in env}

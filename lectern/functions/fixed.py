@@ -75,6 +75,27 @@ COPYRIGHT_PUBLISHERS = (
     "Academic Press", "Addison-Wesley", "Morgan Kaufmann", "CRC Press",
 )
 AFFILIATIONS = ("department", "university", "institute", "college", "school")
+# Patterns of copyright pages: a year after the mark, an ISBN, a publisher that is named.
+COPYRIGHT_YEAR = r"(?:©|copyright)[^0-9]*(\d{4})"
+COPYRIGHT_ISBN = r"ISBN[-:\s]*(\d[\d-]{9,}[\dXx])"
+NAMED_PUBLISHER = r"(?i)(?:published by|publisher[:\s]+)([^,\n]+)"
+# Headings that are no titles; names in text, on a line of their own, and as a catalog has them.
+NO_TITLE = (r"^\d+\.?\s", r"(?i)^(Chapter|Section|Part)\s+\d")
+AUTHOR_AFTER_BY = r"\bby\s+([A-Z][a-z]+(?:\s+[A-Z]\.?\s*)?[A-Z][a-z]+)"
+AUTHOR_LINE = r"^[A-Z]\.?\s*[A-Z]?\.?\s*[A-Z][a-z]+$"
+AUTHOR_ENTRY = r"^([A-Z][a-z]+),\s+([A-Z]\.?\s*[A-Z]?\.?)$"
+LIKE_A_FILE = r"_|\.pdf$|\.epub$"
+# Citations by number, by author and year in and outside parentheses, and ISBNs in text.
+NUMBERED_CITATION = r"\[(\d{1,3})\]"
+AUTHOR_YEAR_INSIDE = r"\([A-Z][a-z]+(?:\s+(?:and|&)\s+[A-Z][a-z]+)?,\s*\d{4}\)"
+AUTHOR_YEAR_OUTSIDE = r"[A-Z][a-z]+\s+\(\d{4}\)"
+CITED_ISBN = r"(?i)ISBN[-:\s]*([\d-]{10,17})"
+# Page markers, in order; math elements and the numbers of their equations.
+PAGE_MARKERS = (r"page-(\d+)", r"_page_(\d+)_")
+MATH = r"(?s)<math[^>]*>(.*?)</math>"
+AFTER_MATH = r"(?s)<math[^>]*>.*?</math>(.*)$"
+EQUATION_TAG = r"\\tag\{([^}]+)\}"
+EQUATION_NUMBER = r"\(([0-9]+[a-z]?(?:\.[0-9]+)*)\)"
 # Extraction limits that choose a backend.
 IMAGE_MEGAPIXELS, PAGE_MEGAPIXELS = 900.0, 6.0
 # Sizes of chunks, spans and results.

@@ -64,7 +64,7 @@ def group_or_null(c: Column, pattern: str, group: int = 1) -> Column:
 
 def first_page(c: Column) -> Column:
     """Page number of the first marker; all ``page-N`` come before all ``_page_N_``."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in (r"page-(\d+)", r"_page_(\d+)_"))).cast("int")
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in fixed.PAGE_MARKERS)).cast("int")
 
 
 def chapter_heading(c: Column) -> Column:
@@ -156,9 +156,9 @@ def equation_parts(html: Column) -> Column:
     The number is a ``\\tag{N}``, else ``(N)`` that ends the math, else ``(N)``
     after it.
     """
-    math = F.when(html.rlike(r"(?s)<math[^>]*>.*?</math>"), strip(F.regexp_extract(html, r"(?s)<math[^>]*>(.*?)</math>", 1)))
-    after = F.regexp_extract(html, r"(?s)<math[^>]*>.*?</math>(.*)$", 1)
-    tag, ending, outside = r"\\tag\{([^}]+)\}", r"\(([0-9]+[a-z]?(?:\.[0-9]+)*)\)\s*$", r"\(([0-9]+[a-z]?(?:\.[0-9]+)*)\)"
+    math = F.when(html.rlike(fixed.MATH), strip(F.regexp_extract(html, fixed.MATH, 1)))
+    after = F.regexp_extract(html, fixed.AFTER_MATH, 1)
+    tag, ending, outside = fixed.EQUATION_TAG, fixed.EQUATION_NUMBER + r"\s*$", fixed.EQUATION_NUMBER
     number = F.coalesce(group_or_null(math, tag), group_or_null(math, ending), group_or_null(after, outside))
     latex = F.when(math.rlike(tag), F.regexp_extract(math, r"(?s)^(.*?)\\tag\{", 1)).when(math.rlike(ending), F.regexp_replace(math, ending, "")).otherwise(math)
     latex = _chain(strip(latex), (r",+$", ""), (r"\.+$", ""), (r"\s+$", ""))
@@ -228,5 +228,5 @@ def display_equations(c: Column) -> Column:
 
 def author_year_citations(c: Column) -> Column:
     """``(Name, 2020)`` and ``Name (2020)``."""
-    inside = F.regexp_extract_all(c, F.lit(r"\([A-Z][a-z]+(?:\s+(?:and|&)\s+[A-Z][a-z]+)?,\s*\d{4}\)"), F.lit(0))
-    return F.concat(inside, F.regexp_extract_all(c, F.lit(r"[A-Z][a-z]+\s+\(\d{4}\)"), F.lit(0)))
+    inside = F.regexp_extract_all(c, F.lit(fixed.AUTHOR_YEAR_INSIDE), F.lit(0))
+    return F.concat(inside, F.regexp_extract_all(c, F.lit(fixed.AUTHOR_YEAR_OUTSIDE), F.lit(0)))

@@ -25,9 +25,9 @@ def copyright_facts(blocks: DataFrame) -> DataFrame:
     """
     low = F.lower("text")
     marked = F.contains("text", F.lit("©")) | F.contains(low, F.lit("copyright"))
-    year = F.when(marked, text.group_or_null(low, r"(?:©|copyright)[^0-9]*(\d{4})")).cast("int")
-    isbn = F.regexp_replace(text.group_or_null(F.col("text"), r"ISBN[-:\s]*(\d[\d-]{9,}[\dXx])"), "-", "")
-    named = F.when(low.rlike("published by|publisher"), text.strip(text.group_or_null(F.col("text"), r"(?i)(?:published by|publisher[:\s]+)([^,\n]+)")))
+    year = F.when(marked, text.group_or_null(low, fixed.COPYRIGHT_YEAR)).cast("int")
+    isbn = F.regexp_replace(text.group_or_null(F.col("text"), fixed.COPYRIGHT_ISBN), "-", "")
+    named = F.when(low.rlike("published by|publisher"), text.strip(text.group_or_null(F.col("text"), fixed.NAMED_PUBLISHER)))
     known = F.coalesce(*(F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in fixed.COPYRIGHT_PUBLISHERS))
     facts = blocks.select("book_id", "block_idx", "page", marked.alias("marked"), year.alias("y"), isbn.alias("i"), named.alias("n"), known.alias("k"))
     part = lambda c, w: F.when(F.col(c).isNotNull(), w).otherwise(0)
@@ -43,7 +43,7 @@ def copyright_facts(blocks: DataFrame) -> DataFrame:
 def title_guess(blocks: DataFrame) -> DataFrame:
     """First short heading that isn't a chapter (0.8), else bold text of the first page (0.5)."""
     flat = text.html_to_text(F.col("html"))
-    heading = (F.col("block_type") == "SectionHeader") & (flat != "") & (F.length(flat) < 100) & ~flat.rlike(r"^\d+\.?\s") & ~flat.rlike(r"(?i)^(Chapter|Section|Part)\s+\d")
+    heading = (F.col("block_type") == "SectionHeader") & (flat != "") & (F.length(flat) < 100) & ~flat.rlike(fixed.NO_TITLE[0]) & ~flat.rlike(fixed.NO_TITLE[1])
     bold = text.strip(F.regexp_extract("html", r"<b>([^<]+)</b>", 1))
     rows = blocks.withColumns({"_flat": flat, "_heading": heading, "_bold": bold}).join(blocks.groupBy("book_id").agg(F.min("page").alias("_first")), "book_id")
     is_bold = "block_type = 'Text' AND page = _first AND length(_bold) BETWEEN 4 AND 99"
@@ -55,14 +55,13 @@ def author_guess(blocks: DataFrame, pages: int = 5) -> DataFrame:
     """Author from the first pages: ``by Name`` 0.9, name over affiliation 0.8, a bare name 0.5; else a catalog entry 0.7."""
     from lectern.operators.filters import early_pages
 
-    name = r"^[A-Z]\.?\s*[A-Z]?\.?\s*[A-Z][a-z]+$"
     lines = text.html_to_text(F.col("html"), "lines")
     first, second = text.strip(F.get(F.split(lines, "\n"), F.lit(0))), F.lower(F.coalesce(F.get(F.split(lines, "\n"), F.lit(1)), F.lit("")))
-    by = text.group_or_null(lines, r"\bby\s+([A-Z][a-z]+(?:\s+[A-Z]\.?\s*)?[A-Z][a-z]+)")
+    by = text.group_or_null(lines, fixed.AUTHOR_AFTER_BY)
     sure = lambda c, x: F.struct(c.alias("author"), F.lit(x).alias("confidence"))
-    guess = F.coalesce(F.when(by.isNotNull(), sure(by, 0.9)), F.when(text.any_of(second, fixed.AFFILIATIONS) & first.rlike(name), sure(first, 0.8)), F.when(first.rlike(name), sure(first, 0.5)))
+    guess = F.coalesce(F.when(by.isNotNull(), sure(by, 0.9)), F.when(text.any_of(second, fixed.AFFILIATIONS) & first.rlike(fixed.AUTHOR_LINE), sure(first, 0.8)), F.when(first.rlike(fixed.AUTHOR_LINE), sure(first, 0.5)))
     near = early_pages(blocks, pages).where("block_type = 'Text'").select("book_id", "block_idx", guess.alias("g")).groupBy("book_id").agg(F.expr("min_by(g, block_idx) FILTER (WHERE g IS NOT NULL)").alias("near"))
-    entry, flat = r"^([A-Z][a-z]+),\s+([A-Z]\.?\s*[A-Z]?\.?)$", text.html_to_text(F.col("html"))
+    entry, flat = fixed.AUTHOR_ENTRY, text.html_to_text(F.col("html"))
     turned = F.when(flat.rlike(entry), F.concat_ws(" ", text.strip(F.regexp_extract(flat, entry, 2)), F.regexp_extract(flat, entry, 1)))
     far = blocks.select("book_id", "block_idx", turned.alias("t")).groupBy("book_id").agg(F.expr("min_by(t, block_idx) FILTER (WHERE t IS NOT NULL)").alias("far"))
     joined = far.join(near, "book_id", "left")
@@ -85,7 +84,7 @@ def apply_enrichment(books: DataFrame, found: DataFrame, least: float = 0.4) ->
     joined = books.join(found.select(F.col("book_id").alias("id"), F.col("title").alias("_title"), F.col("author").alias("_author"), "confidence"), "id", "left")
     sure = F.coalesce("confidence", F.lit(0.0)) >= least
     no_author = F.coalesce("authors", F.lit("")).isin("", "Unknown")
-    like_file = F.col("title").rlike(r"_|\.pdf$|\.epub$")
+    like_file = F.col("title").rlike(fixed.LIKE_A_FILE)
     author = F.when(sure & no_author, F.coalesce("_author", "authors")).otherwise(F.col("authors"))
     title = F.when(sure & like_file, F.coalesce("_title", "title")).otherwise(F.col("title"))
     changed = ~author.eqNullSafe(F.col("authors")) | ~title.eqNullSafe(F.col("title"))
@@ -96,8 +95,8 @@ def references_found(blocks: DataFrame) -> DataFrame:
     """Per book: bibliography pages, numbered and author-year citations, ISBNs, publishers with pages."""
     low = F.lower("text")
     head = F.when((F.col("block_type") == "SectionHeader") & text.any_of(low, fixed.BIBLIOGRAPHY_WORDS), F.col("page"))
-    numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
-    isbns = F.transform(F.regexp_extract_all("text", F.lit(r"(?i)ISBN[-:\s]*([\d-]{10,17})"), F.lit(1)), lambda x: F.regexp_replace(x, "-", ""))
+    numbers = F.transform(F.regexp_extract_all("text", F.lit(fixed.NUMBERED_CITATION), F.lit(1)), lambda x: x.cast("int"))
+    isbns = F.transform(F.regexp_extract_all("text", F.lit(fixed.CITED_ISBN), F.lit(1)), lambda x: F.regexp_replace(x, "-", ""))
     publishers = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p.lower())), F.concat(F.lit(p + "@"), F.col("page").cast("string"))) for p in fixed.CITED_PUBLISHERS)))
     each = blocks.select("book_id", head.alias("head"), numbers.alias("numbers"), text.author_year_citations(F.col("text")).alias("cites"), isbns.alias("isbns"), publishers.alias("publishers"))
     some = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.operators import audit, catalog, enrich, metrics, relations
-from lectern.plans.registry import BLOCKS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, plus, plus_sql, query, quoted, table
+from lectern.plans.registry import BLOCKS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, plus, plus_sql, query, quoted, strip_sql, table
+from lectern.plans.text_queries import GARBLED_FROM, GARBLED_SQL
 from lectern.operators.structure import block_labels
 
 S = SparkSession
@@ -81,9 +82,9 @@ def a11_rollup_status(spark: S, d: str) -> DataFrame:
     return audit.roll_up_status(books)
 
 
-@query()
+@query(f"""WITH {BLOCKS_SQL}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY md5(text), block_idx) AS nth FROM {GARBLED_FROM}) WHERE nth <= 20 AND length({strip_sql("text")}) >= 30),
+  j AS (SELECT book_id, count(*) AS checked, count(*) FILTER ({GARBLED_SQL}) AS garbled FROM p GROUP BY book_id) SELECT *, CASE WHEN garbled / checked > 0.3 THEN 'red' WHEN garbled / checked > 0.1 THEN 'yellow' ELSE 'green' END AS status FROM j""")
 def a12_ocr_quality(spark: S, d: str) -> DataFrame:
-    """The sample follows MD5 and the check for runs needs back-references: tested on a fixture."""
     return audit.ocr_quality(blocks(spark, d))
 
 

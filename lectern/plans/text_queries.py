@@ -169,7 +169,14 @@ def t19_garbled(spark: S, d: str) -> DataFrame:
     return blocks(spark, d).select("book_id", "block_idx", F.array_join(reasons, ",").alias("reasons"))
 
 
-@query()
+# five equal characters in a row: RE2 has no back-references, so character by character
+RUNS_SQL = "len(list_filter(range(1, len(c) - 3), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3] AND c[i] = c[i + 4])) > 0"
+GARBLED_SQL = f"""len(w) = 0 OR length(regexp_replace(text, '\\s+', '', 'g')) / len(w) < 2.5 OR length(regexp_replace(text, '[^\\pL\\pN\\s]', '', 'g')) / length(text) < 0.6
+  OR {" OR ".join(f"contains(text, {quoted(m)})" for m in fixed.MOJIBAKE)} OR {RUNS_SQL}"""
+GARBLED_FROM = "(SELECT *, string_split(text, '') AS c, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM blocks)"
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT book_id, block_idx FROM {GARBLED_FROM} WHERE {RUNS_SQL}")
 def t19_character_runs(spark: S, d: str) -> DataFrame:
     return blocks(spark, d).where(F.array_contains(text.garbled_reasons(F.col("text")), "runs")).select("book_id", "block_idx")
 

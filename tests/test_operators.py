@@ -3,10 +3,13 @@
 import datetime as dt
 import json
 import os
+import random
+import re
 import subprocess
 import sys
 import time
 import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -138,6 +141,77 @@ def test_equation_chunks_keep_zones_whole():
     assert chunking.equation_zones("$$a$$ and $$b$$", 3) == [(0, 8), (7, 15)] or len(chunking.equation_zones("$$a$$ and $$b$$", 3)) == 1
 
 
+def equation_chunks_by_definition(body, size, overlap, around):
+    """Chunk ends found by looking at every place."""
+    zones = []
+    for m in re.finditer(r"\$\$(.+?)\$\$", body, re.S):
+        clause = re.search(r"(?is)where\s+.+?(?:\.\s|\n\n|$)", body[m.end() : m.end() + 500])
+        zones.append([max(0, m.start() - around), m.end() + clause.end() if clause else min(len(body), m.end() + around)])
+    merged = []
+    for z in sorted(zones):
+        if merged and z[0] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z[1])
+        else:
+            merged.append(z)
+    out, at = [], 0
+    while at < len(body):
+        end = min(at + size, len(body))
+        for lo, hi in merged:
+            if lo <= at < hi or at < lo < end < hi:
+                end = max(end, hi)
+                break
+        limit = end + 50
+        for mark in ("\n\n", ". ", ".\n", "? ", "! "):
+            places = [i for i in range(at, min(limit, len(body)) - len(mark) + 1) if body.startswith(mark, i) and i > at + size // 2]
+            if places:
+                end = places[-1] + len(mark)
+                break
+        if body[at:end].strip():
+            out.append((at, end, body[at:end].strip()))
+        following = end - overlap
+        at = following if out and following > out[-1][0] else end
+        if end >= len(body):
+            if at < len(body) and body[at:].strip():
+                out.append((at, len(body), body[at:].strip()))
+            return out
+    return out
+
+
+def test_equation_chunks_match_their_definition(spark):
+    rng = random.Random(2)
+    parts = ["Some words here. ", "more of them, ", "really? ", "yes! ", "\n\n", "$$a = b$$ ", "$$x$$ where x is long. ", "where nothing. ", "word " * 30, "$$\n\\int f\n$$\n\n"]
+    bodies = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "doc_id int, text string")
+    got = {}
+    for r in chunking.equation_chunks(rows, "text", 200, 30).orderBy("doc_id", "piece_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.chunk))
+    for i, body in enumerate(bodies):
+        assert got.get(i, []) == equation_chunks_by_definition(body, 200, 30, 300), i
+
+
+def test_html_blocks_match_an_xml_tree(spark):
+    rng = random.Random(6)
+    names = {"h1": "SectionHeader", "h3": "SectionHeader", "p": "Text", "div": "Text", "ul": "ListGroup", "ol": "ListGroup", "table": "Table", "figure": "Figure", "blockquote": "Text"}
+
+    def element(depth=0):
+        tag = rng.choice(list(names) if not depth else ["b", "i", "span", "li", "p"])
+        inner = "".join(rng.choice(["words ", "", " ", element(depth + 1) if depth < 3 else "x"]) for _ in range(rng.randrange(0, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    bodies = ["".join(element() for _ in range(rng.randrange(0, 8))) for _ in range(80)]
+    pages = spark.createDataFrame([(i, f"<html><head><title>t</title></head><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id int, html string")
+    got = {}
+    for r in epub.html_blocks(pages).orderBy("page_id", "block_num").collect():
+        got.setdefault(r.page_id, []).append((r.block_type, r.html))
+    for i, body in enumerate(bodies):
+        want = []
+        for e in ElementTree.fromstring(f"<body>{body}</body>"):
+            if "".join(e.itertext()).strip() or e.tag in ("figure", "table"):
+                e.tail = None
+                want.append((names[e.tag], ElementTree.tostring(e, encoding="unicode", short_empty_elements=False)))
+        assert got.get(i, []) == want, body
+
+
 def test_fused_keeps_equations_of_top_books_and_all_without_text(spark):
     hit = "vec_id int, book_id int, score double"
     texts = spark.createDataFrame([(1, 1, 0.9), (2, 2, 0.8), (3, 3, 0.7), (4, 4, 0.6)], hit)
@@ -489,6 +563,8 @@ def test_settings_order(tmp_path):
     path.write_text('{"chunk_tokens": 100, "library_path": "x"}')
     got = conf.load(str(path), {"LECTERN_CHUNK_TOKENS": "50"})
     assert (got.chunk_tokens, got.library_path, got.chunk_overlap) == (50, "x", 64)
+    (tmp_path / f"{path.stem}.local.json").write_text('{"library_path": "mine"}')
+    assert conf.load(str(path), {}).library_path == "mine" and conf.load(str(path), {"LECTERN_LIBRARY_PATH": "env"}).library_path == "env"
     path.write_text('{"nope": 1}')
     with pytest.raises(ValueError):
         conf.load(str(path), {})
