@@ -279,6 +279,10 @@ def r12_dot_product(spark: S, d: str) -> DataFrame:
 NUMBERS = [(1, "Waves", "Tides"), (2, "", None), (None, "x", "Sea")]
 
 
-@query(f"SELECT n, concat_ws(' > ', CASE WHEN n IS NOT NULL THEN concat('Chapter ', n, CASE WHEN coalesce(t, '') <> '' THEN ': ' || t ELSE '' END) END, nullif(s, '')) AS crumb FROM {values_sql('n, t, s', NUMBERS)}")
+_numbers = "CASE WHEN doc_id % 3 > 0 THEN doc_id END AS n; CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE lang END AS t; CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE source END AS s"
+
+
+@query(f"SELECT n, concat_ws(' > ', CASE WHEN n IS NOT NULL THEN concat('Chapter ', n, CASE WHEN coalesce(t, '') <> '' THEN ': ' || t ELSE '' END) END, nullif(s, '')) AS crumb FROM {plus_sql(f'SELECT {_numbers.replace(chr(59), chr(44))} FROM documents', 'n, t, s', NUMBERS)}")
 def t09_breadcrumb_parts(spark: S, d: str) -> DataFrame:
-    return inline(spark, "n int, t string, s string", NUMBERS).select("n", text.breadcrumb(F.col("n"), F.col("t"), F.col("s")).alias("crumb"))
+    rows = plus(table(spark, d, "documents").selectExpr(*_numbers.split("; ")), "n bigint, t string, s string", NUMBERS)
+    return rows.select("n", text.breadcrumb(F.col("n"), F.col("t"), F.col("s")).alias("crumb"))

@@ -207,13 +207,21 @@ def t29_validation(spark: S, d: str) -> DataFrame:
     return rows.select("lt", "t", enrich.recommendation(c("lt"), c("t"), c("lp"), c("p"), c("m"), c("c")).alias("advice"))
 
 
-SHELF = [(1, "a_b.pdf", "Unknown"), (2, "Tides", "Ann Lee"), (3, "Sea", "")]
-FOUND = [(1, "The Sea", "J. Kim", 0.7), (2, "Other", "Other", 0.9), (3, "Sea", "Bo", 0.3)]
+SHELF = [(-1, "a_b.pdf", "Unknown"), (-2, "Tides", "Ann Lee"), (-3, "Sea", "")]
+FOUND = [(-1, "The Sea", "J. Kim", 0.7), (-2, "Other", "Other", 0.9), (-3, "Sea", "Bo", 0.3)]
 
 
-@query("SELECT * FROM (VALUES (1, 'The Sea', 'J. Kim', 'enriched'), (2, 'Tides', 'Ann Lee', 'skipped'), (3, 'Sea', '', 'skipped')) AS v(id, new_title, new_authors, enrichment)")
+_shelved = ("doc_id AS id", "CASE doc_id % 4 WHEN 0 THEN concat(lang, '_', doc_id) WHEN 1 THEN concat(source, '.pdf') ELSE source END AS title", "CASE doc_id % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN '' ELSE lang END AS authors")
+_guessed = ("doc_id AS book_id", "CASE WHEN doc_id % 5 > 0 THEN concat('T', doc_id) END AS title", "CASE WHEN doc_id % 7 > 0 THEN concat('A', doc_id) END AS author", "CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence")
+
+
+@query(f"""WITH b AS (SELECT {', '.join(_shelved)} FROM documents), f AS (SELECT {', '.join(_guessed)} FROM labels),
+  n AS (SELECT b.*, f.confidence, CASE WHEN coalesce(confidence, 0) >= 0.4 AND authors IN ('', 'Unknown') THEN coalesce(f.author, authors) ELSE authors END AS new_authors, CASE WHEN coalesce(confidence, 0) >= 0.4 AND regexp_matches(b.title, '_|\\.pdf$|\\.epub$') THEN coalesce(f.title, b.title) ELSE b.title END AS new_title FROM b LEFT JOIN f ON f.book_id = b.id)
+  SELECT id, new_title, new_authors, CASE WHEN confidence IS NULL THEN 'failed' WHEN new_authors <> authors OR new_title <> title THEN 'enriched' ELSE 'skipped' END AS enrichment FROM n
+  UNION ALL SELECT * FROM (VALUES (-1, 'The Sea', 'J. Kim', 'enriched'), (-2, 'Tides', 'Ann Lee', 'skipped'), (-3, 'Sea', '', 'skipped'))""")
 def t28_enrich(spark: S, d: str) -> DataFrame:
-    books, found = inline(spark, "id int, title string, authors string", SHELF), inline(spark, "book_id int, title string, author string, confidence double", FOUND)
+    books = plus(table(spark, d, "documents").selectExpr(*_shelved), "id bigint, title string, authors string", SHELF)
+    found = plus(table(spark, d, "labels").selectExpr(*_guessed), "book_id bigint, title string, author string, confidence double", FOUND)
     return enrich.apply_enrichment(books, found).select("id", "new_title", "new_authors", "enrichment")
 
 

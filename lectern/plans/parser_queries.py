@@ -277,20 +277,31 @@ page-12
 """
 
 
-@query("""SELECT * FROM (VALUES (0, 'book_section', 1, 'Basics', NULL, NULL, NULL), (1, 'chapter', 1, '', 3, 7, 1), (2, 'section', NULL, 'Tides', 3, NULL, 1),
-  (3, 'book_section', 2, 'More', NULL, NULL, NULL), (4, 'chapter', 2, 'Land', 7, 12, 2), (5, 'section', NULL, 'Hills', 7, NULL, 2)) AS v(nth, kind, number, title, page_start, page_end, parent)""")
+#: A document as a book of two chapters; see ``PAPER`` for the numbers.
+BOOK = "### Section 1: {2}\n# Chapter 1: {2}\npage-3\n## {1}\npage-7\n# Chapter 2: End of {0}\n## Notes\npage-9\n# Index\n"
+
+
+def _books(spark: S, d: str) -> DataFrame:
+    return plus(table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), _filled(BOOK).alias("text")), "book_id bigint, text string", [(-1, MARKDOWN)])
+
+
+@query("""SELECT doc_id AS book_id, 0 AS nth, 'book_section' AS kind, 1 AS number, source AS title, NULL AS page_start, NULL AS page_end, NULL AS parent FROM documents UNION ALL SELECT doc_id, 1, 'chapter', 1, source, 3, 7, 1 FROM documents
+  UNION ALL SELECT doc_id, 2, 'section', NULL, lang, 3, NULL, 1 FROM documents UNION ALL SELECT doc_id, 3, 'chapter', 2, concat('End of ', doc_id), 7, 9, 1 FROM documents UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'book_section', 1, 'Basics', NULL, NULL, NULL), (-1, 1, 'chapter', 1, '', 3, 7, 1), (-1, 2, 'section', NULL, 'Tides', 3, NULL, 1),
+  (-1, 3, 'book_section', 2, 'More', NULL, NULL, NULL), (-1, 4, 'chapter', 2, 'Land', 7, 12, 2), (-1, 5, 'section', NULL, 'Hills', 7, NULL, 2))""")
 def t06_markdown_structure(spark: S, d: str) -> DataFrame:
-    return markdown.parse_books(inline(spark, "book_id int, text string", [(1, MARKDOWN)])).drop("book_id")
+    return markdown.parse_books(_books(spark, d))
 
 
-@query("SELECT * FROM (VALUES (1, 100), (2, 35)) AS v(number, n_chars)")
+@query("""SELECT doc_id AS book_id, 1 AS number, CAST(length(source) + length(lang) + 32 AS INT) AS n_chars FROM documents UNION ALL SELECT doc_id, 2, CAST(length(CAST(doc_id AS VARCHAR)) + 37 AS INT) FROM documents UNION ALL SELECT * FROM (VALUES (-1, 1, 100), (-1, 2, 35))""")
 def t35_chapter_text(spark: S, d: str) -> DataFrame:
-    return markdown.chapter_texts(inline(spark, "book_id int, text string", [(1, MARKDOWN)])).select("number", F.length("text").alias("n_chars"))
+    return markdown.chapter_texts(_books(spark, d)).select("book_id", "number", F.length("text").alias("n_chars"))
 
 
-@query("SELECT 1 AS book_id, concat_ws(chr(10), 'Basics', 'Chapter 1 (p. 3)', '  - Tides (p. 3)', 'More', 'Chapter 2: Land (p. 7)', '  - Hills (p. 7)') AS contents")
+@query("""SELECT doc_id AS book_id, concat_ws(chr(10), source, concat('Chapter 1: ', source, ' (p. 3)'), concat('  - ', lang, ' (p. 3)'), concat('Chapter 2: End of ', doc_id, ' (p. 7)')) AS contents FROM documents UNION ALL
+  SELECT -1, concat_ws(chr(10), 'Basics', 'Chapter 1 (p. 3)', '  - Tides (p. 3)', 'More', 'Chapter 2: Land (p. 7)', '  - Hills (p. 7)')""")
 def t12_contents(spark: S, d: str) -> DataFrame:
-    return markdown.render_contents(markdown.parse_books(inline(spark, "book_id int, text string", [(1, MARKDOWN)])))
+    return markdown.render_contents(markdown.parse_books(_books(spark, d)))
 
 
 ACCEPTED = [(1, 1, "Sea", 0), (1, 2, "Land", 4)]
