@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import audit, catalog, chunking, enrich, filters, metrics, relations, structure
-from lectern.plans.collection_queries import METRICS_SQL, _scores, _terms
+from lectern.plans.collection_queries import METRICS_SQL, _scores
 from lectern.plans.registry import BLOCKS_SQL, HEADS_SQL, LABELS_SQL, OUTLINE_SQL, blocks, inline, outline, plus, plus_sql, query, table
 from lectern.plans.text_queries import _subjects
 from lectern.sources import blocks as block_sources
@@ -168,7 +168,7 @@ def a15_metadata_and_file(spark: S, d: str) -> DataFrame:
     return books.join(files, "path", "left").select("id", status.alias("metadata"), F.when(F.col("there"), "green").otherwise("red").alias("file"))
 
 
-@query(f"WITH {METRICS_SQL.replace(_terms, f'list_distinct({_terms})')}, b AS (SELECT *, query_id % 2 AS backend FROM scores) SELECT avg(mrr) FILTER (backend = 0) AS mrr_a, avg(mrr) FILTER (backend = 1) AS mrr_b, avg(mrr) FILTER (backend = 0) - avg(mrr) FILTER (backend = 1) AS gain FROM b")
+@query(f"WITH {METRICS_SQL}, b AS (SELECT *, query_id % 2 AS backend FROM scores) SELECT avg(mrr) FILTER (backend = 0) AS mrr_a, avg(mrr) FILTER (backend = 1) AS mrr_b, avg(mrr) FILTER (backend = 0) - avg(mrr) FILTER (backend = 1) AS gain FROM b")
 def a21_backend_comparison(spark: S, d: str) -> DataFrame:
     means = metrics.report(_scores(spark, d).withColumn("backend", F.col("query_id") % 2), "backend")
     of = lambda b: F.max(F.when(F.col("backend") == b, F.col("mean_mrr")))
