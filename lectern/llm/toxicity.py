@@ -32,6 +32,8 @@ LEAST_TEXTS, Z_CHANCE, Z_SCALE, Z_MOST, PARTS = 3, 3.5, 2.0, 3.0, 5
 #: The network is fitted on at most so many labelled documents of each class, none longer than so many characters.
 SAMPLE, SAMPLE_CHARS = 2500, 50_000
 EPOCHS, DOCS_PER_STEP, RATE, EMBEDDING_RATE = 6, 32, 0.01, 0.01
+#: Windows that go through the network at a time.
+AT_ONCE = 512
 #: Few labels are gone through more often: at least so many steps, over at most so many epochs.
 LEAST_STEPS, MOST_EPOCHS = 400, 60
 #: One sampled text in so many only decides when to stop, after so many epochs without a better loss.
@@ -228,6 +230,10 @@ class Network:
             np.maximum.at(best, owner[own], self.forward(gates, c, m))
         return best
 
+    def _slices(self, windows: np.ndarray, codes: np.ndarray, first: np.ndarray, length: np.ndarray, padding: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for own in np.array_split(windows, -(-len(windows) // AT_ONCE)):
+            yield own, *self._grid(codes, first[own], length[own], padding)
+
     @staticmethod
     def _grid(codes: np.ndarray, first: np.ndarray, length: np.ndarray, padding: int) -> tuple[np.ndarray, np.ndarray]:
         t = np.arange(max(1, length.max()))[:, None]
@@ -265,8 +271,8 @@ class Network:
                 x = self._inputs(ids, pairs, starts, sizes, without[part[docs[0]]])
                 gates = self.project(x)
                 owner, first, length = windows(counts)
-                c, m = self._grid(codes, first, length, len(distinct))
-                logit = self.forward(gates, c, m)
+                # Windows go through in slices, so a step with long texts needs no more memory than another.
+                logit = np.concatenate([self.forward(gates, c, m) for _, c, m in self._slices(np.arange(len(owner)), codes, first, length, len(distinct))])
                 # The worst windows of each text: a soft choice at first, then nearly the worst alone.
                 sharp = F32(1 + EPOCHS * epoch / epochs)
                 top = np.full(len(docs), -np.inf, F32)
@@ -279,9 +285,13 @@ class Network:
                 used = np.flatnonzero(np.abs(grad) > 1e-6)
                 if not len(used):
                     continue
-                trace: dict = {}
-                self.forward(gates, c[:, used], m[:, used], trace)
-                g, d_gates = self.backward(grad[used], c[:, used], m[:, used], trace, len(distinct))
+                g, d_gates = {}, np.zeros((len(distinct), 6 * HIDDEN), F32)
+                for own, c, m in self._slices(used, codes, first, length, len(distinct)):
+                    trace: dict = {}
+                    self.forward(gates, c, m, trace)
+                    more, d_more = self.backward(grad[own], c, m, trace, len(distinct))
+                    g = {k: g[k] + v if k in g else v for k, v in more.items()}
+                    d_gates += d_more
                 g["wx"], g["bx"] = x.T @ d_gates, d_gates.sum(axis=0)
                 dx = d_gates @ self.dense["wx"].T
                 steps += 1
