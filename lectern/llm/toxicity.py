@@ -109,6 +109,8 @@ class _Sample:
         self.ids = np.fromiter((vocabulary.get(w, -1) for w in known), dtype=np.int64, count=len(known))
         self.pairs, self.pair_starts = char_pairs(list(known)) if known else (np.empty(0, np.int64), np.empty(0, np.int64))
         self.pair_sizes = np.diff(np.r_[self.pair_starts, len(self.pairs)])
+        del known
+        give_back()
 
     def texts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words per text, code of each word, the distinct words' numbers)."""
@@ -374,7 +376,10 @@ def vocabulary(texts: list[str | None], size: int = VOCABULARY) -> dict[str, int
         once = np.unique(owner * max(1, len(distinct)) + codes) % max(1, len(distinct))
         for i, n in enumerate(np.bincount(once, minlength=len(distinct))):
             held[distinct[i]] += int(n)
-    return {w: i for i, (w, n) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:size]) if n >= LEAST_TEXTS}
+    found = {w: i for i, (w, n) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:size]) if n >= LEAST_TEXTS}
+    del held
+    give_back()
+    return found
 
 
 def held_out(id_col: str) -> F.Column:
