@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,23 @@ from lectern.functions import text
 
 BLOCK = "struct<id:string,block_type:string,html:string,text:string,page:int,images:map<string,string>,bbox:array<double>>"
 DOCUMENT = f"blocks array<{BLOCK}>, chunks array<{BLOCK}>"
-#: File names that a book's folder may hold.
-ARTIFACTS = {"content": "*.json", "markdown": "*.md", "html": "*.html", "meta": "*_meta.json", "structure": "structure.json", "pdftext": "*.txt"}
+# What a book's folder may hold, by path below it.
+ARTIFACTS = {
+    "content": "raw/marker/document.json",
+    "meta": "raw/marker/metadata.json",
+    "markdown": "raw/marker/document.md",
+    "html": "raw/marker/document.html",
+    "equations": "raw/marker/equations.json",
+    "pdftext": "raw/pdftotext/document.txt",
+    "pdftext_pages": "raw/pdftotext/pages.json",
+    "pdftext_meta": "raw/pdftotext/metadata.json",
+    "fulltext": "raw/grobid/fulltext.tei.xml",
+    "references": "raw/grobid/references.tei.xml",
+    "structure": "structure.json",
+    "metadata": "metadata.json",
+}
+#: The folder that names the book: the one above a tool's folder, else the file's own.
+BOOK_OF_PATH = r"/([^/]+)/(?:raw/[^/]+/)?[^/]+$"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +37,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     those that have text.
     """
     docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    book = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)
+    book = F.regexp_extract(F.input_file_name(), BOOK_OF_PATH, 1)
     return flat_blocks(docs.select(book.alias("book_id"), F.coalesce("blocks", "chunks").alias("blocks")))
 
 
@@ -50,8 +67,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Whole markdown files: book_id, raw, and text with equations in words."""
     from lectern.operators.chunking import augment_equations
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", ARTIFACTS["markdown"]).text(path)
-    return files.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("book_id"), F.col("value").alias("raw"), augment_equations(F.col("value")).alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    return files.select(F.regexp_extract(F.input_file_name(), BOOK_OF_PATH, 1).alias("book_id"), F.col("value").alias("raw"), augment_equations(F.col("value")).alias("text"))
 
 
 def split_pages(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,10 +77,28 @@ def split_pages(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(*(c for c in texts.columns if c != text_col), (F.col("_at") + 1).alias("page"), F.rtrim(F.col("page_text"), F.lit("\n")).alias("text"))
 
 
-def artifacts(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Files of a kind: book_id, path, size, hash of the content."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ARTIFACTS[kind]).load(path)
-    return found.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("book_id"), "path", F.col("length").alias("size_bytes"), text.content_hash(F.col("content")).alias("source_hash"))
+def kinds_of_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files (``path``) that are artifacts of a book: with ``book_id`` and ``kind``."""
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.regexp_extract(path, rf"/([^/]+)/{re.escape(name)}$", 1).alias("book")) for kind, name in ARTIFACTS.items()))
+    # The longest path decides: what a tool wrote is not the book's own file of that name.
+    found = F.filter(kinds, lambda k: (k["book"] != "") & ~((k["kind"] == "metadata") & F.col(path).rlike(r"/raw/[^/]+/[^/]+$")))
+    return files.withColumn("_k", F.get(found, F.lit(0))).where("_k IS NOT NULL").withColumns({"book_id": F.col("_k.book"), "kind": F.col("_k.kind")}).drop("_k")
+
+
+def artifacts(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Artifacts below a folder of books, of one kind or all: book_id, kind, path, size, hash of the content.
+
+    Contents are read only for the hash: a query that doesn't ask for it lists
+    files and no more.
+    """
+    if kind is not None and kind not in ARTIFACTS:
+        raise ValueError(f"no such artifact: {kind}")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if kind is not None:
+        reader = reader.option("pathGlobFilter", ARTIFACTS[kind].rpartition("/")[2])
+    found = kinds_of_files(reader.load(path))
+    found = found if kind is None else found.where(F.col("kind") == kind)
+    return found.select("book_id", "kind", "path", F.col("length").alias("size_bytes"), text.content_hash(F.col("content")).alias("source_hash"))
 
 
 def library_folders(paths: DataFrame) -> DataFrame:

@@ -72,3 +72,20 @@ def test_an_empty_library_answers_with_no_rows(spark, tmp_path):
     lib = Library(spark, str(tmp_path), lambda: vocabulary_embedder(WORDS))
     for rows in (lib.search("tide"), lib.search_chapters("tide"), lib.search_hierarchical("tide"), lib.text_search("tide"), lib.verify(), lib.blocks(), lib.labels(), lib.spans(), lib.profile(), lib.read_span(1)):
         assert rows.count() == 0
+
+
+def test_a_library_is_opened_again(spark, tmp_path):
+    open_ = lambda: Library(spark, str(tmp_path), lambda: vocabulary_embedder(WORDS))
+    rows = lambda *titles: spark.createDataFrame([(t, f"/{t}.pdf") for t in titles], "title string, source_path string")
+    open_().register(rows("Money", "Sea"))
+    lib = open_()
+    assert [r.id for r in lib.register(rows("Land")).collect()] == [3]  # numbers go on where they were
+    schema = "book_id bigint, block_idx int, page int, block_type string, text string, html string"
+    lib.index(spark.createDataFrame(book(2, "tide"), schema))
+    chapters = open_().collections.read("chapters_of_books")
+    assert [(r.book_id, r.number, r.title) for r in chapters.collect()] == [(2, 1, "tide")] and open_().labels().where("book_id = 2").count() == 5
+    # approved subjects reach the catalog and the chunks
+    lib.update(spark.createDataFrame([(2, ["sea/tides", "sea"])], "id bigint, subjects array<string>"))
+    assert open_().books().where("id = 2").first().subjects == ["sea/tides", "sea"]
+    assert {tuple(r.subjects) for r in open_().collections.read("full").collect()} == {("sea/tides", "sea")}
+    assert [r.book_id for r in open_().search("tide", 1, equations=0, subjects_=["sea/*"]).collect()] == [2]

@@ -527,6 +527,21 @@ def test_books_by_isbn_ask_the_second_service_for_the_rest(spark):
     assert got == [(1, "G", ["A"], "P", "9781", 1.0, "google_books"), (2, "O", ["B", ""], "Q", "9782", 1.0, "openlibrary")]
 
 
+def test_artifacts_of_books_are_found(spark, tmp_path):
+    for name in ("12/raw/marker/document.json", "12/raw/marker/metadata.json", "12/raw/marker/document.md", "12/metadata.json", "12/structure.json", "7/raw/pdftotext/document.txt", "7/raw/pdftotext/pages.json", "7/raw/pdftotext/metadata.json", "7/notes.txt", "9/raw/grobid/fulltext.tei.xml"):
+        file = tmp_path / "books" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(json.dumps({"blocks": [{"block_type": "Text", "text": "Body", "page": 1}]}) if name.endswith("document.json") else "# One\n$$x$$")
+    found = listed(block_sources.artifacts(spark, str(tmp_path / "books")), "book_id", "kind")
+    assert found == [("12", "content"), ("12", "markdown"), ("12", "meta"), ("12", "metadata"), ("12", "structure"), ("7", "pdftext"), ("7", "pdftext_meta"), ("7", "pdftext_pages"), ("9", "fulltext")]
+    one = block_sources.artifacts(spark, str(tmp_path / "books"), "pdftext").first()
+    assert one.book_id == "7" and one.size_bytes == 11 and one.source_hash.startswith("sha256:")
+    with pytest.raises(ValueError):
+        block_sources.artifacts(spark, str(tmp_path), "cover")
+    assert listed(block_sources.read_documents(spark, str(tmp_path / "books" / "12" / "raw")), "book_id", "text") == [("12", "Body")]
+    assert listed(block_sources.read_markdown(spark, str(tmp_path / "books")), "book_id", "raw", "text") == [("12", "# One\n$$x$$", "# One\n$$x$$\n[Mathematical equation: x]")]
+
+
 def test_uploads_take_books_only(spark, tmp_path):
     for name, body in (("The_Sea.PDF", b"x"), ("b.epub", b"y"), ("c.txt", b"z")):
         (tmp_path / name).write_bytes(body)
