@@ -662,6 +662,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     grouped = each.join(labels, "line", "left").select("line", "id", "n", F.coalesce("component", "line").alias("component"))
     grouped = materialize(grouped, "grouped")
     first = grouped.groupBy("component").agg(F.min("id").alias("first_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "first")  # on its own, as above: a component may hold very many lines
     alike = grouped.select("line", "component").join(first, "component").select("line", "component", "first_id")
     at = places.select("id", "version", "pos", "line").join(alike, "line")
     at = materialize(at.select("id", "version", "pos", "component", F.col("id").eqNullSafe(F.col("first_id")).alias("near")), "alike")
@@ -670,7 +671,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     beside = at.where("near").join(kept, "component").where("NOT (version = first.version AND pos = first.pos)")
     again = at.where("NOT near").select("id", "version", "pos").unionByName(beside.select("id", "version", "pos"))
     out = materialize(again.groupBy("id", "version").agg(F.collect_set("pos").alias("drop")), "removed")
-    for done in (places, grouped, at):
+    for done in (places, grouped, first, at):
         discard(done)
     free_shuffles(spark)
     return out
