@@ -48,11 +48,12 @@ ENDS = {
 }
 #: Elements that never hold article text.
 DROPPED = frozenset("nav aside footer form button dialog menu search fieldset label input select svg head".split())
-#: Elements whose class or id may say that they surround an article; of other elements only an advert's.
+#: Elements whose class or id may say that they surround an article; of others only what is none of it in any element.
 CONTAINERS = frozenset("div section article ul ol dl table center details figure header span a".split())
 ADVERT = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsored".split())
-CHROME = ADVERT | frozenset(
-    "promo promotion banner cookie cookies consent gdpr notice notices popup popover modal overlay newsletter subscribe subscription paywall sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs masthead foot footer comment comments replies disqus respond share sharing social related recommended recommendation recommendations teaser teasers pagination pager tags tagcloud toolbar widget widgets search login signin signup copyright skip hidden".split()
+NEVER = ADVERT | frozenset("promo promotion cookie cookies consent gdpr notice notices newsletter comment comments breadcrumb breadcrumbs pagination hidden".split())
+CHROME = NEVER | frozenset(
+    "banner popup popover modal overlay subscribe subscription paywall sidebar side aside nav navbar navigation menu masthead foot footer replies disqus respond share sharing social related recommended recommendation recommendations teaser teasers pager tags tagcloud toolbar widget widgets search login signin signup copyright skip".split()
 )
 #: The last word of a name counts, without those that only say what kind of box it is.
 BOX = frozenset("area articles bar box block buttons container content form group holder icons inner items link links list panel posts region row section slot stories thread tools unit widget wrap wrapper zone".split())
@@ -108,7 +109,7 @@ def _chrome(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     about = {*_names(attributes.get("class", "")), *_names(attributes.get("id", ""))}
     if tag not in CONTAINERS:
-        return bool(about & ADVERT)
+        return bool(about & NEVER)
     return bool(about & (CHROME if in_article else CHROME | HEADER))
 
 

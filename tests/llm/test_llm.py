@@ -388,6 +388,7 @@ PROSE = "Some words that make a paragraph long enough, with commas, and more."
         (f'<div class="has-sidebar"><div class="post"><p>{PROSE}</p></div><div class="sidebar-2"><p>S {PROSE}</p></div></div>', PROSE),
         (f'<div id=comments><article class="comment"><p>C {PROSE * 9}</p></article></div><article><p>{PROSE}</p></article>', PROSE),
         ("<article><p>Sh is.</p></article><div>x</div>", "Sh is."),
+        (f'<article><p class="notice">N {PROSE}</p><p class="cookie-notice">C {PROSE}</p><h3 class="comments">Comments</h3><p class="notice-board">{PROSE}</p></article>', PROSE),
         (f"<head><title>t</title><p>{PROSE}<svg><title>s</title><text>t</text></svg><template><p>no</template>", PROSE),
     ],
 )
