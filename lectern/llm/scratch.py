@@ -22,6 +22,9 @@ _own: list[str] = []
 def base_dir(spark: SparkSession) -> str:
     """The shared folder; a session in one process that names none (tests) gets a local one."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
+        if not re.match(r"[a-z][a-z0-9+.-]*:", named):  # a path of the cluster's default file system: say which, for those that open files themselves
+            fs, target = _hadoop(spark, named)
+            named = re.sub(r"^file:/+", "file:///", fs.makeQualified(target).toString())
         return named.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
