@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import cosine, scored
+from lectern.functions.vectors import cosine, norm, scored
 from lectern.operators import filters
 
 
@@ -27,7 +27,9 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
     shuffled.  More queries meet the rows in blocks, dealt by hash on both
     sides.
     """
-    own, asked = rows.select(F.col(key), F.col(vector)), queries.select("query_id", "query_vector")
+    # Lengths and types are settled once for each vector, not for each pair.
+    ready = lambda c: (F.col(c).cast("array<double>").alias(c), norm(F.col(c)).alias(f"_{c}"))
+    own, asked = rows.select(F.col(key), *ready(vector)), queries.select("query_id", *ready("query_vector"))
     blocks = -(-queries.count() // most)
     if blocks <= 1:
         met = own.join(F.broadcast(asked), F.lit(True))
@@ -37,7 +39,10 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec
         left = own.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_block", each(blocks))
         right = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", each(parts))
         met = left.join(right, ["_part", "_block"])
-    pairs = met.select("query_id", key, scored(cosine(F.col(vector), F.col("query_vector"))).alias("score"))
+    size = F.col(f"_{vector}") * F.col("_query_vector")
+    product = F.aggregate(F.zip_with(vector, "query_vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosines = F.when((size > 0) & (F.size(vector) == F.size("query_vector")), product / size)
+    pairs = met.select("query_id", key, scored(cosines).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return pairs.where(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
